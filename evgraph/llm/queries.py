@@ -7,25 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.llm.bpe import encode_digests
 from evgraph.llm.exact_dedup import exact_dedup
+from evgraph.llm.packing import pack_documents
 from evgraph.llm.repetition import repetition_rules
+from evgraph.llm.token_files import read_files, token_files
+from evgraph.session import shared_dir
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_docs(spark, sf_dir)).drop("worst_share")
 
 
+def op8_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_dir(spark, "token-files")
+    ranks = token_files(_docs(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), out, end_id=2)
+    return read_files(spark, out, ranks)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_repetition_rules": op4_repetition_rules,
+        "op8_rank_bpe": op8_rank_bpe,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_token_files": op10_token_files,
     }
