@@ -5,10 +5,9 @@ RocksDB, on disk and checkpointed, and has no watermark, so no key ever expires.
 stable identifier that stays (the largest), a content locator (file and row of that document, hashed to 64 bits)
 and a row count. Memory is bounded by RocksDB's buffers, not by the number of texts.
 
-On every hit (a digest seen more than once) the whole text is compared with that of the row that the locator
-names. Groups are cut into blocks of `block_rows` members, each with its own copy of that one text, so a group
-that holds a third of all rows becomes many small join groups. Should texts of one digest differ, those digests are
-grouped again by their bytes.
+On every hit the full bytes are compared: rows are also grouped by digest and whole text, where the hash table of each
+map task compares the bytes and sends a text that it holds many times once, so a group with a third of all rows
+stays small before the shuffle. Should one digest have several texts, those digests are grouped again by their bytes.
 
 Defined cases: a null text counts as empty; a null id loses against any other; of repeated rows with the same id
 and text exactly one is kept; an empty input gives an empty result; other columns are never read.
@@ -24,7 +23,10 @@ from pyspark.sql import functions as F
 from evgraph.llm.common import ascii_lower
 from evgraph.session import shared_dir, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store reserves megabytes of disk
+}
 
 
 def sha256_digest(text: Column) -> Column:
@@ -43,8 +45,9 @@ def _rows(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column],
 def _states(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest, max_bytes: int) -> DataFrame:
     """The final state of the stream: digest, keep_id, locator, group_size."""
     work = shared_dir(spark, "exact-dedup")
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         files = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(f"{path[:-1]}[{path[-1]}]")  # as a glob: one file will do too
         state = (
@@ -61,10 +64,8 @@ def _states(spark: SparkSession, path: str, schema, id_col: str, text_col: str,
             .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         )
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     rows = _rows(spark.read.schema(schema).parquet(path), id_col, text_col, digest)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     spec = f"digest {kinds['digest']}, keep_id {kinds['doc_id']}, locator long, any_loc long, group_size long, batch int"
@@ -81,19 +82,15 @@ def _states(spark: SparkSession, path: str, schema, id_col: str, text_col: str,
 
 def exact_dedup(
     spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
-    digest: Callable[[Column], Column] = sha256_digest, block_rows: int = 1000, max_bytes: int = 64 << 30,
+    digest: Callable[[Column], Column] = sha256_digest, max_bytes: int = 64 << 30,
 ) -> DataFrame:
     """One row per row of the Parquet files at path: doc_id, keep_id, group_size, kept, digest."""
     docs = spark.read.parquet(path)
     states = stored(_states(spark, path, docs.schema, id_col, text_col, digest, max_bytes), "exact-dedup-states")
     rows = _rows(docs, id_col, text_col, digest)
 
-    hits = states.where("group_size > 1").withColumn("blocks", F.ceil(F.col("group_size") / block_rows).cast("int"))
-    hit = rows.hint("merge").join(hits, "digest")
-    members = hit.where("loc <> locator").select("digest", F.pmod("loc", F.col("blocks")).cast("int").alias("block"), "norm")
-    stays = hit.where("loc = locator").select("digest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("norm").alias("stay"))
-    differ = members.hint("merge").join(stays, ["digest", "block"]).where("norm <> stay").select("digest")
-    differ = stored(differ.distinct(), "exact-dedup-differ")
+    texts = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
+    differ = stored(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "exact-dedup-differ")
 
     found = (
         rows.select("doc_id", "digest", "loc").hint("merge").join(states, "digest")
