@@ -11,6 +11,7 @@ from evgraph.llm.bpe import encode_digests
 from evgraph.llm.exact_dedup import exact_dedup
 from evgraph.llm.packing import pack_documents
 from evgraph.llm.repetition import repetition_rules
+from evgraph.llm.simhash import near_groups
 from evgraph.llm.token_files import read_files, token_files
 from evgraph.session import shared_dir
 
@@ -26,6 +27,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_groups(_docs(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -51,6 +57,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_repetition_rules": op4_repetition_rules,
         "op8_rank_bpe": op8_rank_bpe,
