@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+import math
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9 = f"""
@@ -9,6 +11,45 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY norm)
 """
 
+#: Spans by running lengths of what lies between and in the matches; entropy by counting every window anew.
+OP2 = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+pat(kind, p) AS (VALUES
+  (0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')),
+m AS (
+  SELECT rid, 0 AS kind, regexp_extract_all(x, (SELECT p FROM pat WHERE kind = 0), 0) AS h, string_split_regex(x, (SELECT p FROM pat WHERE kind = 0)) AS g FROM t
+  UNION ALL SELECT rid, 1, regexp_extract_all(x, 'AKIA[A-Z0-9]+', 0), string_split_regex(x, 'AKIA[A-Z0-9]+') FROM t
+  UNION ALL SELECT rid, 2, regexp_extract_all(x, '[0-9a-f]{32,}', 0), string_split_regex(x, '[0-9a-f]{32,}') FROM t
+  UNION ALL SELECT rid, 3, regexp_extract_all(x, '[A-Za-z0-9+/_=-]{20,}', 0), string_split_regex(x, '[A-Za-z0-9+/_=-]{20,}') FROM t),
+e AS (SELECT rid, kind, unnest(h) AS hit, unnest(g[1:len(h)]) AS gap, unnest(range(1, len(h) + 1)) AS n FROM m),
+s AS (SELECT rid, kind, hit, n, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY n) AS stop FROM e),
+base AS (SELECT rid, kind, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s
+  WHERE (kind = 0 AND length(regexp_extract(hit, (SELECT p FROM pat WHERE kind = 0), 2)) >= 8) OR (kind = 1 AND length(hit) >= 16) OR kind = 2),
+runs AS (SELECT rid, hit, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s WHERE kind = 3
+  AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
+  AND NOT regexp_matches(hit, '//|/[a-z]+/|^/') AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|changeme|your[_-]|xxxx')
+  AND NOT regexp_matches(hit, '(?i)0123456789|abcdefghij|qwertyuiop') AND NOT regexp_matches(hit, '^[0-9+/_=-]+$') AND NOT regexp_matches(hit, '^[A-Za-z+/_=-]+$')),
+w AS (SELECT rid, start, stop, hit, unnest(range(1, length(hit) - 18)) AS i FROM runs),
+c AS (SELECT rid, start, stop, hit, i, unnest(string_split(substr(hit, CAST(i AS BIGINT), 20), '')) AS ch FROM w),
+k AS (SELECT rid, start, stop, hit, i, ch, count(*) AS n FROM c GROUP BY ALL),
+f AS (SELECT rid, start, stop, hit, i, sum(CAST(round(n * log2(n) * 1048576) AS BIGINT)) AS z FROM k GROUP BY ALL),
+rnd AS (SELECT rid, start, stop FROM f GROUP BY rid, start, stop, hit
+  HAVING min(z) <= CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN {hex} ELSE {mixed} END),
+spans AS (SELECT * FROM base UNION ALL
+  SELECT rid, 3, start, stop FROM rnd WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = rnd.rid AND b.start < rnd.stop AND rnd.start < b.stop)),
+named AS (SELECT rid, kind, start, (['assign', 'access', 'hex', 'entropy'])[kind + 1] || ':' || start || ':' || stop AS z FROM spans),
+a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(z, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(z, ',' ORDER BY start, kind) AS spans FROM named GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (rid)
+"""
+
+
+def _op2() -> str:
+    bound = lambda bits: str(round((math.log2(20) - bits) * 20 * 1048576))
+    return OP2.replace("{hex}", bound(3.0)).replace("{mixed}", bound(3.7))
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9}
+    return {"op2_secret_scan": _op2(), "op9_exact_dedup": OP9}

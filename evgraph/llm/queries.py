@@ -11,6 +11,7 @@ from evgraph.llm.bpe import encode_digests
 from evgraph.llm.exact_dedup import exact_dedup
 from evgraph.llm.packing import pack_documents
 from evgraph.llm.repetition import repetition_rules
+from evgraph.llm.secrets import scan_digests
 from evgraph.llm.simhash import near_groups
 from evgraph.llm.token_files import read_files, token_files
 from evgraph.session import shared_dir
@@ -32,6 +33,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_digests(_docs(spark, sf_dir))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -58,6 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_secret_scan": op2_secret_scan,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_repetition_rules": op4_repetition_rules,
         "op8_rank_bpe": op8_rank_bpe,
