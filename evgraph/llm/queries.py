@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evgraph.llm.bpe import encode_digests
 from evgraph.llm.exact_dedup import exact_dedup
+from evgraph.llm.line_dedup import dedup_lines
 from evgraph.llm.packing import pack_documents
 from evgraph.llm.repetition import repetition_rules
 from evgraph.llm.secrets import scan_digests
@@ -45,6 +46,11 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_docs(spark, sf_dir)).drop("worst_share")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("__removed").alias("removed_lines"), "text")
+
+
 def op8_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_docs(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_repetition_rules": op4_repetition_rules,
+        "op7_line_dedup": op7_line_dedup,
         "op8_rank_bpe": op8_rank_bpe,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_token_files": op10_token_files,
