@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from evgraph.llm.bpe import encode_digests
 from evgraph.llm.exact_dedup import exact_dedup
+from evgraph.llm.language import identify
 from evgraph.llm.line_dedup import dedup_lines
 from evgraph.llm.packing import pack_documents
+from evgraph.llm.quality_rules import score_documents
 from evgraph.llm.repetition import repetition_rules
 from evgraph.llm.secrets import scan_digests
 from evgraph.llm.simhash import near_groups
@@ -46,6 +48,14 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_docs(spark, sf_dir)).drop("worst_share")
 
 
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), _docs(spark, sf_dir))
+
+
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.col("__removed").alias("removed_lines"), "text")
@@ -72,6 +82,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_repetition_rules": op4_repetition_rules,
+        "op5_language_fusion": op5_language_fusion,
+        "op6_rule_ensemble": op6_rule_ensemble,
         "op7_line_dedup": op7_line_dedup,
         "op8_rank_bpe": op8_rank_bpe,
         "op9_exact_dedup": op9_exact_dedup,
