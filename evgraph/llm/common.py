@@ -16,3 +16,15 @@ def ascii_lower(c: Column) -> Column:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null text as empty: other columns cannot clash with an operator's own."""
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """Names a document: rows with one id and one text have one key."""
+    return F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("\x00")), F.coalesce(text, F.lit("")))
+
+
+def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with length_col, where there is one, in step with a changed text."""
+    if length_col not in docs.columns:
+        return docs
+    return docs.withColumn(length_col, F.char_length(docs[text_col]).cast(docs.schema[length_col].dataType))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evgraph.llm.common import row_key
 from evgraph.session import stored
 
 NOISE_WORDS, SURE_WORDS = 40, 50
@@ -32,11 +33,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 EDGES = " \t\n\x0b\f\r"
 
 
-def _key(id_col: Column, text: Column) -> Column:
-    """Names a document: rows with one id and one text have one key."""
-    return F.xxhash64(F.coalesce(id_col.cast("string"), F.lit("\x00")), text)
-
-
 def _reach(words: Column, start: Column, least: int) -> Column:
     """Segments from start (0-based) until their words reach least; null if they never do. Each has a word, so `least` segments are enough."""
     sums = F.aggregate(
@@ -50,7 +46,7 @@ def _reach(words: Column, start: Column, least: int) -> Column:
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, id, h and g (two hashes of each segment), w (its words); texts without words are left out."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    rows = rows.select(_key(F.col("id"), F.col("text")).alias("key"), "id", F.split("text", CUT, -1).alias("segments"))
+    rows = rows.select(row_key(F.col("id"), F.col("text")).alias("key"), "id", F.split("text", CUT, -1).alias("segments"))
     line = lambda s: F.btrim(s, F.lit(EDGES))
     return rows.select(
         "key", "id",
@@ -123,7 +119,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise_words: int = NOISE_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
     """docs with later repeated runs deleted from the text, plus __removed (segments deleted from that row)."""
     runs = stored(repeated_runs(docs, id_col, text_col, noise_words, sure_words), "line-runs")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _key(docs[id_col], docs[text_col]).alias("key"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs[id_col], docs[text_col]).alias("key"))
     met = keyed.hint("merge").join(runs.hint("merge"), "key", "left")
     text = F.col(f"row.`{text_col}`")
     segments = F.split(text, CUT, -1)

@@ -76,6 +76,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, out, ranks)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -87,5 +93,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_rank_bpe": op8_rank_bpe,
         "op9_exact_dedup": op9_exact_dedup,
+        "pipeline": pipeline,
         "op10_token_files": op10_token_files,
     }

@@ -24,10 +24,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import id_and_text
+from evgraph.llm.common import id_and_text, row_key
 from evgraph.operators.components import connected_components
 from evgraph.session import stored
 
@@ -54,15 +54,16 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, key (of id and text), fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "fp": fp.view(np.int64)})
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def _planes(fp: np.ndarray) -> np.ndarray:
@@ -226,12 +227,27 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, cuts: int = CUTS, unit
     return met.mapInPandas(compare, "src long, dst long").distinct()
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **how) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the least doc_id of its near-duplicate component)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, how: dict) -> DataFrame:
+    """doc_id, key, fp, component (its least fingerprint), component_id (its least doc_id)."""
     prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     component = connected_components(near_links(distinct.select("fp"), radius, **how)).withColumnRenamed("id", "fp")
     tied = distinct.hint("merge").join(component.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = tied.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = stored(tied.hint("merge").join(names.hint("merge"), "component").select("fp", "component_id"), "simhash-components")
-    return prints.hint("merge").join(of_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    of_fp = stored(tied.hint("merge").join(names.hint("merge"), "component").select("fp", "component", "component_id"), "simhash-components")
+    return prints.hint("merge").join(of_fp.hint("merge"), "fp")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **how) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the least doc_id of its near-duplicate component)."""
+    return _grouped(docs, id_col, text_col, radius, how).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **how) -> DataFrame:
+    """docs with one row of each near-duplicate component: that of the least id, of several such the one with the least key."""
+    found = _grouped(docs, id_col, text_col, radius, how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = stored(found.groupBy("component").agg(F.min("key").alias("key")).select("key"), "simhash-stays")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs[id_col], docs[text_col]).alias("key"))
+    rows = rows.hint("merge").join(stays.hint("merge"), "key", "left_semi")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))  # repeated rows; in order by the join
+    return rows.where("n = 1").select("row.*")
