@@ -8,7 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from evgraph.session import get_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -31,6 +30,6 @@ def duck():
     import duckdb
 
     c = duckdb.connect()
-    for path in sorted(Path(SMALL).glob("*.parquet")):
+    for path in sorted(Path("/root/testdata/sf0.001").glob("*.parquet")):
         c.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     return c
