@@ -41,36 +41,42 @@ def norm_location(c) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
 
 
-def norm_date(c) -> Column:
-    """ISO date of the part before the first space or T; text that is no date stays as that part; blank is null."""
-    s = F.trim(c if isinstance(c, Column) else F.col(c))
-    s = F.element_at(F.split(s, "[T ]+", 2), 1)
+def _iso_date(s: Column) -> Column:
+    """ISO date of a text that is one of the known date formats as a whole, else null."""
     part = lambda pattern, k: F.regexp_extract(s, pattern, k)
-    names = {**{m: k + 1 for k, m in enumerate(MONTHS)}, **{m: k + 1 for k, m in enumerate(MONTH_NAMES)}}
+    names = {m: k + 1 for k, m in enumerate(MONTHS)} | {m: k + 1 for k, m in enumerate(MONTH_NAMES)}
     month_of = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    short_of = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, k + 1)])
+    month = lambda name: F.try_element_at(month_of, F.lower(name))
 
     def ymd(y: Column, m: Column, d: Column) -> Column:
         made = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0"))
         return F.when(m.isNotNull() & F.try_to_timestamp(made, F.lit("yyyy-MM-dd")).isNotNull(), made)
 
     def century(y: Column) -> Column:
-        return F.when(y.cast("int") >= 69, F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
+        return F.concat(F.when(y >= "69", "19").otherwise("20"), y)
 
     tries = []
     for sep in ("-", "/"):
         p = rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})$"
         tries.append((p, ymd(part(p, 1), part(p, 2), part(p, 3))))
-        p4 = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{4}})$"
-        tries.append((p4, ymd(part(p4, 3), part(p4, 2), part(p4, 1))))
-        p2 = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{2}})$"
-        tries.append((p2, F.when(s.rlike(p2), ymd(century(part(p2, 3)), part(p2, 2), part(p2, 1)))))
-    p = r"^(\d{1,2})-([A-Za-z]+)-(\d{4})$"
-    tries.append((p, ymd(part(p, 3), F.try_element_at(month_of, F.lower(part(p, 2))), part(p, 1))))
-    p = r"^(\d{1,2})[-/]([A-Za-z]{3})[-/](\d{4})$"
-    tries.append((p, ymd(part(p, 3), F.try_element_at(short_of, F.lower(part(p, 2))), part(p, 1))))
-    found = F.coalesce(*[F.when(s.rlike(pattern), made) for pattern, made in tries], s)
-    return F.when(s != "", found)
+        p = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{4}})$"
+        tries.append((p, ymd(part(p, 3), part(p, 2), part(p, 1))))
+        p = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{2}})$"
+        tries.append((p, ymd(century(part(p, 3)), part(p, 2), part(p, 1))))
+    p = r"^(\d{1,2})[-/ ]+([A-Za-z]{3,9})[-/ ]+(\d{4})$"
+    tries.append((p, ymd(part(p, 3), month(part(p, 2)), part(p, 1))))
+    p = r"^(\d{1,2}) +([A-Za-z]{3}) +(\d{2})$"
+    tries.append((p, ymd(century(part(p, 3)), month(part(p, 2)), part(p, 1))))
+    p = r"^([A-Za-z]{3,9}) +(\d{1,2}) +(\d{4})$"
+    tries.append((p, ymd(part(p, 3), month(part(p, 1)), part(p, 2))))
+    return F.coalesce(*[F.when(s.rlike(pattern), made) for pattern, made in tries])
+
+
+def norm_date(c) -> Column:
+    """ISO date of the whole text, else of the part before the first space or T; what is no date stays as that part; blank is null."""
+    s = F.trim(c if isinstance(c, Column) else F.col(c))
+    first = F.element_at(F.split(s, "[T ]+", 2), 1)
+    return F.when(s != "", F.nullif(F.coalesce(_iso_date(s), _iso_date(first), first), F.lit("")))
 
 
 TIME = r"(?:^|[T ])(\d{1,2}):(\d{2})(?::\d{2})?\s*((?:[aA]|[pP])[mM])?$"

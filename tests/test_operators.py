@@ -27,6 +27,7 @@ def one(spark, value, f, kind="string"):
         (C.norm_account, "ab-12/3", "AB123"), (C.norm_location, " o'brien  sTREET-west ", "O'Brien Street-West"),
         (C.norm_date, "20-Aug-2026", "2026-08-20"), (C.norm_date, "5/9/2026", "2026-09-05"), (C.norm_date, "31-02-2026", "31-02-2026"), (C.norm_date, "01-02-85", "1985-02-01"),
         (C.norm_date, "2026-08-20T10:15:00", "2026-08-20"), (C.norm_date, "  ", None), (C.norm_date, None, None), (C.norm_date, "7-september-2026", "2026-09-07"), (C.norm_date, "20/Aug/2026", "2026-08-20"),
+        (C.norm_date, "20 Aug 2026", "2026-08-20"), (C.norm_date, "20-OCT-2026", "2026-10-20"), (C.norm_date, "August 5 2026", "2026-08-05"), (C.norm_date, "5 Aug 71", "1971-08-05"),
         (C.norm_time, "2:10 PM", "14:10"), (C.norm_time, "12:05 am", "00:05"), (C.norm_time, "20-Aug-2026 10:15", "10:15"), (C.norm_time, "noon", "noon"), (C.norm_time, None, None),
     ],
 )
