@@ -26,6 +26,9 @@ PLAIN_SPACED = re.compile(f"[ \n]*[!-~{LETTER}]*")
 SHORT_FORMS = "'s|'t|'re|'ve|'m|'ll|'d"
 WORD_PIECES = re.compile(f"{SHORT_FORMS}|[{LETTER_LOW}]+|[0-9]|[^{LETTER_LOW}0-9]+")
 BYTE_PIECES = re.compile(rf"{SHORT_FORMS}| ?[{LETTER}]+| ?[0-9]+| ?[^ \n{LETTER}0-9]+|[ \n]+(?![^ \n])|[ \n]+")
+MARKS = (".", ",", "!", "?", ":", ";")
+#: Where one of these occurs, a space may be part of a longer run of white space.
+UNEVEN = ["  ", "\n ", *(chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
 SEGMENTS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Texts of these characters alone can be lower-cased before they are cut: no letter here composes or changes its length.
 LOWERS = re.compile("[\x00-įı-ž‐-‧‰-⁞]*")
@@ -66,6 +69,7 @@ class Encoder:
         self.words = self.tokenizer.normalizer is not None
         self.chunks = Memo(self._word_chunk if self.words else self._byte_chunk)
         self.lowered = Memo(self._lowered_chunk)
+        self.spaced = Memo(self._spaced_chunk)
         self.pieces = Memo(self._piece, ROOM // 3)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.bytes_of = [k.to_bytes(4, "little") for k in range(self.vocab_size)]
@@ -84,8 +88,9 @@ class Encoder:
         return self._whole(chunk)
 
     def _lowered_chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha() and chunk.isascii():
-            return self._piece(chunk)
+        word = chunk[:-1] if chunk[-1:] in MARKS else chunk
+        if word.isalpha() and word.isascii():
+            return self._piece(word) if word is chunk else self._piece(word) + self.pieces[chunk[-1]]
         return b"".join(map(self.pieces.__getitem__, WORD_PIECES.findall(chunk))) if PLAIN.fullmatch(chunk) else self._whole(chunk)
 
     def _byte_chunk(self, chunk: str) -> bytes:
@@ -93,9 +98,21 @@ class Encoder:
             return self._whole(chunk)
         return b"".join(map(self.pieces.__getitem__, BYTE_PIECES.findall(chunk)))
 
+    def _spaced_chunk(self, chunk: str) -> bytes:
+        """A chunk that a space precedes; it may hold line feeds."""
+        word = chunk[:-1] if chunk[-1:] in MARKS else chunk
+        if word.isalpha() and word.isascii():
+            ids = b"".join([self.bytes_of[t.id] for t in self.model.tokenize("Ġ" + word)])
+            return ids if word is chunk else ids + self.pieces[chunk[-1]]
+        return b"".join(map(self.chunks.__getitem__, SEGMENTS.findall(" " + chunk)))
+
     def encode(self, text: str) -> bytes:
         if not self.words:
-            return b"".join(map(self.chunks.__getitem__, SEGMENTS.findall(text)))
+            if text[-1:] == " " or "<|" in text or any(map(text.__contains__, UNEVEN)):
+                return b"".join(map(self.chunks.__getitem__, SEGMENTS.findall(text)))
+            first, *rest = text.split(" ")  # every space stands alone before a word or line feed
+            head = b"".join(map(self.chunks.__getitem__, SEGMENTS.findall(first)))
+            return head + b"".join(map(self.spaced.__getitem__, rest))
         if "<|" in text or not (text.isascii() or LOWERS.fullmatch(text)):  # special tokens go by the text as it is
             return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
         return b"".join(map(self.lowered.__getitem__, text.lower().replace("\n", " ").split(" ")))
