@@ -163,7 +163,10 @@ def train(stats: DataFrame, labels: DataFrame, target: str = "quality", id_col:
     """A model from stats (id_col and q_ columns) and labels outside the held-out fold."""
     names = [c for c in stats.columns if c.startswith("q_")]
     seen = labels.where(F.col(target).isNotNull() & (fold(F.col(id_col)) != HELD_OUT)).groupBy(id_col).agg(F.max(target).cast("double").alias("y"))
-    both = stats.hint("merge").join(seen.hint("merge"), id_col)
+    both = stored(stats.hint("merge").join(seen.hint("merge"), id_col).select(id_col, *names, "y"), "quality-labelled")
+    share = sample_rows / max(1, both.count())
+    if share < 0.5:  # thin out by hash before the exact cut, so that no task sends sample_rows rows of its own
+        both = both.where(F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(1_000_000)) < int(1_500_000 * share) + 1)
     rows = both.orderBy(F.xxhash64(id_col), *names).limit(sample_rows).select(*names, "y").toPandas()  # bounded by sample_rows
     return fit(rows[names].to_numpy(float), rows["y"].to_numpy(float), names)
 
