@@ -112,7 +112,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = signed.select("key", "h", "g", "w").dropDuplicates(["key"])
     left = pairs.hint("merge").join(lines.hint("merge"), "key")
     both = left.hint("merge").join(lines.select(F.col("key").alias("key0"), F.col("h").alias("h0"), F.col("g").alias("g0")).hint("merge"), "key0")
-    extended = both.select("key", F.explode(_equal_runs(noise_words)).alias("run"))
+    # written out: nothing above this join needs a document's rows together, so a first document of many others can be split
+    extended = stored(both.select("key", F.explode(_equal_runs(noise_words)).alias("run")), "line-extended")
     return own.unionByName(extended).distinct().groupBy("key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
