@@ -45,6 +45,27 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM t LEFT JOIN a USING (rid)
 """
 
+#: Windows of every length counted as texts, the longer ones where those of five repeat; covered positions one by one.
+OP4 = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT rid, doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+b AS (SELECT rid, doc_id, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) AS n_lines, len(list_distinct(lines)) AS n_distinct, list_sum(list_transform(lines, lambda v: length(v))) AS line_chars,
+  list_sum(list_transform(list_distinct(lines), lambda v: length(v))) AS distinct_chars FROM w),
+f AS (SELECT rid, 5 AS n, i, array_to_string(w[i : i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, n_words - 3)) AS i FROM b)),
+again AS (SELECT DISTINCT rid FROM (SELECT rid FROM f GROUP BY rid, gram HAVING count(*) > 1)),
+g AS (SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT rid, w, CAST(n AS BIGINT) AS n, unnest(range(1, n_words - n + 2)) AS i FROM b SEMI JOIN again USING (rid), range(5, 11) r(n))),
+k AS (SELECT rid, n, gram FROM g GROUP BY rid, n, gram HAVING count(*) > 1),
+d AS (SELECT rid, n, i FROM g SEMI JOIN k USING (rid, n, gram)),
+p AS (SELECT DISTINCT rid, n, unnest(range(i, i + n)) AS pos FROM d),
+s AS (SELECT p.rid, p.n, count(*) AS words, sum(length(b.w[p.pos])) AS chars FROM p JOIN b USING (rid) GROUP BY p.rid, p.n),
+v AS (SELECT rid, max(words) FILTER (n = 5) AS n_repeat, max(CAST(chars AS DOUBLE) / word_chars / CAST(([0.15, 0.14, 0.13, 0.12, 0.11, 0.10])[n - 4] AS DOUBLE)) AS worst FROM s JOIN b USING (rid) GROUP BY rid),
+r AS (SELECT doc_id, n_words, word_chars, n_symbols, n_lines - n_distinct AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n_repeat, 0) > 20 * n_words AS base_failed, greatest(coalesce(worst, 0), CASE WHEN n_lines > n_distinct THEN
+    greatest((n_lines - n_distinct)::DOUBLE / n_lines / 0.3::DOUBLE, (line_chars - distinct_chars)::DOUBLE / line_chars / 0.2::DOUBLE) ELSE 0 END) AS worst FROM b LEFT JOIN v USING (rid))
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND worst <= 1.0 AS kept FROM r
+"""
+
 
 def _op2() -> str:
     bound = lambda bits: str(round((math.log2(20) - bits) * 20 * 1048576))
@@ -52,4 +73,4 @@ def _op2() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": _op2(), "op9_exact_dedup": OP9}
+    return {"op2_secret_scan": _op2(), "op4_repetition_rules": OP4, "op9_exact_dedup": OP9}
