@@ -17,7 +17,7 @@ from evgraph.llm.repetition import repetition_rules
 from evgraph.llm.secrets import scan_digests
 from evgraph.llm.simhash import near_groups
 from evgraph.llm.token_files import read_files, token_files
-from evgraph.session import shared_dir
+from evgraph.session import importable_by_workers, shared_dir
 
 
 def tokenizer_file(name: str) -> str:
@@ -83,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_simhash": op1_simhash,
         "op2_secret_scan": op2_secret_scan,
         "op3_best_fit_packing": op3_best_fit_packing,
@@ -96,3 +96,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": pipeline,
         "op10_token_files": op10_token_files,
     }
+
+    def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable_by_workers(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {name: ready(f) for name, f in found.items()}
