@@ -184,5 +184,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that score `least` or more, with their own columns."""
     stats = stored(docs.select(docs[id_col].alias("doc_id"), *statistics(docs[text_col])), "quality-statistics")
     model = train(stats, labels.select(labels[id_col].alias("doc_id"), "quality"))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *statistics(docs[text_col]))
-    return row.where(model.column() >= least).select("row.*")
+    # the filter uses the id and so stays above this projection; below it, every rule would compute its statistics anew
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *statistics(docs[text_col]), F.monotonically_increasing_id().alias("once"))
+    return row.where((model.column() >= least) & (F.col("once") >= 0)).select("row.*")
