@@ -11,14 +11,14 @@ from evgraph.session import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the node's least neighbour (itself included)."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+    least = stored(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "components-least")  # a bare join side: hot nodes can be split
     up = both.where("dst > src").hint("merge").join(least.hint("merge"), "src")
     return up.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its lower neighbours are tied to the least of them; edges point downwards (src > dst)."""
-    least = edges.groupBy("src").agg(F.min("dst").alias("m"))
+    least = stored(edges.groupBy("src").agg(F.min("dst").alias("m")), "components-least")
     moved = edges.hint("merge").join(least.hint("merge"), "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
 
@@ -33,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = stored(e, "components")
     before = None
     for _ in range(max_rounds):
-        e = stored(_small_star(_large_star(e)), "components")
+        e = stored(_small_star(stored(_large_star(e), "components")), "components")
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
         if now == before:
             break
