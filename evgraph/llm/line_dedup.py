@@ -45,7 +45,7 @@ def _reach(words: Column, start: Column, least: int) -> Column:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, id, h and g (two hashes of each segment), w (its words); texts without words are left out."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(row_key(F.col("id"), F.col("text")).alias("key"), "id", F.split("text", CUT, -1).alias("segments"))
     line = lambda s: F.btrim(s, F.lit(EDGES))
     return rows.select(
@@ -53,7 +53,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.transform("segments", lambda s: F.xxhash64(line(s))).alias("h"),
         F.transform("segments", lambda s: F.xxhash64(F.lit(1), line(s))).alias("g"),
         F.transform("segments", lambda s: F.regexp_count(s, F.lit(WORD)).cast("int")).alias("w"),
-    ).where("size(w) > 1 or w[0] > 0")
+    )
 
 
 def fingerprints(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
@@ -109,10 +109,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = meet.select("key", F.col("first.key").alias("key0"), (F.col("pos") - F.col("first.pos")).alias("shift")).distinct()
     pairs = stored(pairs, "line-pairs")
 
-    lines = signed.select("key", "h", "g", "w").dropDuplicates(["key"])
-    left = pairs.hint("merge").join(lines.hint("merge"), "key")
+    lines = stored(signed.select("key", "h", "g", "w").dropDuplicates(["key"]), "line-hashes")  # bare sides: either join can be split where a key is hot
+    left = stored(pairs.hint("merge").join(lines.hint("merge"), "key"), "line-left")
     both = left.hint("merge").join(lines.select(F.col("key").alias("key0"), F.col("h").alias("h0"), F.col("g").alias("g0")).hint("merge"), "key0")
-    # written out: nothing above this join needs a document's rows together, so a first document of many others can be split
     extended = stored(both.select("key", F.explode(_equal_runs(noise_words)).alias("run")), "line-extended")
     return own.unionByName(extended).distinct().groupBy("key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
