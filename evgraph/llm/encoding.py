@@ -15,7 +15,7 @@ import re
 from array import array
 from functools import lru_cache
 
-ROOM, CHUNK_CHARS = 300_000, 64
+ROOM, CHUNK_ROOM, CHUNK_CHARS = 300_000, 500_000, 64
 
 #: White space as the tokenizer files' patterns have it (the Unicode property).
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -68,8 +68,8 @@ class Encoder:
         self.letters = byte_letters()
         self.words = self.tokenizer.normalizer is not None
         self.chunks = Memo(self._word_chunk if self.words else self._byte_chunk)
-        self.lowered = Memo(self._lowered_chunk)
-        self.spaced = Memo(self._spaced_chunk)
+        self.lowered = Memo(self._lowered_chunk, CHUNK_ROOM)
+        self.spaced = Memo(self._spaced_chunk, CHUNK_ROOM)
         self.pieces = Memo(self._piece, ROOM // 3)
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.bytes_of = [k.to_bytes(4, "little") for k in range(self.vocab_size)]

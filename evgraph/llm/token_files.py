@@ -30,27 +30,38 @@ from evgraph.session import stored
 
 #: LENGTHS[control byte] = the byte counts of its four values.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
-COLUMNS = np.arange(4)
+
+
+def _taken(sizes: np.ndarray, width: int) -> np.ndarray:
+    """Which of the width cells of each value are stored, column by column."""
+    taken = np.empty((len(sizes), width), bool)
+    for k in range(width):
+        taken[:, k] = sizes > k
+    return taken
 
 
 def squeeze(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Ranks -> control bytes, data bytes."""
-    ranks = ranks.astype("<u4")
-    codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    width = 2 if not len(ranks) or ranks.max() <= 0xFFFF else 4  # of the cells that are looked at; the bytes are the same
+    ranks = ranks.astype(f"<u{width}")
+    codes = (ranks > 0xFF).view(np.uint8)
+    if width == 4:
+        codes = codes + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     padded[: len(codes)] = codes
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    cells = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), cells[codes[:, None] >= COLUMNS].tobytes()
+    cells = ranks.view(np.uint8).reshape(-1, width)
+    return control.tobytes(), cells[_taken(codes + 1, width)].tobytes()
 
 
 def expand(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of squeeze()."""
     sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    cells = np.zeros((n, 4), np.uint8)
-    cells[sizes[:, None] > COLUMNS] = np.frombuffer(data, np.uint8)
-    return cells.view("<u4").reshape(-1)
+    width = 2 if not n or sizes.max() <= 2 else 4
+    cells = np.zeros((n, width), np.uint8)
+    cells[_taken(sizes, width)] = np.frombuffer(data, np.uint8)
+    return cells.view(f"<u{width}").reshape(-1)
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
