@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from evgraph.llm.common import id_and_text
-from evgraph.llm.encoding import BLANK, LOWERS, Memo, byte_letters
+from evgraph.llm.encoding import BLANK, CHUNK_ROOM, LOWERS, MARKS, Memo, byte_letters
 
 SCAN, NEVER = 96, 1 << 30
 
@@ -49,7 +49,7 @@ class RankBpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.blanks = regex.compile(f"[{BLANK}]+")
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
-        self.ids_of, self.text_of = Memo(self._ids_text), Memo(self._decoded_text)
+        self.ids_of, self.text_of = Memo(self._ids_text, CHUNK_ROOM), Memo(self._decoded_text, CHUNK_ROOM)
         self.words = Memo(self.merge)
 
     def merge(self, word: str) -> list[int]:
@@ -113,15 +113,24 @@ class RankBpe:
         """The vocabulary has no decoder of its own: its tokens, joined by spaces."""
         return " ".join([self.names[i] for i in ids])
 
+    def _chunk_ids(self, chunk: str) -> list[int]:
+        """encode(), without its general steps for a plain word and a mark behind it."""
+        word = chunk[:-1] if chunk[-1:] in MARKS else chunk
+        if not (word.isalpha() and word.isascii()):
+            return self.encode(chunk)
+        ids = self.merge(word.lower())
+        return ids if word is chunk else ids + self.words[chunk[-1]]
+
     def _ids_text(self, chunk: str) -> bytes:
-        return " ".join(map(str, self.encode(chunk))).encode()
+        return " ".join(map(str, self._chunk_ids(chunk))).encode()
 
     def _decoded_text(self, chunk: str) -> bytes:
-        return self.decode([int(x) for x in self.ids_of[chunk].split()]).encode("utf-8", "surrogatepass")
+        names = self.names
+        return " ".join([names[int(x)] for x in self.ids_of[chunk].split()]).encode("utf-8", "surrogatepass")
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Token count and the hashes of the ids' text and of the decoded text."""
-        if "<|" not in text and LOWERS.fullmatch(text):
+        if "<|" not in text and (text.isascii() or LOWERS.fullmatch(text)):
             text = text.lower()
         chunks = text.replace("\n", " ").split(" ")
         ids = b" ".join(filter(None, map(self.ids_of.__getitem__, chunks)))
