@@ -11,6 +11,11 @@
 
 Equal fingerprints are one row throughout, so exact copies never meet each other.
 
+keep_one goes further: its fingerprints only propose pairs of texts, and a pair counts if the exact Jaccard similarity of the two sets of
+5-word shingles reaches 0.8. Tables find every pair within SURE bits and most of those up to WIDE bits (at 0.8 the mean is 10 bits); a second
+fingerprint and the sizes of the sets drop most others inside the unit. Where a unit holds many pairs (a large group of near copies), each text
+is first verified against the least one, and afterwards only pairs that this left in different groups are.
+
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words than a
 shingle the whole sequence is hashed; every input row gives one row; a null id is never a component's name unless all
 are null; an empty table gives an empty result; other columns are never read.
@@ -32,27 +37,36 @@ from evgraph.operators.components import connected_components
 from evgraph.session import stored
 
 SHINGLE, SEED, RADIUS, CUTS, UNIT = 4, 42, 4, 6, 4096
+NEAR_SHINGLE, NEAR, SURE, SURE_CUTS, WIDE, BOTH, NEAR_UNIT, BUFFER = 5, 0.8, 10, 12, 18, 34, 16384, 1 << 17
 ONE = np.uint64(1)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, bytes]:
+    """The hash of every shingle, in order, and the normalised words as one string."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the ASCII blanks only
     if not words:
-        return 0
+        return np.zeros(0, "<u8"), b""
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], "<u8")
-    ones = np.zeros(64, np.int64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], "<u8"), joined
+
+
+def _majority(h: np.ndarray) -> int:
+    ones, n = np.zeros(64, np.int64), len(h)
     for k in range(0, n, 1 << 15):
         ones += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint as an unsigned integer."""
+    return _majority(shingle_hashes(text, shingle, seed)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, key (of id and text), fp (the 64 bits as a signed long)."""
 
@@ -170,8 +184,8 @@ def _lag_pairs(fp: np.ndarray, unit: np.ndarray, radius: int) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links_of(fp: np.ndarray, unit: np.ndarray, radius: int, small: int = 64) -> pd.DataFrame:
-    """Fingerprints of whole units, in order -> (src, dst): each fingerprint with the least one that its unit links it to."""
+def pairs_of(fp: np.ndarray, unit: np.ndarray, radius: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of whole units, in order -> places (i, j), i < j, of all pairs within radius that share a unit."""
     edges = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
     sizes = np.diff(np.append(edges, len(unit)))
     is_small = np.repeat(sizes <= small, sizes)
@@ -179,10 +193,12 @@ def links_of(fp: np.ndarray, unit: np.ndarray, radius: int, small: int = 64) ->
     pairs = [tuple(at[x] for x in _lag_pairs(fp[at], unit[at], radius))] if len(at) else []
     for a, size in zip(edges[sizes > small], sizes[sizes > small]):
         pairs.append(tuple(a + x for x in _query_pairs(fp[a : a + size], radius)))
-    if not pairs:
-        return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
-    i, j = (np.concatenate(x) for x in zip(*pairs))
-    label = np.arange(len(fp))
+    return tuple(np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+
+
+def _least_label(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each place the least one that the pairs (i, j) lead to."""
+    label = np.arange(size)
     while True:  # least label over links, with shortcuts
         low = np.minimum(label[i], label[j])
         new = label.copy()
@@ -190,21 +206,31 @@ def links_of(fp: np.ndarray, unit: np.ndarray, radius: int, small: int = 64) ->
         np.minimum.at(new, j, low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def links_of(fp: np.ndarray, unit: np.ndarray, radius: int, small: int = 64) -> pd.DataFrame:
+    """Fingerprints of whole units, in order -> (src, dst): each fingerprint with the least one that its unit links it to."""
+    label = _least_label(len(fp), *pairs_of(fp, unit, radius, small))
     linked = np.flatnonzero(label != np.arange(len(fp)))
     signed = fp.view(np.int64)
     return pd.DataFrame({"src": signed[linked], "dst": signed[label[linked]]}).drop_duplicates()
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, cuts: int = CUTS, unit: int = UNIT) -> DataFrame:
-    """Links (src, dst) between distinct fingerprints (column fp) whose components are those of all pairs within radius."""
+def _keyed(rows: DataFrame, radius: int, cuts: int) -> DataFrame:
+    """rows once per table t with the key of their bucket there."""
     edge = [round(64 * k / cuts) for k in range(cuts + 1)]
     tables = []
     for number, chosen in enumerate(combinations(range(cuts), cuts - radius)):
         mask = sum(((1 << edge[k + 1]) - (1 << edge[k])) for k in chosen)
         tables.append(F.struct(F.lit(number).alias("t"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
-    keyed = distinct.select("fp", F.explode(F.array(*tables)).alias("k")).select("fp", "k.t", "k.key")
+    return rows.select(*rows.columns, F.explode(F.array(*tables)).alias("k")).select(*rows.columns, "k.t", "k.key")
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, cuts: int = CUTS, unit: int = UNIT) -> DataFrame:
+    """Links (src, dst) between distinct fingerprints (column fp) whose components are those of all pairs within radius."""
+    keyed = _keyed(distinct, radius, cuts)
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = keyed.hint("merge").join(sizes.hint("merge"), ["t", "key"]).withColumn("chunks", F.ceil(F.col("n") / unit).cast("int"))
     mine = F.pmod(F.xxhash64("fp", "t"), F.col("chunks")).cast("int")
@@ -243,9 +269,146 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _grouped(docs, id_col, text_col, radius, how).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **how) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the least id, of several such the one with the least key."""
-    found = _grouped(docs, id_col, text_col, radius, how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash from the first (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, key, node (hash of the normalised words), fp, fp2 (two fingerprints), n (different shingles)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            node, fp, fp2, n = [], [], [], []
+            for text in pdf["text"]:
+                h, words = shingle_hashes(text, shingle)
+                node.append(xxhash.xxh64_intdigest(words, 1))
+                fp.append(_majority(h))
+                fp2.append(_majority(_mixed(h)))
+                n.append(len(np.unique(h)))
+            signed = {c: np.array(x, np.uint64).view(np.int64) for c, x in (("node", node), ("fp", fp), ("fp2", fp2))}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], **signed, "n": np.array(n, np.int32)})
+
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, node long, fp long, fp2 long, n int")
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """node, s (its different shingles)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [shingle_hashes(text, shingle) for text in pdf["text"]]
+            node = np.array([xxhash.xxh64_intdigest(words, 1) for _, words in found], np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": node, "s": [np.unique(h).view(np.int64) for h, _ in found]})
+
+    return rows.mapInPandas(run, "node long, s array<long>")
+
+
+def _whole_units(batches: Iterator[pd.DataFrame], least_rows: int = BUFFER) -> Iterator[pd.DataFrame]:
+    """Batches in order of unit -> larger ones that end with a unit."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= least_rows:
+            pdf = pd.concat(held, ignore_index=True)
+            last = pdf["unit"].to_numpy() == pdf["unit"].iloc[-1]
+            held, size = [pdf[last]], 0
+            if not last.all():
+                yield pdf[~last].reset_index(drop=True)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _proposed(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different texts that both fingerprints and the sizes allow."""
+    fp, fp2, n = (pdf[c].to_numpy() for c in ("fp", "fp2", "n"))
+    i, j = pairs_of(fp.astype(np.int64).view(np.uint64), pdf["unit"].to_numpy(), WIDE, small=512)
+    right = (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fp2[i] ^ fp2[j]).view(np.uint64)) <= BOTH) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+    return i[right], j[right]
+
+
+def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR, dense: int = 8, unit: int = NEAR_UNIT) -> DataFrame:
+    """Links (a, b) between texts of a similarity of `least` or more, whose components are those of all such pairs that the tables propose.
+
+    docs has key and text; nodes has node, key (of one of its documents), fp, fp2 and n. Units with more than `dense` pairs a text go through the groups.
+    """
+    keyed = _keyed(nodes.select("node", "fp", "fp2", "n"), SURE, SURE_CUTS)
+    sizes = stored(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
+    met = keyed.join(F.broadcast(sizes), ["t", "key"]).withColumn("chunks", F.ceil(F.col("m") / unit).cast("int"))  # at most 66 x 2048 buckets
+    mine = F.pmod(F.xxhash64("node", "t"), F.col("chunks")).cast("int")
+    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("node", "fp", "fp2", "n", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_units(batches):
+            i, j = _proposed(pdf, least)
+            node, of = pdf["node"].to_numpy(), pdf["unit"].to_numpy()
+            number = np.cumsum(np.append(False, of[1:] != of[:-1]))
+            lanes = np.zeros(len(pdf), bool)
+            lanes[i] = lanes[j] = True
+            many = np.bincount(number[i], minlength=number[-1] + 1) > dense * np.bincount(number[lanes], minlength=number[-1] + 1)
+            few = ~many[number[i]]
+            label = _least_label(len(pdf), i[~few], j[~few])
+            star = np.flatnonzero(label != np.arange(len(pdf)))
+            a, b = np.concatenate([node[i[few]], node[star]]), np.concatenate([node[j[few]], node[label[star]]])
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(unit=0, fp=0, fp2=0, n=0)
+            again = pdf[lanes & many[number]]  # b stays null
+            yield pd.DataFrame({"a": again["node"], "b": pd.array([None] * len(again), "Int64"), "unit": again["unit"], "fp": again["fp"], "fp2": again["fp2"], "n": again["n"]})
+
+    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_units(batches):
+            i, j = _proposed(pdf, least)
+            group, node = pdf["group"].to_numpy(), pdf["node"].to_numpy()
+            apart = group[i] != group[j]
+            a, b = node[i[apart]], node[j[apart]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    sorted_units = lambda rows: rows.repartition(parts, "unit").sortWithinPartitions("unit", "node")
+    found = stored(sorted_units(met).mapInPandas(compare, "a long, b long, unit long, fp long, fp2 long, n int"), "near-found")
+    first = stored(found.where("b IS NOT NULL").select("a", "b").distinct(), "near-first")
+    wanted = found.select(F.col("a").alias("node")).unionByName(found.where("b IS NOT NULL").select(F.col("b").alias("node"))).distinct()
+    keys = stored(wanted.hint("merge").join(nodes.select("node", "key").hint("merge"), "node").select("key"), "near-keys")
+    sets = stored(_shingle_sets(docs.select("key", "text").hint("merge").join(keys.hint("merge"), "key", "left_semi"), shingle).dropDuplicates(["node"]), "near-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+        both = left.hint("merge").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.where(common / (F.size("sa") + F.size("sb") - common) >= least).select("a", "b")
+
+    links = stored(verified(first), "near-links")
+    lanes = found.where("b IS NULL").select(F.col("a").alias("node"), "unit", "fp", "fp2", "n")
+    if lanes.isEmpty():
+        return links
+    groups = connected_components(links, "a", "b").select(F.col("id").alias("node"), F.col("component").alias("group"))
+    lanes = lanes.hint("merge").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    rest = sorted_units(lanes).mapInPandas(across, "a long, b long").distinct()
+    rest = stored(rest.hint("merge").join(first.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
+    return links.unionByName(stored(verified(rest), "near-links"))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:
+    """doc_id, key, component (its least node), component_id (its least doc_id)."""
+    rows = id_and_text(docs, id_col, text_col)
+    rows = rows.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    prints = stored(_sketches(rows, shingle), "near-sketches")
+    nodes = prints.groupBy("node").agg(F.min("key").alias("key"), *[F.min(c).alias(c) for c in ("fp", "fp2", "n")], F.min("doc_id").alias("least"))
+    nodes = stored(nodes, "near-nodes")
+    component = connected_components(near_pairs(rows, nodes, shingle, least), "a", "b").withColumnRenamed("id", "node")
+    tied = nodes.select("node", "least").hint("merge").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tied = stored(tied, "near-tied")
+    names = tied.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = stored(tied.hint("merge").join(names.hint("merge"), "component").select("node", "component", "component_id"), "near-components")
+    return prints.select("doc_id", "key", "node").hint("merge").join(of_node.hint("merge"), "node")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR) -> DataFrame:
+    """docs with one row of each component of texts whose shingles are similar: that of the least id, of several such the one with the least key."""
+    found = _similar(docs, id_col, text_col, shingle, least).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stored(found.groupBy("component").agg(F.min("key").alias("key")).select("key"), "simhash-stays")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs[id_col], docs[text_col]).alias("key"))
     rows = rows.hint("merge").join(stays.hint("merge"), "key", "left_semi")
