@@ -4,13 +4,13 @@ A text is cut before every line that has a word, so a segment is a line and the
 hashed (two 64-bit hashes of the trimmed line) and counted in words.
 
 - A gram is the shortest run of segments from some line on with `noise_words` words or more; its hash covers all its lines.
-- A window is the shortest run with `sure_words` words or more; of the grams inside it, the one with the least hash is
-  selected. Equal windows select equal grams, so every repeated run of `sure_words` words holds a selected fingerprint,
-  and no run below `noise_words` words is ever deleted.
-- Fingerprints are joined to their first position in the corpus (least doc_id, then position), not to each other, and both documents'
-  line hashes are laid side by side at that offset. Matching lines extend the fingerprint both ways, and matching runs of
-  noise_words or more are the later repeats, which are deleted. A gram that a document repeats within itself is deleted at
-  its later places.
+- A window is the shortest run with `sure_words` words or more, from some line on or up to some line; of the grams inside it, the one
+  with the least hash is selected. Equal windows select equal grams, so every repeated run of `sure_words` words consists of windows
+  whose fingerprints are held at several places, and no run below `noise_words` words is ever deleted.
+- Windows with such a fingerprint (only those) are joined by the hash of all their lines to the first document of the corpus that holds the
+  whole window (least doc_id, then position), not to each other; inside a document to the place before. Both places' line hashes are laid
+  side by side at that offset. Matching lines extend the window both ways, and matching runs of noise_words or more are the later
+  repeats, which are deleted. So every window that occurred before goes as a whole, whatever other places share a part of it.
 
 A gram that a third of the documents share is one row per document in the join and one row after partial aggregation; nothing
 is gathered but the runs of one document.
@@ -56,30 +56,51 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def fingerprints(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
-    """key, id, f (two hashes of the gram), pos, n (its segments), lead (whether it is the document's first place of that gram)."""
+def selections(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
+    """signed with s: start and stop of each window and its selected gram (f, two hashes; pos)."""
     at = lambda a: F.sequence(F.lit(0), F.size(a) - 1)
-    reach = signed.select("key", "id", "h", "g", F.transform(at("w"), lambda i: F.struct(_reach(F.col("w"), i, noise_words).alias("n"), _reach(F.col("w"), i, sure_words).alias("window"))).alias("r"))
+    reach = lambda i: F.struct(_reach(F.col("w"), i, noise_words).alias("n"), _reach(F.col("w"), i, sure_words).alias("on"), _reach(F.col("v"), F.size("v") - 1 - i, sure_words).alias("back"))
+    rows = signed.withColumn("v", F.reverse("w")).withColumn("r", F.transform(at("w"), reach))
 
     def gram(r: Column, i: Column) -> Column:
         cut = lambda c: F.slice(c, i + 1, F.coalesce(r["n"], F.lit(0)))
-        return F.struct(F.xxhash64(cut("h")).alias("f"), F.xxhash64(cut("g")).alias("f2"), i.alias("pos"), r["n"].alias("n"), r["window"].alias("window"))
+        return F.struct(F.xxhash64(cut("h")).alias("f"), F.xxhash64(cut("g")).alias("f2"), i.alias("pos"), r["n"].alias("n"))
 
-    grams = reach.select("key", "id", F.transform("r", gram).alias("grams"))
+    span = lambda start, stop: F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))
+    new = lambda r, i: ~F.get("r", i + 1 - r["back"])["on"].eqNullSafe(r["back"])  # noqa: E731  no forward window as well
+    spans = F.concat(F.transform("r", lambda r, i: span(i, i + r["on"])), F.transform("r", lambda r, i: F.when(new(r, i), span(i + 1 - r["back"], i + 1))))
+    spans = F.filter(spans, lambda x: x["start"].isNotNull() & x["stop"].isNotNull())
+    rows = rows.select(*signed.columns, F.transform("r", gram).alias("grams"), spans.alias("spans"))
+    spans = F.filter("spans", lambda x: x["stop"] <= F.size("grams"))  # all; grams used twice is computed once, not in each step of the lambda
 
     def select(x: Column) -> Column:
-        inside = F.filter(F.slice("grams", x["pos"] + 1, x["window"]), lambda y: y["pos"] + y["n"] <= x["pos"] + x["window"])
-        return F.array_min(F.transform(inside, lambda y: F.struct(y["f"].alias("f"), y["f2"].alias("f2"), y["pos"].alias("pos"), y["n"].alias("n"))))
+        inside = F.filter(F.slice("grams", x["start"] + 1, x["stop"] - x["start"]), lambda y: y["pos"] + y["n"] <= x["stop"])
+        least = F.array_min(F.transform(inside, lambda y: F.struct(y["f"].alias("f"), y["f2"].alias("f2"), y["pos"].alias("pos"))))
+        return F.struct(x["start"].alias("start"), x["stop"].alias("stop"), least.alias("gram"))
+
+    return rows.select(*signed.columns, F.transform(spans, select).alias("s"))
+
+
+def fingerprints(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
+    """key, f, f2 and pos of the selected grams."""
+    grams = F.array_distinct(F.transform("s", lambda x: x["gram"]))
+    return selections(signed, noise_words, sure_words).select("key", F.explode(grams).alias("m")).select("key", "m.*")
+
 
-    whole = F.filter("grams", lambda x: x["window"].isNotNull())
-    chosen = grams.select("key", "id", F.array_sort(F.array_distinct(F.transform(whole, select))).alias("s"))  # by hash, then position
+def windows(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
+    """key, id, f (two hashes of the whole window), pos and before (the place of the same window before it in the document, or null), where the gram is in `shared`."""
+    cut = lambda c, x: F.slice(c, x["start"] + 1, x["stop"] - x["start"])
+    held = F.filter("s", lambda x: F.array_contains("shared", x["gram"]["f"]))
+    hashed = F.transform(held, lambda x: F.struct(F.xxhash64(cut("h", x)).alias("f"), F.xxhash64(cut("g", x)).alias("f2"), x["start"].alias("pos")))
+    rows = selections(signed, noise_words, sure_words).select("key", "id", F.array_sort(hashed).alias("s"))  # by hash, then position
     same = lambda x, y: (x["f"] == y["f"]) & (x["f2"] == y["f2"])
-    marked = F.transform("s", lambda x, i: F.struct(x["f"].alias("f"), x["f2"].alias("f2"), x["pos"].alias("pos"), x["n"].alias("n"), ((i == 0) | ~same(F.get("s", i - 1), x)).alias("lead")))
-    return chosen.select("key", "id", F.explode(marked).alias("m")).select("key", "id", "m.*")
+    before = lambda x, i: F.when((i > 0) & same(F.get("s", i - 1), x), F.get("s", i - 1)["pos"])
+    marked = F.transform("s", lambda x, i: F.struct(x["f"].alias("f"), x["f2"].alias("f2"), x["pos"].alias("pos"), before(x, i).alias("before")))
+    return rows.select("key", "id", F.explode(marked).alias("m")).select("key", "id", "m.*")
 
 
 def _equal_runs(noise_words: int) -> Column:
-    """Runs (start, stop) of segments that equal those of the first document at the same offset, of noise_words or more."""
+    """Runs (start, stop) of segments that equal those of the earlier place at the same offset, of noise_words or more."""
     start = F.greatest(F.lit(0), F.col("shift"))
     count = F.least(F.size("h") - start, F.size("h0") - (start - F.col("shift")))
     side = lambda c, at: F.slice(c, at + 1, count)
@@ -101,19 +122,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """key, runs: the segments (start, stop) of each document that repeat earlier ones. Documents without any are left out."""
     signed = stored(signatures(docs, id_col, text_col), "line-signatures")
     prints = stored(fingerprints(signed, noise_words, sure_words), "line-fingerprints")
-    own = prints.where(~F.col("lead")).select("key", F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("stop")).alias("run"))
+    several = prints.groupBy("f", "f2").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("f", "f2")
+    several = prints.select("f", "f2", "key").distinct().hint("merge").join(several.hint("merge"), ["f", "f2"]).groupBy("key").agg(F.collect_set("f").alias("shared"))
+    held = signed.dropDuplicates(["key"]).hint("merge").join(stored(several, "line-shared").hint("merge"), "key")
+    places = stored(windows(held, noise_words, sure_words), "line-windows")
+    own = places.where("before IS NOT NULL").select("key", F.col("key").alias("key0"), (F.col("pos") - F.col("before")).alias("shift"))
 
-    leads = prints.where("lead").select("f", "f2", "key", "id", "pos")
+    leads = places.where("before IS NULL").select("f", "f2", "key", "id", "pos")
     first = leads.groupBy("f", "f2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("f", "f2", "first")
     meet = leads.hint("merge").join(first.hint("merge"), ["f", "f2"]).where(F.col("key") != F.col("first.key"))
-    pairs = meet.select("key", F.col("first.key").alias("key0"), (F.col("pos") - F.col("first.pos")).alias("shift")).distinct()
+    pairs = meet.select("key", F.col("first.key").alias("key0"), (F.col("pos") - F.col("first.pos")).alias("shift")).unionByName(own).distinct()
     pairs = stored(pairs, "line-pairs")
 
     lines = stored(signed.select("key", "h", "g", "w").dropDuplicates(["key"]), "line-hashes")  # bare sides: either join can be split where a key is hot
     left = stored(pairs.hint("merge").join(lines.hint("merge"), "key"), "line-left")
     both = left.hint("merge").join(lines.select(F.col("key").alias("key0"), F.col("h").alias("h0"), F.col("g").alias("g0")).hint("merge"), "key0")
     extended = stored(both.select("key", F.explode(_equal_runs(noise_words)).alias("run")), "line-extended")
-    return own.unionByName(extended).distinct().groupBy("key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
+    return extended.distinct().groupBy("key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise_words: int = NOISE_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
