@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evgraph.session import shared_dir
+from evgraph.session import shared_dir, stored
 
 
 def ingest(spark: SparkSession, path: str, schema, work: str, build: Callable[[DataFrame], DataFrame], by: str = "case_id") -> StreamingQuery:
-    """New files -> rows of build(), replacing the partitions (cases) they touch; a repeated batch leaves the same table."""
-    files = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    """New files -> the cases they touch, rebuilt by build() from all files that lie in path and written over their partitions.
+
+    So earlier rows of a touched case stay, and a repeated batch leaves the same table; files stay in path after they have been read.
+    """
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    files = spark.readStream.schema(schema).parquet(pattern)
 
     def write(batch: DataFrame, number: int) -> None:
-        build(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{work}/table")
+        touched = stored(build(batch).select(F.col(by).alias("__touched")).distinct(), "ingest-touched")
+        whole = build(batch.sparkSession.read.schema(schema).parquet(pattern))
+        whole = whole.join(touched, whole[by].eqNullSafe(touched["__touched"]), "left_semi")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{work}/table")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
 
