@@ -26,9 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 
 from evgraph.llm.common import id_and_text
-from evgraph.llm.encoding import BLANK, CHUNK_ROOM, LOWERS, MARKS, Memo, byte_letters
+from evgraph.llm.encoding import BLANK, LOWERS, MARKS, Memo, byte_letters
 
-SCAN, NEVER = 96, 1 << 30
+SCAN, NEVER, WORD_ROOM = 96, 1 << 30, 500_000
 
 
 class RankBpe:
@@ -49,8 +49,8 @@ class RankBpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.blanks = regex.compile(f"[{BLANK}]+")
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
-        self.ids_of, self.text_of = Memo(self._ids_text, CHUNK_ROOM), Memo(self._decoded_text, CHUNK_ROOM)
-        self.words = Memo(self.merge)
+        self.ids_of, self.text_of = Memo(self._ids_text, WORD_ROOM), Memo(self._decoded_text, WORD_ROOM)
+        self.words = Memo(self.merge, WORD_ROOM)
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")

@@ -48,11 +48,11 @@ def pieces_of(docs: DataFrame, path: str, max_tokens: int, end_id: int, with_ids
     step = 4 * max_tokens
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode
+        enc = encoder(path)
         for pdf in batches:
             at, rows, kept = [], [], []
-            for k, text in enumerate(pdf["text"]):
-                ids = encode(text) + end
+            for k, ids in enumerate(enc.encode_all(pdf["text"])):
+                ids += end
                 for n, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
                     at.append(k)

@@ -65,37 +65,46 @@ def expand(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tie, ids: the ids as little-endian unsigned integers of 2 bytes, or 4 for vocabularies that need them."""
+    """doc_id, tie, width, ids: the ids as little-endian unsigned integers of 2 bytes, or 4 for vocabularies that need them.
+
+    A task's last row has no ids but `counts`: how often it has seen each id, as 8-byte integers.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        end = int(end_id).to_bytes(4, "little")
-        kind = "<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4"
+        end, size = int(end_id).to_bytes(4, "little"), max(enc.vocab_size, end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        total = np.zeros(size, np.int64)
         for pdf in batches:
-            whole = [enc.encode(t) + end for t in pdf["text"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "width": int(kind[-1]), "tie": [zlib.crc32(x) for x in whole],
-                "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in whole],
-            })
+            whole = [ids + end for ids in enc.encode_all(pdf["text"])]
+            packed = [np.frombuffer(x, "<u4").astype(kind) for x in whole]
+            for ids in packed:
+                if len(ids) > 1 << 16:
+                    total += np.bincount(ids, minlength=size)
+            small = [ids for ids in packed if len(ids) <= 1 << 16]
+            for k in range(0, len(small), 1024):
+                total += np.bincount(np.concatenate(small[k : k + 1024]), minlength=size)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "width": int(kind[-1]), "tie": [zlib.crc32(x) for x in whole], "ids": [x.tobytes() for x in packed], "counts": None})
+        yield pd.DataFrame({"doc_id": [None], "width": 0, "tie": 0, "ids": None, "counts": [total.astype("<i8").tobytes()]})
 
     rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, width int, tie long, ids binary")
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, width int, tie long, ids binary, counts binary")
 
 
 def ranking(tokens: DataFrame) -> DataFrame:
-    """(id, rank) over all documents, by falling count; as many rows as there are distinct ids."""
+    """(id, n) over all documents, by falling count; as many rows as there are distinct ids."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for pdf in batches:
-            for width, part in pdf.groupby("width"):
-                n = np.bincount(np.frombuffer(b"".join(part["ids"]), f"<u{width}"), minlength=len(total))
+            for raw in pdf["counts"]:
+                n = np.frombuffer(raw, "<i8").copy()
                 n[: len(total)] += total
                 total = n
         ids = np.flatnonzero(total)
         yield pd.DataFrame({"id": ids, "n": total[ids]})
 
-    counts = tokens.select("width", "ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.where("counts is not null").select("counts").mapInPandas(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "id").select("id", "n")
 
 
@@ -106,7 +115,7 @@ def write_files(tokens: DataFrame, ranks: pd.DataFrame, path: str, block_ids: in
     of[ranks["id"].to_numpy()] = np.arange(len(ranks), dtype=np.uint32)
     rank_of = spark.sparkContext.broadcast(of)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = tokens.where("ids is not null").select("doc_id", "tie", "width", "ids").repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, number, size = TaskContext.get().partitionId(), 0, 0
