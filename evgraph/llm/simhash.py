@@ -14,7 +14,8 @@ Equal fingerprints are one row throughout, so exact copies never meet each other
 keep_one goes further: its fingerprints only propose pairs of texts, and a pair counts if the exact Jaccard similarity of the two sets of
 5-word shingles reaches 0.8. Tables find every pair within SURE bits and most of those up to WIDE bits (at 0.8 the mean is 10 bits); a second
 fingerprint and the sizes of the sets drop most others inside the unit. Where a unit holds many pairs (a large group of near copies), each text
-is first verified against the least one, and afterwards only pairs that this left in different groups are.
+is first verified against the one with the most proposals. What this leaves in different groups is compared in chunks of texts of at most CHUNK_BYTES: a
+task holds the shingles of two chunks, measures the proposed pairs that are not joined yet, and returns a forest of links, never pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words than a
 shingle the whole sequence is hashed; every input row gives one row; a null id is never a component's name unless all
@@ -37,7 +38,7 @@ from evgraph.operators.components import connected_components
 from evgraph.session import stored
 
 SHINGLE, SEED, RADIUS, CUTS, UNIT = 4, 42, 4, 6, 4096
-NEAR_SHINGLE, NEAR, SURE, SURE_CUTS, WIDE, BOTH, NEAR_UNIT, BUFFER = 5, 0.8, 10, 12, 18, 34, 16384, 1 << 17
+NEAR_SHINGLE, NEAR, SURE, SURE_CUTS, WIDE, BOTH, NEAR_UNIT, BUFFER, CHUNK_BYTES = 5, 0.8, 10, 12, 18, 34, 16384, 1 << 17, 1 << 25
 ONE = np.uint64(1)
 
 
@@ -126,9 +127,9 @@ def _lanes(word_index: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nd
     return word_index[at], lane
 
 
-def _query_pairs(fp: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i < j within radius, for one large unit: blocks of queries against all lanes."""
-    planes, found = _planes(fp), []
+def _query_blocks(fp: np.ndarray, radius: int, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j within radius of one large unit: blocks of queries against all lanes."""
+    planes = _planes(fp)
     n, words = len(fp), planes.shape[1]
     for q in range(0, n, block):
         query = fp[q : q + block]
@@ -149,8 +150,11 @@ def _query_pairs(fp: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndar
         at, lane = _lanes(np.arange(len(row)), ~count.exceed()) if len(row) else (np.zeros(0, int), np.zeros(0, int))
         i, j = q + row[at], col[at] * 64 + lane
         right = (j > i) & (j < n)
-        found.append((i[right], j[right]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        yield i[right], j[right]
+
+
+def _query_pairs(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in zip(*_query_blocks(fp, radius)))
 
 
 def _lag_pairs(fp: np.ndarray, unit: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,14 +326,78 @@ def _whole_units(batches: Iterator[pd.DataFrame], least_rows: int = BUFFER) -> I
         yield pd.concat(held, ignore_index=True)
 
 
+def _allowed(i: np.ndarray, j: np.ndarray, fp: np.ndarray, fp2: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs both fingerprints and the sizes of the shingle sets allow."""
+    bits = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fp2[i] ^ fp2[j]).view(np.uint64))
+    return (bits <= BOTH) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+
+
 def _proposed(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of different texts that both fingerprints and the sizes allow."""
+    """Places of the pairs of different texts that are worth a look."""
     fp, fp2, n = (pdf[c].to_numpy() for c in ("fp", "fp2", "n"))
     i, j = pairs_of(fp.astype(np.int64).view(np.uint64), pdf["unit"].to_numpy(), WIDE, small=512)
-    right = (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(int) + np.bitwise_count((fp2[i] ^ fp2[j]).view(np.uint64)) <= BOTH) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+    right = _allowed(i, j, fp, fp2, n, least)
     return i[right], j[right]
 
 
+def _centres(label: np.ndarray, degree: np.ndarray) -> np.ndarray:
+    """For each place the place with the highest degree (the first of several) among those with its label."""
+    order = np.lexsort((np.arange(len(label)), -degree, label))
+    first = np.append(True, label[order][1:] != label[order][:-1])
+    return order[first][np.cumsum(first) - 1][np.argsort(order)]
+
+
+def _common(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], column: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """How many shingles the sets of each pair (i, j) share; many pairs by products of 0/1 matrices, a range of shingles at a time.
+
+    column and owner are those of every shingle that two or more sets hold, in order of column.
+    """
+    if len(i) <= 2048:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    low, high = int(i.min()), int(i.max()) + 1
+    total = np.zeros((high - low, len(sets)), np.float32)
+    step = max(64, (1 << 23) // len(sets))
+    for at in range(0, width, step):
+        a, b = np.searchsorted(column, (at, at + step))
+        held = np.zeros((len(sets), min(step, width - at)), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1
+        total += held[low:high] @ held.T
+    return total[i - low, j].astype(np.int64)
+
+
+def forest_of(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """One unit of two chunks (or one) -> links (a, b) that join what its similar pairs join; pairs of one group or, of two chunks, one chunk are left out."""
+    fp, fp2, n, node, side = (pdf[c].to_numpy() for c in ("fp", "fp2", "n", "node", "mine"))
+    sets = [np.asarray(x, np.int64) for x in pdf["s"]]
+    one = (side == side[0]).all()
+    label = np.unique(pdf["group"].to_numpy(), return_inverse=True)[1]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    several = times[column] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[column[several]], owner[several]
+    order = np.argsort(column, kind="stable")
+    column, owner, width = column[order], owner[order], int((times > 1).sum())
+    speaks = np.zeros(label.max() + 1, np.int64)  # a place of each label
+    speaks[label[::-1]] = np.arange(len(label))[::-1]
+    links = []
+    for i, j in _query_blocks(fp.astype(np.int64).view(np.uint64), WIDE):
+        right = (label[i] != label[j]) & (one | (side[i] != side[j]))
+        i, j = i[right], j[right]
+        right = _allowed(i, j, fp, fp2, n, least)
+        i, j = i[right], j[right]
+        if not len(i):
+            continue
+        both = _common(i, j, sets, column, owner, width)
+        same = both >= least * (n[i] + n[j] - both) - 1e-9
+        to = _least_label(len(speaks), label[i[same]], label[j[same]])
+        moved = np.unique(label[np.concatenate([i[same], j[same]])])
+        moved = moved[to[moved] != moved]
+        links.append(np.stack([node[speaks[to[moved]]], node[speaks[moved]]]))
+        label = to[label]
+    a, b = np.concatenate(links, axis=1) if links else np.zeros((2, 0), np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR, dense: int = 8, unit: int = NEAR_UNIT) -> DataFrame:
     """Links (a, b) between texts of a similarity of `least` or more, whose components are those of all such pairs that the tables propose.
 
@@ -352,7 +420,8 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
             lanes[i] = lanes[j] = True
             many = np.bincount(number[i], minlength=number[-1] + 1) > dense * np.bincount(number[lanes], minlength=number[-1] + 1)
             few = ~many[number[i]]
-            label = _least_label(len(pdf), i[~few], j[~few])
+            degree = np.bincount(np.concatenate([i[~few], j[~few]]), minlength=len(pdf))
+            label = _centres(_least_label(len(pdf), i[~few], j[~few]), degree)
             star = np.flatnonzero(label != np.arange(len(pdf)))
             a, b = np.concatenate([node[i[few]], node[star]]), np.concatenate([node[j[few]], node[label[star]]])
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(unit=0, fp=0, fp2=0, n=0)
@@ -360,12 +429,9 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
             yield pd.DataFrame({"a": again["node"], "b": pd.array([None] * len(again), "Int64"), "unit": again["unit"], "fp": again["fp"], "fp2": again["fp2"], "n": again["n"]})
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _whole_units(batches):
-            i, j = _proposed(pdf, least)
-            group, node = pdf["group"].to_numpy(), pdf["node"].to_numpy()
-            apart = group[i] != group[j]
-            a, b = node[i[apart]], node[j[apart]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        for pdf in _whole_units(batches, 1):
+            for _, part in pdf.groupby("unit", sort=False):
+                yield forest_of(part, least)
 
     sorted_units = lambda rows: rows.repartition(parts, "unit").sortWithinPartitions("unit", "node")
     found = stored(sorted_units(met).mapInPandas(compare, "a long, b long, unit long, fp long, fp2 long, n int"), "near-found")
@@ -381,14 +447,21 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
         return both.where(common / (F.size("sa") + F.size("sb") - common) >= least).select("a", "b")
 
     links = stored(verified(first), "near-links")
-    lanes = found.where("b IS NULL").select(F.col("a").alias("node"), "unit", "fp", "fp2", "n")
+    lanes = found.where("b IS NULL").select(F.col("a").alias("node"), "fp", "fp2", "n").dropDuplicates(["node"])
     if lanes.isEmpty():
         return links
-    groups = connected_components(links, "a", "b").select(F.col("id").alias("node"), F.col("component").alias("group"))
-    lanes = lanes.hint("merge").join(groups.hint("merge"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    rest = sorted_units(lanes).mapInPandas(across, "a long, b long").distinct()
-    rest = stored(rest.hint("merge").join(first.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
-    return links.unionByName(stored(verified(rest), "near-links"))
+    for name, pairs in (("cluster", first), ("group", links)):  # what proposals join, and what similar pairs join so far
+        known = stored(connected_components(pairs, "a", "b").select(F.col("id").alias("node"), F.col("component").alias(name)), "near-known")
+        lanes = lanes.hint("merge").join(known.hint("merge"), "node", "left").withColumn(name, F.coalesce(name, "node"))
+    lanes = stored(lanes, "near-lanes")
+    open_ = lanes.groupBy("cluster").agg(F.sum("n").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
+    open_ = stored(open_.select("cluster", F.ceil(F.col("size") * 8 / CHUNK_BYTES).cast("int").alias("chunks")), "near-open")
+    lanes = lanes.hint("merge").join(open_.hint("merge"), "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    lanes = lanes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    unit = F.xxhash64("cluster", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit")
+    lanes = stored(lanes.select("node", "fp", "fp2", "n", "group", "mine", unit), "near-lanes")
+    rest = sorted_units(lanes.hint("merge").join(sets.hint("merge"), "node")).mapInPandas(across, "a long, b long").distinct()
+    return links.unionByName(stored(rest, "near-links"))
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> DataFrame:

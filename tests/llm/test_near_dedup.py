@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from evgraph.llm import simhash
 from evgraph.llm.simhash import SHINGLE, fingerprint, keep_one
 
 
@@ -64,3 +67,25 @@ def test_a_large_group_of_near_copies(spark):
     want, _ = kept(docs)
     got = {r["doc_id"] for r in keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_a_large_group_that_is_hardly_similar(spark, monkeypatch):
+    """Copies that differ too much from each other, compared chunk by chunk."""
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", 1 << 15)
+    docs = corpus(3, 2, 130, (1, 6))
+    want, _ = kept(docs)
+    assert len(want) > 40
+    got = {r["doc_id"] for r in keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_pairs_by_products(monkeypatch):
+    """Counts by matrices equal those by sets."""
+    rng = random.Random(4)
+    sets = [np.unique([rng.randrange(300) for _ in range(60)]) for _ in range(90)]
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(90), [len(x) for x in sets])
+    order = np.argsort(column, kind="stable")
+    i, j = np.triu_indices(90, 1)
+    got = simhash._common(i, j, sets, column[order], owner[order], len(times))
+    assert len(i) > 2048 and got.tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j)]
