@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import row_key
+from evgraph.llm.common import column, let, row_key, running, whole_row
 from evgraph.session import stored
 
 NOISE_WORDS, SURE_WORDS = 40, 50
@@ -45,7 +45,7 @@ def _reach(words: Column, start: Column, least: int) -> Column:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, id, h and g (two hashes of each segment), w (its words); texts without words are left out."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(row_key(F.col("id"), F.col("text")).alias("key"), "id", F.split("text", CUT, -1).alias("segments"))
     line = lambda s: F.btrim(s, F.lit(EDGES))
     return rows.select(
@@ -141,17 +141,26 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return extended.distinct().groupBy("key").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise_words: int = NOISE_WORDS, sure_words: int = SURE_WORDS) -> DataFrame:
-    """docs with later repeated runs deleted from the text, plus __removed (segments deleted from that row)."""
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise_words: int = NOISE_WORDS, sure_words: int = SURE_WORDS, removed_col: str | None = None
+) -> DataFrame:
+    """docs with later repeated runs deleted from the text, plus removed_col, if named (segments deleted from that row)."""
     runs = stored(repeated_runs(docs, id_col, text_col, noise_words, sure_words), "line-runs")
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs[id_col], docs[text_col]).alias("key"))
+    keyed = docs.select(whole_row(docs).alias("row"), row_key(column(id_col), column(text_col)).alias("key"))
     met = keyed.hint("merge").join(runs.hint("merge"), "key", "left")
-    text = F.col(f"row.`{text_col}`")
-    segments = F.split(text, CUT, -1)
-    # runs are in order of start: walk segments and runs together through the positions that stay
-    gone = lambda i: F.exists("runs", lambda r: (r["start"] <= i) & (i < r["stop"]))
-    stay = F.filter(segments, lambda s, i: ~gone(i))
-    met = met.select("row", "runs", F.when(F.col("runs").isNotNull(), stay).alias("stay"), F.size(segments).alias("n"))
-    kept = F.when(F.col("runs").isNotNull(), F.array_join("stay", "\n")).otherwise(text)
-    removed = F.when(F.col("runs").isNotNull(), F.col("n") - F.size("stay")).otherwise(F.lit(0)).cast("long")
-    return met.select(*[kept.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], removed.alias("__removed"))
+    text = F.col("row")[text_col]
+    known = F.struct(F.split(text, CUT, -1).alias("segments"), F.col("runs").alias("runs"), running(F.transform("runs", lambda r: r["stop"]), lambda x, y: F.greatest(x, y)).alias("stops"))
+
+    def stay(v: Column) -> Column:
+        """The segments between the runs, which are in order of start and may overlap."""
+        before = lambda k: F.when(k > 0, F.get(v["stops"], k - 1)).otherwise(F.lit(0))
+        parts = F.transform(v["runs"], lambda r, k: F.slice(v["segments"], before(k) + 1, F.greatest(r["start"] - before(k), F.lit(0))))
+        last = F.element_at(v["stops"], -1)
+        left = F.concat(F.flatten(parts), F.slice(v["segments"], last + 1, F.greatest(F.size(v["segments"]) - last, F.lit(0))))
+        return F.struct(F.array_join(left, "\n").alias("text"), (F.size(v["segments"]) - F.size(left)).cast("long").alias("removed"))
+
+    met = met.select("row", F.when(F.col("runs").isNotNull(), let(known, stay)).alias("stay"))
+    kept = F.when(F.col("stay").isNotNull(), F.col("stay.text")).otherwise(text)
+    removed = F.coalesce("stay.removed", F.lit(0).cast("long"))
+    columns = [(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
+    return met.select(*columns, *([removed.alias(removed_col)] if removed_col else []))

@@ -19,24 +19,31 @@ pat(kind, p) AS (VALUES
 m AS (
   SELECT rid, 0 AS kind, regexp_extract_all(x, (SELECT p FROM pat WHERE kind = 0), 0) AS h, string_split_regex(x, (SELECT p FROM pat WHERE kind = 0)) AS g FROM t
   UNION ALL SELECT rid, 1, regexp_extract_all(x, 'AKIA[A-Z0-9]+', 0), string_split_regex(x, 'AKIA[A-Z0-9]+') FROM t
-  UNION ALL SELECT rid, 2, regexp_extract_all(x, '[0-9a-f]{32,}', 0), string_split_regex(x, '[0-9a-f]{32,}') FROM t
-  UNION ALL SELECT rid, 3, regexp_extract_all(x, '[A-Za-z0-9+/_=-]{20,}', 0), string_split_regex(x, '[A-Za-z0-9+/_=-]{20,}') FROM t),
+  UNION ALL SELECT rid, 2, regexp_extract_all(x, '[0-9a-f]{32,}', 0), string_split_regex(x, '[0-9a-f]{32,}') FROM t),
 e AS (SELECT rid, kind, unnest(h) AS hit, unnest(g[1:len(h)]) AS gap, unnest(range(1, len(h) + 1)) AS n FROM m),
 s AS (SELECT rid, kind, hit, n, sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY n) AS stop FROM e),
 base AS (SELECT rid, kind, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s
   WHERE (kind = 0 AND length(regexp_extract(hit, (SELECT p FROM pat WHERE kind = 0), 2)) >= 8) OR (kind = 1 AND length(hit) >= 16) OR kind = 2),
-runs AS (SELECT rid, hit, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM s WHERE kind = 3
+cuts AS (SELECT rid, list(start || ':' || stop ORDER BY start, stop) AS cut FROM base GROUP BY rid),
+masked AS (SELECT rid, CASE WHEN cut IS NULL THEN x ELSE list_reduce(list_prepend(x, cut), lambda acc, s: substr(acc, 1, CAST(split_part(s, ':', 1) AS BIGINT))
+  || repeat(' ', CAST(split_part(s, ':', 2) AS BIGINT) - CAST(split_part(s, ':', 1) AS BIGINT)) || substr(acc, CAST(split_part(s, ':', 2) AS BIGINT) + 1)) END AS y FROM t LEFT JOIN cuts USING (rid)),
+q AS (SELECT rid, regexp_extract_all(y, '[A-Za-z0-9+/_=-]{20,}', 0) AS h, string_split_regex(y, '[A-Za-z0-9+/_=-]{20,}') AS g FROM masked),
+qe AS (SELECT rid, unnest(h) AS hit, unnest(g[1:len(h)]) AS gap, unnest(range(1, len(h) + 1)) AS n FROM q),
+qs AS (SELECT rid, hit, n, sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY n) - length(hit) AS start FROM qe),
+qp AS (SELECT rid, n, start, unnest(cells) AS hit, unnest(range(1, len(cells) + 1)) AS k FROM (SELECT *, CASE WHEN regexp_matches(hit, '//|/[a-z]+/|^/') THEN string_split(hit, '/') ELSE [hit] END AS cells FROM qs)),
+qa AS (SELECT rid, hit, start + sum(length(hit) + 1) OVER (PARTITION BY rid, n ORDER BY k) - length(hit) - 1 AS start FROM qp),
+runs AS (SELECT rid, hit, CAST(start AS BIGINT) AS start, CAST(start + length(hit) AS BIGINT) AS stop FROM qa WHERE length(hit) >= 20
   AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')
-  AND NOT regexp_matches(hit, '//|/[a-z]+/|^/') AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|changeme|your[_-]|xxxx')
-  AND NOT regexp_matches(hit, '(?i)0123456789|abcdefghij|qwertyuiop') AND NOT regexp_matches(hit, '^[0-9+/_=-]+$') AND NOT regexp_matches(hit, '^[A-Za-z+/_=-]+$')),
+  AND NOT regexp_matches(hit, '(?i)example|sample|placeholder|changeme|your[_-]|xxxx')
+  AND NOT regexp_matches(hit, '(?i)0123456789|abcdefghij|qwertyuiop') AND NOT regexp_matches(hit, '^[0-9+/_=-]+$')),
 w AS (SELECT rid, start, stop, hit, unnest(range(1, length(hit) - 18)) AS i FROM runs),
 c AS (SELECT rid, start, stop, hit, i, unnest(string_split(substr(hit, CAST(i AS BIGINT), 20), '')) AS ch FROM w),
 k AS (SELECT rid, start, stop, hit, i, ch, count(*) AS n FROM c GROUP BY ALL),
 f AS (SELECT rid, start, stop, hit, i, sum(CAST(round(n * log2(n) * 1048576) AS BIGINT)) AS z FROM k GROUP BY ALL),
 rnd AS (SELECT rid, start, stop FROM f GROUP BY rid, start, stop, hit
-  HAVING min(z) <= CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN {hex} ELSE {mixed} END),
+  HAVING min(z) <= CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN {hex} WHEN regexp_matches(hit, '^[A-Za-z+/_=-]+$') THEN {letters} ELSE {mixed} END),
 spans AS (SELECT * FROM base UNION ALL
-  SELECT rid, 3, start, stop FROM rnd WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = rnd.rid AND b.start < rnd.stop AND rnd.start < b.stop)),
+  SELECT rid, 3, start, stop FROM rnd),
 named AS (SELECT rid, kind, start, (['assign', 'access', 'hex', 'entropy'])[kind + 1] || ':' || start || ':' || stop AS z FROM spans),
 a AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(z, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(z, ',' ORDER BY start, kind) AS spans FROM named GROUP BY rid)
@@ -69,7 +76,7 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
 
 def _op2() -> str:
     bound = lambda bits: str(round((math.log2(20) - bits) * 20 * 1048576))
-    return OP2.replace("{hex}", bound(3.0)).replace("{mixed}", bound(3.7))
+    return OP2.replace("{hex}", bound(3.0)).replace("{letters}", bound(3.9)).replace("{mixed}", bound(3.7))
 
 
 def oracle_sql() -> dict[str, str]:

@@ -57,8 +57,7 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", F.col("__removed").alias("removed_lines"), "text")
+    return dedup_lines(_docs(spark, sf_dir).select("doc_id", "text"), removed_col="removed_lines").select("doc_id", "removed_lines", "text")
 
 
 def op8_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import id_and_text, row_key
+from evgraph.llm.common import column, id_and_text, row_key, whole_row
 from evgraph.operators.components import connected_components
 from evgraph.session import stored
 
@@ -263,7 +263,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, how: dict
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     component = connected_components(near_links(distinct.select("fp"), radius, **how)).withColumnRenamed("id", "fp")
     tied = distinct.hint("merge").join(component.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = tied.groupBy("component").agg(F.min("least").alias("component_id"))
+    tied = stored(tied, "simhash-tied")  # bare join sides: a hot component can be split
+    names = stored(tied.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-names")
     of_fp = stored(tied.hint("merge").join(names.hint("merge"), "component").select("fp", "component", "component_id"), "simhash-components")
     return prints.hint("merge").join(of_fp.hint("merge"), "fp")
 
@@ -474,7 +475,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
     component = connected_components(near_pairs(rows, nodes, shingle, least), "a", "b").withColumnRenamed("id", "node")
     tied = nodes.select("node", "least").hint("merge").join(component.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     tied = stored(tied, "near-tied")
-    names = tied.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = stored(tied.groupBy("component").agg(F.min("least").alias("component_id")), "near-names")
     of_node = stored(tied.hint("merge").join(names.hint("merge"), "component").select("node", "component", "component_id"), "near-components")
     return prints.select("doc_id", "key", "node").hint("merge").join(of_node.hint("merge"), "node")
 
@@ -483,7 +484,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """docs with one row of each component of texts whose shingles are similar: that of the least id, of several such the one with the least key."""
     found = _similar(docs, id_col, text_col, shingle, least).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stored(found.groupBy("component").agg(F.min("key").alias("key")).select("key"), "simhash-stays")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), row_key(docs[id_col], docs[text_col]).alias("key"))
+    rows = docs.select(whole_row(docs).alias("row"), row_key(column(id_col), column(text_col)).alias("key"))
     rows = rows.hint("merge").join(stays.hint("merge"), "key", "left_semi")
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))  # repeated rows; in order by the join
     return rows.where("n = 1").select("row.*")

@@ -72,7 +72,7 @@ def test_shared_passages_in_any_surroundings(spark):
 def test_extension_covers_the_whole_run_and_short_lines_stay(spark):
     run = [f"line {k} " + " ".join(f"t{k}x{j}" for j in range(12)) for k in range(10)]
     docs = [(1, "\n".join(["head", *run, "tail one"])), (2, "\n".join(["other", *run, "tail two"])), (3, "head"), (4, "\n".join(run[:2]))]
-    got = {r["doc_id"]: (r["text"], r["__removed"]) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), removed_col="gone").collect()}
     assert got[1] == (docs[0][1], 0) and got[2] == ("other\ntail two", 10) and got[3] == ("head", 0) and got[4] == (docs[3][1], 0)
 
 
@@ -84,7 +84,7 @@ def test_repeats_within_a_document(spark):
 
 def test_defined_cases(odd, none):
     got = dedup_lines(odd)
-    assert got.drop("__removed").columns == odd.columns and got.count() == odd.count()
-    same = got.where("doc_id <> 11 OR doc_id IS NULL").drop("__removed")
+    assert got.columns == odd.columns and got.count() == odd.count()
+    same = got.where("doc_id <> 11 OR doc_id IS NULL")
     assert same.exceptAll(odd).count() == 0
     assert dedup_lines(none).count() == 0
