@@ -3,11 +3,12 @@
 A stream over the document files groups rows by the SHA-256 of the normalised text. The keyed state lives in
 RocksDB, on disk and checkpointed, and has no watermark, so no key ever expires. Per digest it retains the
 stable identifier that stays (the largest), a content locator (file and row of that document, hashed to 64 bits)
-and a row count. Memory is bounded by RocksDB's buffers, not by the number of texts.
+and a row count. Memory is bounded by RocksDB's buffers, not by the number of texts. With a `state` folder of its own a later call
+goes on from there and reads only files that are new.
 
-On every hit the full bytes are compared: rows are also grouped by digest and whole text, where the hash table of each
-map task compares the bytes and sends a text that it holds many times once, so a group with a third of all rows
-stays small before the shuffle. Should one digest have several texts, those digests are grouped again by their bytes.
+On hits (digests that more than one row has) the full bytes are compared: the texts of these rows are read by their locators, equal texts of a
+map task become one, and each is held against the one at the digest's locator. Should one digest have several texts, its rows are
+grouped again by their bytes.
 
 Defined cases: a null text counts as empty; a null id loses against any other; of repeated rows with the same id
 and text exactly one is kept; an empty input gives an empty result; other columns are never read.
@@ -20,8 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import ascii_lower
-from evgraph.session import shared_dir, stored
+from evgraph.llm.common import ascii_lower, column
+from evgraph.session import as_pattern, shared_dir, stored
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,27 +30,30 @@ STATE_CONF = {
 }
 
 
+#: As many locators are sent to all tasks at once (8 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
+
+
 def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    norm = ascii_lower(F.coalesce(column(text_col), F.lit("")))
     return df.select(
-        F.col(id_col).alias("doc_id"),
+        column(id_col).alias("doc_id"),
         norm.alias("norm"),
         F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("loc"),
     ).withColumn("digest", digest(F.col("norm")))
 
 
-def _states(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest, max_bytes: int) -> DataFrame:
+def _states(spark: SparkSession, path: str, schema, id_col: str, text_col: str, digest, max_bytes: int, work: str) -> DataFrame:
     """The final state of the stream: digest, keep_id, locator, group_size."""
-    work = shared_dir(spark, "exact-dedup")
     before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     for k, v in STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        files = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(f"{path[:-1]}[{path[-1]}]")  # as a glob: one file will do too
+        files = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(as_pattern(path))
         state = (
             _rows(files, id_col, text_col, digest)
             .groupBy("digest")
@@ -82,18 +86,28 @@ def _states(spark: SparkSession, path: str, schema, id_col: str, text_col: str,
 
 def exact_dedup(
     spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
-    digest: Callable[[Column], Column] = sha256_digest, max_bytes: int = 64 << 30,
+    digest: Callable[[Column], Column] = sha256_digest, max_bytes: int = 64 << 30, state: str | None = None,
 ) -> DataFrame:
-    """One row per row of the Parquet files at path: doc_id, keep_id, group_size, kept, digest."""
+    """One row per row of the Parquet files at path: doc_id, keep_id, group_size, kept, digest.
+
+    state: a shared folder that holds the stream's state from call to call, always for the same path; files may be added to path, not
+    changed or removed. Without one, each call starts anew. max_bytes: of files read in one micro-batch.
+    """
     docs = spark.read.parquet(path)
-    states = stored(_states(spark, path, docs.schema, id_col, text_col, digest, max_bytes), "exact-dedup-states")
+    work = (state or shared_dir(spark, "exact-dedup")).rstrip("/")
+    states = stored(_states(spark, path, docs.schema, id_col, text_col, digest, max_bytes, work), "exact-dedup-states")
     rows = _rows(docs, id_col, text_col, digest)
+    keyed = stored(rows.select("doc_id", "digest", "loc"), "exact-dedup-keys")
 
-    texts = rows.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"))
-    differ = stored(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "exact-dedup-differ")
+    several = stored(states.where("group_size > 1").select("digest", "locator"), "exact-dedup-several")
+    hits = keyed.select("digest", "loc").hint("merge").join(several.hint("merge"), "digest")
+    hits = stored(hits.select("digest", "loc", (F.col("loc") == F.col("locator")).alias("holder")), "exact-dedup-hits")
+    how = "merge" if hits.count() > BROADCAST_ROWS else "broadcast"
+    texts = _rows(docs, id_col, text_col, digest).select("loc", "norm").join(hits.hint(how), "loc").groupBy("digest", "norm").agg(F.bool_or("holder").alias("holder"))
+    differ = stored(texts.where("NOT holder").select("digest").distinct(), "exact-dedup-differ")
 
     found = (
-        rows.select("doc_id", "digest", "loc").hint("merge").join(states, "digest")
+        keyed.hint("merge").join(states.hint("merge"), "digest")
         .select("doc_id", "keep_id", "group_size", (F.col("loc") == F.col("locator")).alias("kept"), "digest")
     )
     if differ.isEmpty():

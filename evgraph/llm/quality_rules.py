@@ -4,9 +4,9 @@
 2. Boosted shallow trees are grown on a bounded sample of labelled rows (`sample_rows`, chosen by hash); the path to each of their
    nodes is a conjunctive rule.
 3. A lasso logistic regression (proximal gradient) over the rules keeps few of them with a weight.
-4. The kept rules are compiled into one Spark column expression, so scoring is a projection over the statistics.
+4. The kept rules are compiled into one Spark column expression, so scoring is one projection that measures each text once.
 
-Only the sample reaches the driver. labels, lang, source and doc_id are never inputs of a score.
+Only the sample is measured for the fit, and only it reaches the driver. labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null or empty text has all statistics zero and is scored like any other; labels of null count for nothing, several labels of a
 document as the larger; without two classes in the sample the score is the smoothed share of label 1; every input row gives one row.
@@ -14,6 +14,7 @@ document as the larger; without two classes in the sample the score is the smoot
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,36 +22,38 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evgraph.llm.common import column, let
 from evgraph.session import stored
 
 SAMPLE_ROWS, TREES, DEPTH, BINS, LEAF, RATE, LASSO = 20_000, 24, 3, 32, 20, 0.3, 0.002
 FOLDS, HELD_OUT = 3, 1
 
 
-def statistics(text: Column) -> list[Column]:
-    """The classifier's inputs, all double, of one text column."""
-    t = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    chars, words = F.char_length(t), count(r"[^\x20\x09-\x0D]+")
-    lines = F.size(F.split(t, "\n"))
-    per_char = lambda n: F.when(chars > 0, n / chars).otherwise(F.lit(0.0))
-    per_word = lambda n: F.when(words > 0, n / words).otherwise(F.lit(0.0))
-    return [
-        x.cast("double").alias(f"q_{name}")
-        for name, x in {
+def statistics(text: Column) -> Column:
+    """The classifier's inputs, one struct of doubles, of a text column."""
+    count = lambda t, pattern: F.regexp_count(t, F.lit(pattern))
+    sizes = lambda t: F.struct(t.alias("t"), F.char_length(t).alias("chars"), count(t, r"[^\x20\x09-\x0D]+").alias("words"))
+
+    def measured(v: Column) -> Column:
+        t, chars, words = v["t"], v["chars"], v["words"]
+        per_char = lambda n: F.when(chars > 0, n / chars).otherwise(F.lit(0.0))
+        per_word = lambda n: F.when(words > 0, n / words).otherwise(F.lit(0.0))
+        found = {
             "words": words,
             "word_chars": per_word(chars),
-            "line_words": words / lines,
-            "capitals": per_char(count(r"\p{Lu}")),
-            "symbols": per_char(count(r"[#*$%&|<>]")),
-            "marks": per_char(count(r"[!?]")),
-            "digits": per_char(count(r"[0-9]")),
-            "stops": per_word(count(r"[.:;]")),
+            "line_words": words / F.size(F.split(t, "\n")),
+            "capitals": per_char(count(t, r"\p{Lu}")),
+            "symbols": per_char(count(t, r"[#*$%&|<>]")),
+            "marks": per_char(count(t, r"[!?]")),
+            "digits": per_char(count(t, r"[0-9]")),
+            "stops": per_word(count(t, r"[.:;]")),
             "distinct": per_word(F.size(F.array_distinct(F.split(t, r"[\x20\x09-\x0D]+")))),
-            "echoes": per_word(count(r"(?<![^ \n])([^ \n]++) \1(?![^ \n])")),
-            "short_words": per_word(count(r"(?<![^ \n])[^ \n]{1,2}(?![^ \n])")),
-        }.items()
-    ]
+            "echoes": per_word(count(t, r"(?<![^ \n])([^ \n]++) \1(?![^ \n])")),
+            "short_words": per_word(count(t, r"(?<![^ \n])[^ \n]{1,2}(?![^ \n])")),
+        }
+        return F.struct(*[x.cast("double").alias(f"q_{name}") for name, x in found.items()])
+
+    return let(let(F.coalesce(text, F.lit("")), sizes), measured)
 
 
 @dataclass(frozen=True)
@@ -61,10 +64,11 @@ class RuleModel:
     rules: tuple[tuple[tuple[str, bool, float], ...], ...]
     weights: tuple[float, ...]
 
-    def column(self) -> Column:
+    def column(self, values: Column) -> Column:
+        """The score of a struct of statistics."""
         total = F.lit(float(self.bias))
         for rule, weight in zip(self.rules, self.weights):
-            holds = reduce(lambda a, b: a & b, [F.col(n) > t if above else F.col(n) <= t for n, above, t in rule])
+            holds = reduce(lambda a, b: a & b, [values[n] > t if above else values[n] <= t for n, above, t in rule])
             total = total + F.when(holds, F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -159,31 +163,33 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % FOLDS
 
 
-def train(stats: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """A model from stats (id_col and q_ columns) and labels outside the held-out fold."""
-    names = [c for c in stats.columns if c.startswith("q_")]
-    seen = labels.where(F.col(target).isNotNull() & (fold(F.col(id_col)) != HELD_OUT)).groupBy(id_col).agg(F.max(target).cast("double").alias("y"))
-    both = stored(stats.hint("merge").join(seen.hint("merge"), id_col).select(id_col, *names, "y"), "quality-labelled")
-    share = sample_rows / max(1, both.count())
+def train(
+    docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
+    measure: Callable[[Column], Column] = statistics,
+) -> RuleModel:
+    """A model from docs and the labels outside the held-out fold; only the texts of a sample of labelled ids are measured."""
+    known = labels.select(column(id_col).alias("label_id"), column(target).cast("double").alias("y")).where("y is not null AND label_id is not null")
+    known = known.where(fold(F.col("label_id")) != HELD_OUT).groupBy("label_id").agg(F.max("y").alias("y"))
+    share = sample_rows / max(1, known.count())
     if share < 0.5:  # thin out by hash before the exact cut, so that no task sends sample_rows rows of its own
-        both = both.where(F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(1_000_000)) < int(1_500_000 * share) + 1)
-    rows = both.orderBy(F.xxhash64(id_col), *names).limit(sample_rows).select(*names, "y").toPandas()  # bounded by sample_rows
+        known = known.where(F.pmod(F.xxhash64(F.lit(1), "label_id"), F.lit(1_000_000)) < int(1_500_000 * share) + 1)
+    known = stored(known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows), "quality-labels")
+    texts = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    both = texts.join(F.broadcast(known), texts["doc_id"] == known["label_id"])  # sample_rows rows at most
+    both = stored(both.select("doc_id", measure(F.col("text")).alias("q"), "y"), "quality-labelled")
+    rows = both.orderBy(F.xxhash64("doc_id"), "q").limit(sample_rows).select("q.*", "y").toPandas()  # repeated rows of an id count to sample_rows too
+    names = [c for c in rows.columns if c != "y"]
     return fit(rows[names].to_numpy(float), rows["y"].to_numpy(float), names)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    stats = stored(docs.select(docs[id_col].alias("doc_id"), *statistics(docs[text_col])), "quality-statistics")
-    model = train(stats, labels.select(labels[id_col].alias("doc_id"), "quality"))
-    return stats.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), model.column().alias("score")).withColumn(
-        "predicted", (F.col("score") >= 0.5).cast("int")
-    )
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    rows = docs.select(column(id_col).alias("doc_id"), let(statistics(column(text_col)), model.column).alias("score"))
+    return rows.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs that score `least` or more, with their own columns."""
-    stats = stored(docs.select(docs[id_col].alias("doc_id"), *statistics(docs[text_col])), "quality-statistics")
-    model = train(stats, labels.select(labels[id_col].alias("doc_id"), "quality"))
-    # the filter uses the id and so stays above this projection; below it, every rule would compute its statistics anew
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *statistics(docs[text_col]), F.monotonically_increasing_id().alias("once"))
-    return row.where((model.column() >= least) & (F.col("once") >= 0)).select("row.*")
+    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    return docs.where(let(statistics(column(text_col)), model.column) >= least)

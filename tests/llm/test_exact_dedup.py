@@ -45,3 +45,14 @@ def test_empty_table(spark, none, tmp_path):
     path = f"file://{tmp_path}/docs"
     none.write.parquet(path)
     assert exact_dedup(spark, path).count() == 0
+
+
+def test_a_later_call_goes_on_from_the_state(spark, odd, tmp_path):
+    """Hits across batches and calls; the path may end with a slash."""
+    path, seen = f"file://{tmp_path}/docs/", []
+    for part in (odd.where("doc_id < 6"), odd.where("doc_id >= 6 OR doc_id IS NULL")):
+        part.repartition(3).write.mode("append").parquet(path)
+        seen += [(r["doc_id"], r["text"]) for r in part.collect()]
+        got = exact_dedup(spark, path, max_bytes=1, state=f"file://{tmp_path}/state").collect()
+        want, groups = slow(seen)
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got), key=repr) == want and sum(r["kept"] for r in got) == groups
