@@ -10,7 +10,7 @@ from evgraph.operators import report as T
 from evgraph.plans import views as V
 from evgraph.plans.evidence import EV, PAIR_REL, evidence, relationships
 from evgraph.plans.registry import QUERIES, query
-from evgraph.session import shared_dir, stored
+from evgraph.session import as_pattern, shared_dir, stored
 from evgraph.streaming import flows as W
 
 
@@ -274,7 +274,7 @@ def _streamed(name: str, sql: str | None):
 
 
 def _stream(spark, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(as_pattern(path))
 
 
 @_streamed("w1_incremental_ingest", "SELECT o_orderkey AS document, o_orderpriority AS priority, o_orderstatus AS case_id FROM orders")

@@ -29,17 +29,25 @@ def get_session(app: str = "evgraph", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where the session has no such folder (local tests) is a machine-local one made and set.
+    Only a local session without that setting (tests) gets a machine-local one; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="evgraph-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def as_pattern(path: str) -> str:
+    """path as a glob that matches it alone: file streams take a folder or a pattern, and path may be a single file."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)

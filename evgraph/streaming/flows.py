@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evgraph.session import shared_dir, stored
+from evgraph.session import as_pattern, shared_dir, stored
 
 
 def ingest(spark: SparkSession, path: str, schema, work: str, build: Callable[[DataFrame], DataFrame], by: str = "case_id") -> StreamingQuery:
@@ -16,7 +16,7 @@ def ingest(spark: SparkSession, path: str, schema, work: str, build: Callable[[D
 
     So earlier rows of a touched case stay, and a repeated batch leaves the same table; files stay in path after they have been read.
     """
-    pattern = f"{path[:-1]}[{path[-1]}]"
+    pattern = as_pattern(path)
     files = spark.readStream.schema(schema).parquet(pattern)
 
     def write(batch: DataFrame, number: int) -> None:
