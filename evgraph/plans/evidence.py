@@ -33,20 +33,29 @@ def r2(t) -> DataFrame:
     return R.shared_values(V.links(t).where("kind = 'account'"), "person", ["value"])
 
 
-CAND = f"""n AS (SELECT DISTINCT {NORM.format('p_name')} AS name, p_brand AS value FROM part),
-d AS (SELECT DISTINCT name FROM n), met AS (SELECT x.name AS a, y.name AS b, false AS shared FROM d x JOIN d y ON split_part(x.name, ' ', 1) = split_part(y.name, ' ', 1) AND x.name < y.name
-  UNION ALL SELECT x.name, y.name, true FROM n x JOIN n y USING (value) WHERE x.name < y.name),
-pr AS (SELECT a, b, bool_or(shared) AS shared, CAST({SIM} AS DOUBLE) AS similarity FROM met GROUP BY a, b)"""
+#: All pairs of distinct names; the operator's blocking must not miss any.
+NAME_PAIRS = f"""n AS (SELECT DISTINCT {NORM.format('p_name')} AS name, p_brand AS value FROM part), d AS (SELECT DISTINCT name FROM n),
+ids AS (SELECT DISTINCT x.name AS a, y.name AS b FROM n x JOIN n y USING (value) WHERE x.name < y.name),
+pr AS (SELECT a, b, shared, CAST({SIM} AS DOUBLE) AS similarity FROM (SELECT x.name AS a, y.name AS b, (x.name, y.name) IN (FROM ids) AS shared FROM d x JOIN d y ON x.name < y.name))"""
+SIGNALS = "list_filter([CASE WHEN shared THEN 'shared identifier' END, CASE WHEN similarity >= 0.8 THEN 'name similarity' END], lambda x: x IS NOT NULL)"
 
 
-@query("r3_candidate_pairs", f"WITH {CAND} SELECT *, CASE WHEN shared THEN 'HIGH' WHEN similarity >= 0.9 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM pr WHERE shared OR similarity >= 0.8")
+@query("r3_candidate_pairs", f"WITH {NAME_PAIRS} SELECT *, {SIGNALS} AS signals, CASE WHEN shared THEN 'HIGH' WHEN similarity >= 0.9 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM pr WHERE shared OR similarity >= 0.8")
 def r3(t) -> DataFrame:
     return R.candidate_pairs(V.names(t), _named(t))
 
 
-@query("r4_clusters", f"""WITH RECURSIVE n AS (SELECT DISTINCT {NORM.format('p_name')} AS name FROM part), e AS (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON split_part(x.name, ' ', 1) = split_part(y.name, ' ', 1)),
-r AS (SELECT name, name AS low FROM n UNION SELECT e.b, r.low FROM r JOIN e ON r.name = e.a) SELECT name, min(low) AS cluster FROM r GROUP BY name""")
+CLUSTERS = """e AS (SELECT a, b FROM pr WHERE {0} UNION ALL SELECT b, a FROM pr WHERE {0}),
+rc AS (SELECT name, name AS low FROM d UNION SELECT e.b, rc.low FROM rc JOIN e ON rc.name = e.a), cl AS (SELECT name, min(low) AS cluster FROM rc GROUP BY name)"""
+
+
+@query("r4_clusters", f"WITH RECURSIVE {NAME_PAIRS}, {CLUSTERS.format('shared OR similarity >= 0.8')} SELECT name, cluster FROM cl")
 def r4(t) -> DataFrame:
+    return R.clusters(R.candidate_pairs(V.names(t), _named(t)), V.names(t))
+
+
+@query("r4_clusters_by_name", f"WITH RECURSIVE {NAME_PAIRS}, {CLUSTERS.format('similarity >= 0.8')} SELECT name, cluster FROM cl")
+def r4n(t) -> DataFrame:
     return R.clusters(R.candidate_pairs(V.names(t)), V.names(t))
 
 
@@ -55,14 +64,30 @@ def r5(t) -> DataFrame:
     return R.canonical_names(t("part"), "p_brand", "p_name")
 
 
-@query("r6_roll_up", "SELECT split_part(p_name, ' ', 1) AS cluster, list_sort(list_distinct(list(p_name))) AS variants, list_sort(list_distinct(list(p_brand))) AS identifiers, count(*) AS mentions, count(DISTINCT p_name) > 1 AS merged FROM part GROUP BY 1")
+PERSONS = f"""{NAME_PAIRS}, {CLUSTERS.format('similarity >= 0.8')}, m AS (SELECT p_name AS raw, cl.name AS norm, p_brand AS account, cluster FROM part JOIN cl ON cl.name = {NORM.format('p_name')}),
+spell AS (SELECT cluster, raw AS name FROM (SELECT cluster, raw, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, len(string_split(raw, ' ')) DESC, length(raw) DESC, raw) AS k FROM m GROUP BY cluster, raw) WHERE k = 1),
+by_id AS (SELECT DISTINCT cluster FROM m GROUP BY cluster, account HAVING count(*) > 1),
+by_name AS (SELECT DISTINCT cluster FROM m GROUP BY cluster, norm HAVING count(*) > 1 UNION SELECT cluster FROM pr JOIN cl ON cl.name = pr.a WHERE similarity >= 0.8),
+persons AS (SELECT cluster, any_value(spell.name) AS name, 'P-' || substr(replace({NORM.format('any_value(spell.name)')}, ' ', '_'), 1, 60) AS person_id, list_sort(list_distinct(list(raw))) AS variants, count(*) AS mentions, count(*) > 1 AS merged,
+  list_filter([CASE WHEN cluster IN (FROM by_name) THEN 'name similarity' END, CASE WHEN cluster IN (FROM by_id) THEN 'shared identifier' END], lambda x: x IS NOT NULL) AS signals,
+  CAST(CASE WHEN cluster IN (FROM by_id) THEN 0.95 ELSE 0.8 END AS DOUBLE) AS confidence, list_sort(list_distinct(list(account))) AS account FROM m JOIN spell USING (cluster) GROUP BY cluster)"""
+
+
+def _persons(t) -> tuple[DataFrame, DataFrame]:
+    pairs = R.candidate_pairs(V.names(t))
+    clustered = R.clusters(pairs, V.names(t))
+    return clustered, R.roll_up(V.names(t), clustered, pairs, {"account": "account"})
+
+
+@query("r6_roll_up", f"WITH RECURSIVE {PERSONS} SELECT * FROM persons")
 def r6(t) -> DataFrame:
-    return R.roll_up(t("part").withColumn("cluster", F.split("p_name", " ")[0]), "cluster", "p_name", "p_brand")
+    return _persons(t)[1]
 
 
-@query("r7_alias_map", f"SELECT DISTINCT {NORM.format('p_name')} AS norm_name, 'P-' || substr(replace({NORM.format('p_name')}, ' ', '_'), 1, 60) AS person_id FROM part")
+@query("r7_alias_map", f"WITH RECURSIVE {PERSONS} SELECT DISTINCT cl.name AS norm_name, person_id FROM cl JOIN persons USING (cluster)")
 def r7(t) -> DataFrame:
-    return t("part").select(C.norm_name("p_name").alias("norm_name"), C.person_id(F.col("p_name")).alias("person_id")).distinct()
+    clustered, persons = _persons(t)
+    return R.alias_map(V.names(t), clustered, persons)
 
 
 @query("r8_person_entity_links", """WITH i AS (SELECT o_custkey AS person, '9' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS v FROM orders) SELECT DISTINCT person, 'PH' || v AS entity_id, 'uses' AS role FROM i WHERE person % 2 = 0""")
@@ -82,11 +107,9 @@ def r9(t) -> DataFrame:
     return R.resolve_parties(e, aliases, "a_name", "b_name").select("id", "person_a_id", "person_b_id")
 
 
-@query("r10_explanation", f"WITH {CAND} SELECT name, count(*) AS candidates, count(*) FILTER (shared) AS by_identifier, max(similarity) AS best FROM (SELECT a AS name, shared, similarity FROM pr WHERE shared OR similarity >= 0.8 UNION ALL SELECT b, shared, similarity FROM pr WHERE shared OR similarity >= 0.8) GROUP BY name")
+@query("r10_explanation", f"WITH RECURSIVE {PERSONS} SELECT person_id, name, merged, variants, signals, confidence FROM persons")
 def r10(t) -> DataFrame:
-    p = R.candidate_pairs(V.names(t), _named(t))
-    both = p.select(F.col("a").alias("name"), "shared", "similarity").unionByName(p.select(F.col("b").alias("name"), "shared", "similarity"))
-    return both.groupBy("name").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("shared").alias("by_identifier"), F.max("similarity").alias("best"))
+    return R.explain(_persons(t)[1])
 
 
 # ---- relationships
