@@ -1,14 +1,18 @@
 """Graph analytics over undirected weighted edges (src, dst, weight) with src < dst.
 
-Every measure is a DataFrame of nodes. Iterations write each round to the shared folder.
+Every measure is a DataFrame of nodes; a node is what has an edge. Edges are taken as given: repeated pairs count as several edges, so dedup them first
+(P6 does); loops and null ends have to be gone. No edges give no rows. Iterations write their rounds to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evgraph.operators.components import connected_components
+from evgraph.operators.numbering import numbered
 from evgraph.session import stored
 
 
@@ -16,10 +20,6 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def _size(edges: DataFrame) -> int:
-    return both_ways(edges).select("src").distinct().count()
-
-
 def degree(edges: DataFrame) -> DataFrame:
     """id, degree, weight, centrality = degree / (n - 1); 1 for a single node."""
     d = both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weight"))
@@ -27,6 +27,17 @@ def degree(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(n)).select("id", "degree", "weight", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(1.0).alias("centrality"))  # one row
 
 
+def degree_ranking(edges: DataFrame, top: int | None = 50) -> DataFrame:
+    """id, degree, weight: the heaviest nodes first, then those of most edges, then the least id."""
+    rows = degree(edges).select("id", "degree", "weight").orderBy(F.desc("weight"), F.desc("degree"), "id")
+    return rows if top is None else rows.limit(top)
+
+
+def pivot_count(nodes: int) -> int | None:
+    """How many pivots betweenness takes: all (None) up to 40 nodes, then twice the root of their number, 8 to 32."""
+    return None if nodes <= 40 else min(32, max(8, math.floor(2 * math.sqrt(nodes))))
+
+
 def paths_from(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(s, v, dist, paths): hop distance and number of shortest paths from every source, level by level.
 
@@ -46,31 +57,40 @@ def paths_from(edges: DataFrame, sources: DataFrame, max_hops: int | None = None
     return reached
 
 
-def closeness(edges: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """(r - 1)/D * (r - 1)/(n - 1) over the whole graph."""
+def closeness(edges: DataFrame, paths: DataFrame | None = None, scope: str = "graph") -> DataFrame:
+    """(r - 1)/D * (r - 1)/(n - 1) over the whole graph, or (r - 1)/D within each component."""
     nodes = both_ways(edges).select(F.col("src").alias("id")).distinct()
     paths = paths if paths is not None else paths_from(edges, nodes)
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
     d = paths.groupBy(F.col("v").alias("id")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("dist").alias("d"))
-    return d.crossJoin(F.broadcast(n)).select("id", F.when(F.col("d") > 0, F.col("r") * F.col("r") / (F.col("d") * (F.col("n") - 1))).otherwise(0.0).alias("closeness"))
-
-
-def closeness_landmarks(edges: DataFrame, landmarks: int = 32) -> DataFrame:
-    """Landmarks of highest degree; reached landmarks / sum of distances, the node itself not counted."""
-    marks = degree(edges).orderBy(F.desc("degree"), "id").limit(landmarks).select("id")
+    share = F.col("r") / F.col("d") * (F.col("r") / (F.col("n") - 1) if scope == "graph" else F.lit(1.0))
+    return d.crossJoin(F.broadcast(n)).select("id", F.when(F.col("d") > 0, share).otherwise(0.0).alias("closeness"))  # one row
+
+
+def closeness_landmarks(edges: DataFrame, landmarks: int = 32, exact: int = 120) -> DataFrame:
+    """Closeness within components (G6): exact in components of up to `exact` nodes; in larger ones by `landmarks` nodes of
+    highest degree (then least id): landmarks reached / sum of distances, the node itself not counted. 0 where there are none."""
+    known = stored(connected_components(edges), "landmark-components")
+    sizes = stored(known.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "landmark-sizes")
+    d = degree(edges).select("id", "degree").hint("merge").join(known.hint("merge"), "id")
+    d = stored(d.hint("merge").join(sizes.hint("merge"), "component"), "landmark-nodes")
+    k = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("degree"), "id"))  # each task keeps its first few before the shuffle
+    large = d.where(F.col("size") > exact).withColumn("k", k).where(F.col("k") <= landmarks)
+    marks = d.where(F.col("size") <= exact).select("id").unionByName(large.select("id"))
     p = paths_from(edges, marks).where("s <> v")
-    d = p.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("samples"), F.sum("dist").alias("d"))
-    return d.select("id", (F.col("samples") / F.col("d")).alias("closeness"))
+    found = p.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("samples"), F.sum("dist").alias("d"))
+    return d.select("id").hint("merge").join(found.hint("merge"), "id", "left").select("id", F.coalesce(F.col("samples") / F.col("d"), F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, pivots: int | None = None) -> DataFrame:
-    """Normalised, undirected; exact, or from the `pivots` lowest ids and scaled up.
+def betweenness(edges: DataFrame, pivots: int | str | None = None) -> DataFrame:
+    """Normalised, undirected; exact, or from `pivots` nodes chosen by hash of their id and scaled up; "auto" by pivot_count.
 
     Dependencies are passed back along shortest paths level by level, so the work is sources x edges.
     """
     nodes = stored(both_ways(edges).select(F.col("src").alias("id")).distinct(), "between-nodes")
     n = nodes.count()
-    sources = nodes.orderBy("id").limit(pivots) if pivots else nodes
+    pivots = pivot_count(n) if pivots == "auto" else pivots
+    sources = nodes.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(pivots) if pivots else nodes
     k = min(pivots or n, n)
     paths = stored(paths_from(edges, sources), "between-paths")
     hop = both_ways(edges).select(F.col("src").alias("v"), F.col("dst").alias("w"))
@@ -87,18 +107,33 @@ def betweenness(edges: DataFrame, pivots: int | None = None) -> DataFrame:
     return nodes.join(total, "id", "left").select("id", (F.coalesce("sum", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """Weighted PageRank with a fixed number of rounds, normalised to 1 (G7). Every node has an edge, so no rank dangles."""
+def pagerank(edges: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float | None = 1e-5, every: int = 5) -> DataFrame:
+    """Weighted PageRank, normalised to 1 (G7). Every node has an edge, so no rank dangles.
+
+    It ends after `rounds`, or once the ranks change by less than tolerance times the number of nodes in sum, looked at each `every` rounds. Hops stay
+    dealt out by their source, so a round moves only the ranks.
+    """
     hop = both_ways(edges)
-    out = hop.groupBy("src").agg(F.sum("weight").alias("out"))
-    hop = stored(hop.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "pagerank-hops")
+    out = stored(hop.groupBy("src").agg(F.sum("weight").alias("out")), "pagerank-weights")
+    hop = hop.hint("merge").join(out.hint("merge"), "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hop = stored(hop, "pagerank-hops").repartition(parts, "src").sortWithinPartitions("src").persist()
     n = out.count()
-    rank = stored(out.select(F.col("src").alias("id"), F.lit(1.0 / max(n, 1)).alias("rank")), "pagerank")
+    rank = out.select(F.col("src").alias("id"), F.lit(1.0 / max(n, 1)).alias("rank"))
     for k in range(rounds):
-        got = hop.join(rank, hop.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        before = rank
+        got = hop.hint("merge").join(rank.hint("merge"), hop.src == rank.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         rank = got.select("id", (F.lit((1 - damping) / max(n, 1)) + damping * F.col("got")).alias("rank"))
-        if k % 4 == 3 or k == rounds - 1:
+        if k % every == every - 1 or k == rounds - 1:
+            if tolerance is not None:
+                rank = rank.join(before.withColumnRenamed("rank", "was"), "id")
             rank = stored(rank, "pagerank")
+            if tolerance is not None:
+                change = rank.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+                rank = rank.select("id", "rank")
+                if (change or 0.0) < n * tolerance:
+                    break
+    hop.unpersist()
     total = rank.agg(F.sum("rank").alias("total"))
     return rank.crossJoin(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("pagerank"))  # one row
 
@@ -106,9 +141,8 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """id, component: 0-based, in order of the components' least ids."""
     found = stored(connected_components(edges), "graph-components")
-    names = found.select("component").distinct()
-    names = names.withColumn("no", F.row_number().over(Window.orderBy("component")) - 1)  # one row per component
-    return found.join(names, "component").select("id", F.col("no").alias("component"))
+    names = stored(numbered(found.select("component").distinct(), [], ["component"], "no"), "component-numbers")
+    return found.hint("merge").join(names.hint("merge"), "component").select("id", (F.col("no") - 1).cast("int").alias("component"))
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
@@ -122,23 +156,52 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         votes = heard.unionByName(mine).groupBy("id", "label").agg(F.sum("weight").alias("votes"))
         best = votes.groupBy("id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("b"))
         label = stored(best.select("id", F.col("b.label").alias("label")), "community")
-    least = label.groupBy("label").agg(F.min("id").alias("least"))
-    least = least.withColumn("no", F.row_number().over(Window.orderBy("least")) - 1)  # one row per community
-    return label.join(least, "label").select("id", F.col("no").alias("community"))
-
-
-def jaccard(edges: DataFrame, max_degree: int | None = None) -> DataFrame:
-    """(a, b, common, similarity) of nodes with a common neighbour; hubs over max_degree make no candidates but count."""
-    hop = both_ways(edges).select(F.col("src").alias("n"), F.col("dst").alias("x"))
-    d = hop.groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
-    def pairs(h: DataFrame) -> DataFrame:
-        return h.select("x", F.col("n").alias("a")).join(h.select("x", F.col("n").alias("b")), "x").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    common = pairs(hop)
+    least = stored(numbered(label.groupBy("label").agg(F.min("id").alias("least")), [], ["least"], "no"), "community-numbers")
+    return label.hint("merge").join(least.hint("merge"), "label").select("id", (F.col("no") - 1).cast("int").alias("community"))
+
+
+def community_sizes(communities: DataFrame) -> DataFrame:
+    """community, members."""
+    return communities.groupBy("community").agg(F.count(F.lit(1)).alias("members"))
+
+
+def jaccard(edges: DataFrame, max_degree: int | None = None, top: int | None = None) -> DataFrame:
+    """(a, b, common, similarity) of nodes with a common neighbour, a < b.
+
+    With max_degree, larger hubs propose no pairs but count in `common` and the degrees: candidates are made from the others first, so no pair of a
+    hub's neighbours is ever built. Without it every pair is returned, which is quadratic in the largest degree. top: the most similar pairs only.
+    """
+    hop = stored(both_ways(edges).select(F.col("src").alias("n"), F.col("dst").alias("x")), "jaccard-hops")
+    d = stored(hop.groupBy("n").agg(F.count(F.lit(1)).alias("deg")), "jaccard-degrees")
+    side = lambda h, c: h.select("x", F.col("n").alias(c)).hint("merge")
     if max_degree:
-        low = hop.join(d.where(F.col("deg") <= max_degree).select(F.col("n").alias("x")), "x", "left_semi")
-        common = common.join(pairs(low).select("a", "b"), ["a", "b"], "left_semi")
-    common = common.join(d.select(F.col("n").alias("a"), F.col("deg").alias("da")), "a").join(d.select(F.col("n").alias("b"), F.col("deg").alias("db")), "b")
-    return common.select("a", "b", "common", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("similarity"))
+        low = stored(hop.hint("merge").join(d.where(F.col("deg") <= max_degree).select(F.col("n").alias("x")).hint("merge"), "x", "left_semi"), "jaccard-low")
+        pairs = stored(side(low, "a").join(side(low, "b"), "x").where("a < b").select("a", "b").distinct(), "jaccard-pairs")
+        met = stored(pairs.hint("merge").join(side(hop, "a"), "a"), "jaccard-met")  # (a, b, each neighbour of a)
+        met = met.hint("merge").join(side(hop, "b"), ["b", "x"], "left_semi")
+    else:
+        met = side(hop, "a").join(side(hop, "b"), "x").where("a < b")
+    common = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    for c in ("a", "b"):
+        common = common.hint("merge").join(d.select(F.col("n").alias(c), F.col("deg").alias(f"d{c}")).hint("merge"), c)
+    rows = common.select("a", "b", "common", (F.col("common") / (F.col("da") + F.col("db") - F.col("common"))).alias("similarity"))
+    return rows if top is None else rows.orderBy(F.desc("similarity"), "a", "b").limit(top)
+
+
+def measures(edges: DataFrame, pivots: int | str | None = "auto", rounds: int = 50, tolerance: float | None = 1e-5) -> DataFrame:
+    """id, degree (centrality), betweenness, closeness, pagerank, community of every node."""
+    rows = degree(edges).select("id", F.col("centrality").alias("degree"))
+    for part in (betweenness(edges, pivots), closeness_landmarks(edges), pagerank(edges, rounds, tolerance=tolerance), communities(edges)):
+        rows = rows.hint("merge").join(part.hint("merge"), "id")
+    return stored(rows, "graph-measures")
+
+
+def combined(measured: DataFrame, places: int | None = None, top: int | None = 50) -> DataFrame:
+    """The rows of measures() by falling pagerank, betweenness and degree, then id (G12); rounded to `places` before they are compared."""
+    names = ("pagerank", "betweenness", "degree", "closeness")
+    rows = measured if places is None else measured.withColumns({c: F.round(c, places) for c in names})
+    rows = rows.orderBy(F.desc("pagerank"), F.desc("betweenness"), F.desc("degree"), "id")
+    return rows if top is None else rows.limit(top)
 
 
 def multi_hop(edges: DataFrame, sources: DataFrame, hops: int = 5, top: int | None = 100) -> DataFrame:
@@ -169,6 +232,26 @@ def shortest_path(edges: DataFrame, source, target, max_hops: int = 20) -> DataF
     return spark.createDataFrame([], f"hops int, nodes array<{kind}>")
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Direct neighbours of each of nodes with the edge's weight."""
-    return both_ways(edges).join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+def neighbours(edges: DataFrame, nodes: DataFrame, of: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Direct neighbours (G15): id, neighbour, label, node_type, type, score, strength.
+
+    edges: src, dst, type, score, strength; nodes: id, type, label, case_id; of: id of those asked about; cases: case_id that the asker may see (all if left out).
+    A neighbour without a node row has null label and type, and is not shown under `cases`.
+    """
+    cells = ["type", "score", "strength"]
+    both = edges.select("src", "dst", *cells).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cells))
+    both = both.hint("merge").join(of.select(F.col("id").alias("src")).distinct().hint("merge"), "src", "left_semi")
+    seen = nodes.select(F.col("id").alias("dst"), "label", F.col("type").alias("node_type"), "case_id")
+    how = "left"
+    if cases is not None:
+        seen, how = seen.hint("merge").join(cases.select("case_id").distinct().hint("merge"), "case_id", "left_semi"), "inner"
+    rows = both.hint("merge").join(seen.hint("merge"), "dst", how)
+    return rows.select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "label", "node_type", *cells)
+
+
+def summary(edges: DataFrame, measured: DataFrame, places: int = 6) -> DataFrame:
+    """One row (G16): nodes, edges, components and the highest value of each measure."""
+    best = lambda c: F.round(F.max(c), places).alias(f"top_{c}")
+    a = measured.agg(F.count(F.lit(1)).alias("nodes"), *[best(c) for c in ("degree", "betweenness", "closeness", "pagerank")])
+    c: Column = F.count_distinct("component").alias("components")
+    return a.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(connected_components(edges).agg(c))  # one row each

@@ -1,11 +1,18 @@
-"""Relationships and evidence."""
+"""Relationships and evidence.
+
+A pair is unordered (a < b). Events without one of the two persons, or of a person with itself, make no pair. Null types, dates and sources are counted
+as unknown: they add an event, but no signal, date or source.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions import scalars as C
+from evgraph.operators.numbering import numbered
+from evgraph.operators.resolve import shared_values
+from evgraph.session import stored
 
 #: Weight of each signal; kinds that count as observations; evidence kind and confidence per event type.
 WEIGHTS = {"calls": 0.5, "transactions": 0.8, "locations": 0.5, "cases": 0.4, "shared_ids": 1.0}
@@ -18,14 +25,32 @@ def _paired(events: DataFrame, a: str, b: str) -> DataFrame:
     return events.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).withColumns({"a": F.least(a, b), "b": F.greatest(a, b)})
 
 
-def event_signals(events: DataFrame, a: str = "person_a", b: str = "person_b") -> DataFrame:
-    """Per unordered pair: calls, transactions, locations, sources, first and last date."""
+def event_signals(events: DataFrame, a: str = "person_a", b: str = "person_b", persons: DataFrame | None = None) -> DataFrame:
+    """Per unordered pair: calls, transactions, locations, sources, first and last date (E1). persons (person): others are unknown and drop out."""
     count = lambda cond: F.count_if(cond)
     t = F.col("event_type")
-    return _paired(events, a, b).groupBy("a", "b").agg(
+    found = _paired(events, a, b).groupBy("a", "b").agg(
         count(t == "CALL").alias("calls"), count(t == "TRANSACTION").alias("transactions"), count(t.isin(*OBSERVATIONS)).alias("locations"),
         F.count_distinct("source").alias("sources"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
+    for c in ("a", "b") if persons is not None else ():  # after the aggregation, so that a busy pair is one row here
+        found = stored(found, "signals").hint("merge").join(persons.select(F.col("person").alias(c)).distinct().hint("merge"), c, "left_semi")
+    return found
+
+
+def shared_counts(links: DataFrame, name: str, value: list[str], person: str = "person") -> DataFrame:
+    """Per pair the number of values that both persons have (E2 shared_ids, E3 locations)."""
+    return shared_values(links, person, value).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+
+
+def shared_cases(members: DataFrame, person: str = "person", case: str = "case_id") -> DataFrame:
+    """Per pair the cases both are in, if one of them is in more than one."""
+    k = members.select(F.col(person).alias("person"), F.col(case).alias("value")).where("person IS NOT NULL AND value IS NOT NULL").distinct()
+    many = stored(k.groupBy("person").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("person", F.lit(True).alias("many")), "several-cases")
+    pairs = shared_counts(k, "cases", ["value"])
+    for c in ("a", "b"):
+        pairs = pairs.hint("merge").join(many.select(F.col("person").alias(c), F.col("many").alias(f"m_{c}")).hint("merge"), c, "left")
+    return pairs.where("m_a OR m_b").select("a", "b", "cases")
 
 
 def weight(calls: Column, transactions: Column, locations: Column, cases: Column, shared_ids: Column) -> Column:
@@ -64,15 +89,30 @@ def evidence_rows(events: DataFrame, case: str, order: list[str], a: str = "pers
     kind, conf = F.lit(OTHER_EVIDENCE[0]), F.lit(OTHER_EVIDENCE[1])
     for name, (k, c) in EVIDENCE.items():
         kind, conf = F.when(t == name, k).otherwise(kind), F.when(t == name, c).otherwise(conf)
-    n = F.row_number().over(Window.partitionBy(case).orderBy(*order))
-    rows = _paired(events, a, b).withColumn("n", n)
-    return rows.select(F.concat(F.lit("E"), F.col("n").cast("string"), F.lit("-"), F.col(case).cast("string")).alias("evidence_id"), case, "a", "b", kind.alias("kind"), conf.alias("confidence"), "date", "source")
+    rows = numbered(_paired(events, a, b), [case], order, "n")
+    name = F.concat(F.lit("E"), F.col("n").cast("string"), F.lit("-"), F.coalesce(F.col(case).cast("string"), F.lit("")))
+    return rows.select(name.alias("evidence_id"), case, "a", "b", kind.alias("kind"), conf.alias("confidence"), "date", "source")
 
 
 def with_evidence(relationships: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Attaches the number of evidence rows, the case ids and the dates' range to each pair."""
-    e = evidence.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_evidence"), F.array_sort(F.collect_set("case_id")).alias("cases"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    return relationships.join(e, ["a", "b"], "left")
+    """Attaches the number of evidence rows, and their distinct sources, dates and cases, to each pair (E8). Pairs without evidence get nulls."""
+    gathered = lambda c: F.array_sort(F.collect_set(c))  # noqa: E731  distinct values, not rows
+    e = evidence.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_evidence"), gathered("source").alias("sources"), gathered("date").alias("dates"), gathered("case_id").alias("cases"))
+    return relationships.hint("merge").join(e.hint("merge"), ["a", "b"], "left")
+
+
+def filter_evidence(evidence: DataFrame, case=None, evidence_id: str | None = None, kind: str | None = None) -> DataFrame:
+    """Evidence rows by case, id and kind; what is left out does not matter."""
+    for c, v in (("case_id", case), ("evidence_id", evidence_id), ("kind", kind)):
+        evidence = evidence if v is None else evidence.where(F.col(c) == v)
+    return evidence
+
+
+def latest_decisions(feedback: DataFrame, relationship: str, decision: str, *order: str) -> DataFrame:
+    """Per relationship: the last decision, how many there are, and how many of each kind (E11). order tells which row is last."""
+    last = F.max_by(decision, F.struct(*order)).alias("decision")
+    kinds = [F.count_if(F.col(decision) == x).alias(f"n_{x}") for x in ("relevant", "incorrect", "needs_review")]
+    return feedback.groupBy(relationship).agg(last, F.count(F.lit(1)).alias("n_decisions"), *kinds)
 
 
 def filter_relationships(rel: DataFrame, strength: str | None = None, signal: str | None = None, evidence: DataFrame | None = None, case=None) -> DataFrame:
@@ -82,11 +122,13 @@ def filter_relationships(rel: DataFrame, strength: str | None = None, signal: st
     if signal:
         rel = rel.where(F.col(signal) > 0)
     if case is not None:
-        rel = rel.join(evidence.where(F.col("case_id") == case).select("a", "b").distinct(), ["a", "b"], "left_semi")
+        rel = rel.hint("merge").join(evidence.where(F.col("case_id") == case).select("a", "b").distinct().hint("merge"), ["a", "b"], "left_semi")
     return rel
 
 
 def upsert(old: DataFrame, new: DataFrame, keep: str = "decision") -> DataFrame:
-    """New scores replace old ones; the analyst's decision stays."""
-    o = old.select("a", "b", F.col("score").alias("old_score"), F.col("strength").alias("old_strength"), keep)
-    return new.select("a", "b", "score", "strength").join(o, ["a", "b"], "full_outer").select("a", "b", F.coalesce("score", "old_score").alias("score"), F.coalesce("strength", "old_strength").alias("strength"), keep)
+    """New scores, strengths and signals replace old ones; the analyst's decision stays (E10). Every other column of new is carried along."""
+    cells = [c for c in new.columns if c not in ("a", "b")]
+    o = old.select("a", "b", keep, *[(F.col(c) if c in old.columns else F.lit(None).cast(new.schema[c].dataType)).alias(f"old_{c}") for c in cells], F.lit(True).alias("__old"))
+    met = new.withColumn("__new", F.lit(True)).hint("merge").join(o.hint("merge"), ["a", "b"], "full_outer")
+    return met.select("a", "b", *[F.when(F.col("__new"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in cells], keep)

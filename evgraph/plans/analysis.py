@@ -29,7 +29,7 @@ def g1(t) -> DataFrame:
 
 @query("g2_degree_ranking", f"WITH {V.GRAPH} SELECT src AS id, count(*) AS degree, CAST(sum(weight) AS BIGINT) AS weight FROM both_v GROUP BY src ORDER BY weight DESC, degree DESC, id LIMIT 50")
 def g2(t) -> DataFrame:
-    return G.degree(_graph(t)).select("id", "degree", "weight").orderBy(F.desc("weight"), F.desc("degree"), "id").limit(50)
+    return G.degree_ranking(_graph(t))
 
 
 LEVELS = 8
@@ -46,8 +46,13 @@ def _bfs(sources: str) -> str:
 
 
 ALL_PATHS = f"{V.GRAPH}, {_bfs('nodes_v')}"
-PIVOTS = 12
-SOME_PATHS = f"{V.GRAPH}, piv AS (SELECT id FROM nodes_v ORDER BY id LIMIT {PIVOTS}), {_bfs('piv')}"
+PIVOTS = "piv AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR)), id) AS k, count(*) OVER () AS n FROM nodes_v) WHERE n <= 40 OR k <= least(32, greatest(8, floor(2 * sqrt(n)))))"
+COMP = "reach AS (SELECT id, id AS low FROM nodes_v UNION SELECT b.dst, r.low FROM reach r JOIN both_v b ON r.id = b.src), comp AS (SELECT id, min(low) AS low FROM reach GROUP BY id)"
+BETWEEN = f"""{PIVOTS}, n AS (SELECT count(*) AS n, (SELECT count(*) FROM piv) AS k FROM nodes_v), b AS (SELECT sv.v AS id, sum(sv.paths * vt.paths / st.paths) AS x FROM p{LEVELS} sv JOIN p{LEVELS} vt ON sv.v = vt.s JOIN p{LEVELS} st ON st.s = sv.s AND st.v = vt.v
+  WHERE sv.s IN (FROM piv) AND sv.s <> sv.v AND vt.s <> vt.v AND sv.s <> vt.v AND st.dist = sv.dist + vt.dist GROUP BY sv.v),
+bt AS (SELECT id, round(coalesce(x, 0) * (n / k) / ((n - 1) * (n - 2)), 6) + 0.0 AS betweenness FROM nodes_v LEFT JOIN b USING (id), n)"""
+CLOSE = f"""{COMP}, dg AS (SELECT src AS id, count(*) AS deg FROM both_v GROUP BY src), lm AS (SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY low) AS size, row_number() OVER (PARTITION BY low ORDER BY deg DESC, id) AS k FROM comp JOIN dg USING (id)) WHERE size <= 120 OR k <= 32),
+cs AS (SELECT id, round(coalesce(count(dist) / sum(dist), 0), 6) AS closeness FROM nodes_v LEFT JOIN (SELECT v AS id, dist FROM p{LEVELS} WHERE s <> v AND s IN (FROM lm)) USING (id) GROUP BY id)"""
 
 
 @query("g3_betweenness", f"""WITH {ALL_PATHS}, n AS (SELECT count(*) AS n FROM nodes_v), b AS (SELECT sv.v AS id, sum(sv.paths * vt.paths / st.paths) AS x FROM p{LEVELS} sv JOIN p{LEVELS} vt ON sv.v = vt.s JOIN p{LEVELS} st ON st.s = sv.s AND st.v = vt.v
@@ -57,11 +62,9 @@ def g3(t) -> DataFrame:
     return _rounded(G.betweenness(_graph(t)), "betweenness")
 
 
-@query("g4_betweenness_pivots", f"""WITH {ALL_PATHS}, n AS (SELECT count(*) AS n FROM nodes_v), piv AS (SELECT id FROM nodes_v ORDER BY id LIMIT {PIVOTS}), b AS (SELECT sv.v AS id, sum(sv.paths * vt.paths / st.paths) AS x FROM p{LEVELS} sv JOIN p{LEVELS} vt ON sv.v = vt.s JOIN p{LEVELS} st ON st.s = sv.s AND st.v = vt.v
-  WHERE sv.s IN (FROM piv) AND sv.s <> sv.v AND vt.s <> vt.v AND sv.s <> vt.v AND st.dist = sv.dist + vt.dist GROUP BY sv.v)
-SELECT id, round(coalesce(x, 0) * (n / least(n, {PIVOTS})) / ((n - 1) * (n - 2)), 6) + 0.0 AS betweenness FROM nodes_v LEFT JOIN b USING (id), n""")
+@query("g4_betweenness_pivots", f"WITH {ALL_PATHS}, {BETWEEN} SELECT * FROM bt")
 def g4(t) -> DataFrame:
-    return _rounded(G.betweenness(_graph(t), PIVOTS), "betweenness")
+    return _rounded(G.betweenness(_graph(t), "auto"), "betweenness")
 
 
 @query("g5_closeness", f"WITH {ALL_PATHS} SELECT v AS id, round(CASE WHEN sum(dist) > 0 THEN (count(*) - 1) * (count(*) - 1) / (sum(dist) * ((SELECT count(*) FROM nodes_v) - 1)) ELSE 0 END, 6) AS closeness FROM p{LEVELS} GROUP BY v")
@@ -69,9 +72,14 @@ def g5(t) -> DataFrame:
     return _rounded(G.closeness(_graph(t)), "closeness")
 
 
-@query("g6_closeness_landmarks", f"WITH {V.GRAPH}, lm AS (SELECT src AS id FROM both_v GROUP BY src ORDER BY count(*) DESC, src LIMIT 8), {_bfs('lm')} SELECT v AS id, round(count(*) / sum(dist), 6) AS closeness FROM p{LEVELS} WHERE s <> v GROUP BY v")
+@query("g5_closeness_component", f"WITH {ALL_PATHS} SELECT v AS id, round(CASE WHEN sum(dist) > 0 THEN (count(*) - 1) / sum(dist) ELSE 0 END, 6) AS closeness FROM p{LEVELS} GROUP BY v")
+def g5c(t) -> DataFrame:
+    return _rounded(G.closeness(_graph(t), scope="component"), "closeness")
+
+
+@query("g6_closeness_landmarks", f"WITH RECURSIVE {ALL_PATHS}, {CLOSE} SELECT * FROM cs")
 def g6(t) -> DataFrame:
-    return _rounded(G.closeness_landmarks(_graph(t), 8), "closeness")
+    return _rounded(G.closeness_landmarks(_graph(t)), "closeness")
 
 
 def _rank_sql(rounds: int = 20) -> str:
@@ -83,10 +91,7 @@ def _rank_sql(rounds: int = 20) -> str:
 
 @query("g7_pagerank", f"WITH {V.GRAPH}, {_rank_sql()} SELECT id, round(rank / (SELECT sum(rank) FROM k20), 6) AS pagerank FROM k20")
 def g7(t) -> DataFrame:
-    return _rounded(G.pagerank(_graph(t)), "pagerank")
-
-
-COMP = "reach AS (SELECT id, id AS low FROM nodes_v UNION SELECT b.dst, r.low FROM reach r JOIN both_v b ON r.id = b.src), comp AS (SELECT id, min(low) AS low FROM reach GROUP BY id)"
+    return _rounded(G.pagerank(_graph(t), 20, tolerance=None), "pagerank")
 
 
 @query("g8_components", f"WITH RECURSIVE {V.GRAPH}, {COMP} SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INT) AS component FROM comp")
@@ -112,25 +117,41 @@ def g9(t) -> DataFrame:
 
 @query("g10_community_sizes", f"WITH {COMMUNITY} SELECT community, count(*) AS members FROM cm GROUP BY community")
 def g10(t) -> DataFrame:
-    return G.communities(_graph(t)).groupBy("community").agg(F.count(F.lit(1)).alias("members"))
+    return G.community_sizes(G.communities(_graph(t)))
+
+
+JACCARD = f"""WITH {V.GRAPH}, d AS (SELECT src AS n, count(*) AS deg FROM both_v GROUP BY src), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common, bool_or(h.deg <= {{}}) AS ok FROM both_v x JOIN both_v y ON x.dst = y.dst AND x.src < y.src JOIN d h ON h.n = x.dst GROUP BY 1, 2)
+SELECT a, b, common, round(common / (da.deg + db.deg - common), 6) AS similarity FROM c JOIN d da ON da.n = a JOIN d db ON db.n = b WHERE ok"""
 
 
-@query("g11_jaccard", f"""WITH {V.GRAPH}, d AS (SELECT src AS n, count(*) AS deg FROM both_v GROUP BY src), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common, bool_or(h.deg <= 40) AS ok FROM both_v x JOIN both_v y ON x.dst = y.dst AND x.src < y.src JOIN d h ON h.n = x.dst GROUP BY 1, 2)
-SELECT a, b, common, round(common / (da.deg + db.deg - common), 6) AS similarity FROM c JOIN d da ON da.n = a JOIN d db ON db.n = b WHERE ok""")
+@query("g11_jaccard", JACCARD.format(1 << 40))
 def g11(t) -> DataFrame:
-    return _rounded(G.jaccard(_graph(t), 40), "similarity")
+    return _rounded(G.jaccard(_graph(t)), "similarity")
+
+
+@query("g11_jaccard_below_hubs", JACCARD.format(10))
+def g11h(t) -> DataFrame:
+    """Hubs of more than 10 neighbours propose no pairs, a feature of the operator."""
+    return _rounded(G.jaccard(_graph(t), 10), "similarity")
 
 
-@query("g12_combined", f"""WITH {COMMUNITY}, {_rank_sql()} SELECT id, round(rank / (SELECT sum(rank) FROM k20), 6) AS pagerank, degree, community FROM k20 JOIN (SELECT src AS id, count(*) AS degree FROM both_v GROUP BY src) USING (id) JOIN cm USING (id)""")
+MEASURES = f"""{ALL_PATHS}, {BETWEEN}, {CLOSE}, {_community_sql()}, cm AS (SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INT) AS community FROM (SELECT id, min(id) OVER (PARTITION BY label) AS low FROM c10)), {_rank_sql()},
+ms AS (SELECT id, round(deg / (n - 1), 6) AS degree, betweenness, closeness, round(rank / (SELECT sum(rank) FROM k20), 6) AS pagerank, community FROM dg JOIN bt USING (id) JOIN cs USING (id) JOIN k20 USING (id) JOIN cm USING (id), n)"""
+
+
+def _measured(g: DataFrame) -> DataFrame:
+    return G.measures(g, rounds=20, tolerance=None)
+
+
+@query("g12_combined", f"WITH RECURSIVE {MEASURES} SELECT * FROM ms ORDER BY pagerank DESC, betweenness DESC, degree DESC, id LIMIT 50")
 def g12(t) -> DataFrame:
-    g = _graph(t)
-    return _rounded(G.pagerank(g), "pagerank").join(G.degree(g).select("id", "degree"), "id").join(G.communities(g), "id")
+    return G.combined(_measured(_graph(t)), 6)
 
 
-@query("g13_multi_hop", f"WITH {SOME_PATHS} SELECT s, v AS id, dist AS hops FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY dist, v) AS n FROM p{LEVELS} WHERE dist BETWEEN 1 AND 3) WHERE n <= 100")
+@query("g13_multi_hop", f"WITH {ALL_PATHS} SELECT s, v AS id, dist AS hops FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY dist, v) AS n FROM p{LEVELS} WHERE dist BETWEEN 1 AND 5) WHERE n <= 100")
 def g13(t) -> DataFrame:
     g = _graph(t)
-    return G.multi_hop(g, G.degree(g).select("id").orderBy("id").limit(PIVOTS), 3)
+    return G.multi_hop(g, G.degree(g).select("id"), 5)
 
 
 @query("g14_shortest_path", f"""WITH {V.GRAPH}, ends AS (SELECT min(id) AS a, max(id) AS b FROM nodes_v), q0 AS (SELECT a AS v, [a] AS nodes FROM ends), """ + ", ".join(
@@ -142,18 +163,32 @@ def g14(t) -> DataFrame:
     return G.shortest_path(g, ends[0], ends[1])
 
 
-@query("g15_neighbours", f"WITH {V.GRAPH} SELECT src, dst, weight FROM both_v WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)")
+TYPED = f"""{PAIR_REL}, te AS (SELECT a AS src, b AS dst, 'CONNECTED_TO' AS type, score, strength FROM rel UNION ALL SELECT DISTINCT person_a, 'R' || case_id, 'INVOLVED_IN', NULL, NULL FROM events_v),
+nd AS (SELECT 'C' || c_custkey AS id, 'person' AS node_type, c_name AS label, n_regionkey AS case_id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'R' || r_regionkey, 'case', r_name, r_regionkey FROM region)"""
+
+
+@query("g15_neighbours", f"""WITH {TYPED}, wt AS (SELECT src, dst, type, score, strength FROM te UNION ALL SELECT dst, src, type, score, strength FROM te)
+SELECT src AS id, dst AS neighbour, label, node_type, type, score, strength FROM wt JOIN nd ON nd.id = dst WHERE src LIKE 'N%' AND case_id IN (1, 2)""")
 def g15(t) -> DataFrame:
-    return G.neighbours(_graph(t), t("supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("id"))).select("src", "dst", "weight")
+    involved = V.events(t).select(F.col("person_a").alias("src"), F.concat(F.lit("R"), F.col("case_id").cast("string")).alias("dst")).distinct()
+    none = F.lit(None)
+    edges = relationships(t).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("CONNECTED_TO").alias("type"), "score", "strength").unionByName(
+        involved.select("src", "dst", F.lit("INVOLVED_IN").alias("type"), none.cast("double").alias("score"), none.cast("string").alias("strength"))
+    )
+    edges = stored(edges, "typed-edges")
+    people = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    nodes = people.select(F.concat(F.lit("C"), "c_custkey").alias("id"), F.lit("person").alias("type"), F.col("c_name").alias("label"), F.col("n_regionkey").alias("case_id")).unionByName(
+        t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.lit("case").alias("type"), F.col("r_name").alias("label"), F.col("r_regionkey").alias("case_id"))
+    )
+    of = t("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"))
+    return G.neighbours(edges, nodes, of, t("region").where("r_regionkey IN (1, 2)").select(F.col("r_regionkey").alias("case_id")))
 
 
-@query("g16_summary", f"WITH RECURSIVE {V.GRAPH}, {COMP} SELECT (SELECT count(*) FROM nodes_v) AS nodes, (SELECT count(*) FROM edges_v) AS edges, (SELECT count(DISTINCT low) FROM comp) AS components, (SELECT CAST(max(s) AS BIGINT) FROM (SELECT sum(weight) AS s FROM both_v GROUP BY src)) AS top_weight")
+@query("g16_summary", f"""WITH RECURSIVE {MEASURES} SELECT (SELECT count(*) FROM nodes_v) AS nodes, (SELECT count(*) FROM edges_v) AS edges, (SELECT count(DISTINCT low) FROM comp) AS components,
+  max(degree) AS top_degree, max(betweenness) AS top_betweenness, max(closeness) AS top_closeness, max(pagerank) AS top_pagerank FROM ms""")
 def g16(t) -> DataFrame:
     g = _graph(t)
-    a = G.degree(g).agg(F.count(F.lit(1)).alias("nodes"), F.max("weight").alias("top_weight"))
-    b = g.agg(F.count(F.lit(1)).alias("edges"))
-    c = G.components(g).agg(F.count_distinct("component").alias("components"))
-    return a.crossJoin(b).crossJoin(c)  # one row each
+    return G.summary(g, _measured(g))
 
 
 # ---- reports

@@ -13,6 +13,7 @@ from evgraph.operators import resolve as R
 from evgraph.plans import views as V
 from evgraph.plans.ingest import SIM
 from evgraph.plans.registry import query
+from evgraph.session import stored
 
 NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -131,25 +132,27 @@ def e1(t) -> DataFrame:
     return E.event_signals(V.events(t))
 
 
+@query("e1_known_persons", f"WITH {E1} SELECT * FROM sig WHERE substr(a, 2) IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0)")
+def e1k(t) -> DataFrame:
+    people = t("customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("person"))
+    return E.event_signals(V.events(t), persons=people.unionByName(t("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("person"))))
+
+
 @query("e2_shared_identifiers", f"WITH {V.LINKS}, k AS (SELECT person, value FROM links_v WHERE kind = 'account') SELECT a.person AS a, b.person AS b, count(*) AS shared_ids FROM k a JOIN k b USING (value) WHERE a.person < b.person GROUP BY 1, 2")
 def e2(t) -> DataFrame:
-    return R.shared_values(V.links(t).where("kind = 'account'"), "person", ["value"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_ids"))
+    return E.shared_counts(V.links(t).where("kind = 'account'"), "shared_ids", ["kind", "value"])
 
 
-@query("e3_shared_locations", "WITH k AS (SELECT DISTINCT s_suppkey AS person, s_nationkey AS value FROM supplier) SELECT a.person AS a, b.person AS b, count(*) AS locations FROM k a JOIN k b USING (value) WHERE a.person < b.person GROUP BY 1, 2")
+@query("e3_shared_locations", f"WITH {V.LINKS}, k AS (SELECT person, value FROM links_v WHERE kind = 'location') SELECT a.person AS a, b.person AS b, count(*) AS locations FROM k a JOIN k b USING (value) WHERE a.person < b.person GROUP BY 1, 2")
 def e3(t) -> DataFrame:
-    return R.shared_values(t("supplier").select(F.col("s_suppkey").alias("person"), F.col("s_nationkey").alias("value")), "person", ["value"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("locations"))
+    return E.shared_counts(V.links(t).where("kind = 'location'"), "locations", ["value"])
 
 
 CASES = "k AS (SELECT person, value FROM links_v WHERE kind = 'case'), m AS (SELECT person FROM k GROUP BY person HAVING count(*) > 1), shared AS (SELECT a.person AS a, b.person AS b, count(*) AS cases FROM k a JOIN k b USING (value) WHERE a.person < b.person AND (a.person IN (FROM m) OR b.person IN (FROM m)) GROUP BY 1, 2)"
 
 
 def _cases(t) -> DataFrame:
-    k = V.links(t).where("kind = 'case'").select("person", "value")
-    many = k.groupBy("person").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("person", F.lit(True).alias("many"))
-    pairs = R.shared_values(k, "person", ["value"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("cases"))
-    side = lambda c: many.select(F.col("person").alias(c), F.col("many").alias(f"m_{c}"))
-    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("m_a OR m_b").select("a", "b", "cases")
+    return E.shared_cases(V.links(t).where("kind = 'case'"), case="value")
 
 
 @query("e4_shared_cases", f"WITH {V.LINKS}, {CASES} SELECT * FROM shared")
@@ -162,12 +165,15 @@ def e5(t) -> DataFrame:
     return relationships(t)
 
 
-@query("e5_all_signals", f"""WITH {E1}, {V.LINKS}, {CASES}, ids AS (SELECT x.person AS a, y.person AS b, count(*) AS n FROM links_v x JOIN links_v y ON x.value = y.value AND x.kind = y.kind WHERE x.kind = 'account' AND x.person < y.person GROUP BY 1, 2),
-u AS (SELECT a, b, calls, transactions, locations, 0 AS cases, 0 AS shared_ids, sources FROM sig UNION ALL SELECT a, b, 0, 0, 0, cases, 0, 0 FROM shared UNION ALL SELECT a, b, 0, 0, 0, 0, n, 0 FROM ids),
+@query("e5_all_signals", f"""WITH {E1}, {V.LINKS}, {CASES}, ids AS (SELECT x.person AS a, y.person AS b, x.kind, count(*) AS n FROM links_v x JOIN links_v y ON x.value = y.value AND x.kind = y.kind WHERE x.kind <> 'case' AND x.person < y.person GROUP BY 1, 2, 3),
+u AS (SELECT a, b, calls, transactions, locations, 0 AS cases, 0 AS shared_ids, sources FROM sig UNION ALL SELECT a, b, 0, 0, 0, cases, 0, 0 FROM shared UNION ALL SELECT a, b, 0, 0, CASE kind WHEN 'location' THEN n ELSE 0 END, 0, CASE kind WHEN 'account' THEN n ELSE 0 END, 0 FROM ids),
 all_sig AS (SELECT a, b, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(transactions) AS BIGINT) AS transactions, CAST(sum(locations) AS BIGINT) AS locations, CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(shared_ids) AS BIGINT) AS shared_ids, max(sources) AS sources FROM u GROUP BY a, b), {SCORE} SELECT * FROM rel""")
 def e5a(t) -> DataFrame:
-    ids = R.shared_values(V.links(t).where("kind = 'account'"), "person", ["value"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared_ids"))
-    return E.scored(E.union_signals(E.event_signals(V.events(t)), _cases(t), ids))
+    links = stored(V.links(t), "links")
+    ids = E.shared_counts(links.where("kind = 'account'"), "shared_ids", ["kind", "value"])
+    places = E.shared_counts(links.where("kind = 'location'"), "locations", ["value"])
+    cases = E.shared_cases(links.where("kind = 'case'"), case="value")
+    return E.scored(E.union_signals(E.event_signals(V.events(t)), cases, ids, places))
 
 
 @query("e6_provenance", f"WITH {V.EVENTS} SELECT least(person_a, person_b) AS a, greatest(person_a, person_b) AS b, list_sort(list_distinct(list(source))) AS sources, list_sort(list_distinct(list(date))) AS dates FROM events_v GROUP BY 1, 2")
@@ -180,8 +186,13 @@ EV = f"""{V.EVENTS}, ev AS (SELECT 'E' || row_number() OVER (PARTITION BY case_i
 ORDER = ["order_id", "line", "person_b", "date", "event_type", "source", "qty"]
 
 
-def evidence(t) -> DataFrame:
-    return E.evidence_rows(V.events(t), "case_id", ORDER)
+def evidence(t, events: DataFrame | None = None) -> DataFrame:
+    return E.evidence_rows(V.events(t) if events is None else events, "case_id", ORDER)
+
+
+def events_once(t) -> DataFrame:
+    """The events as a stored table, for queries that need them more than once."""
+    return stored(V.events(t), "events")
 
 
 @query("e7_evidence_rows", f"WITH {EV} SELECT * FROM ev")
@@ -189,20 +200,23 @@ def e7(t) -> DataFrame:
     return evidence(t)
 
 
-@query("e8_with_evidence", f"WITH {PAIR_REL}, {EV[len(V.EVENTS) + 2 :]} SELECT a, b, any_value(score) AS score, count(*) AS n_evidence, list_sort(list_distinct(list(case_id))) AS cases, min(ev.date) AS first_date, max(ev.date) AS last_date FROM rel JOIN ev USING (a, b) GROUP BY a, b")
+@query("e8_with_evidence", f"""WITH {PAIR_REL}, {EV[len(V.EVENTS) + 2 :]} SELECT a, b, any_value(score) AS score, count(*) AS n_evidence, list_sort(list_distinct(list(ev.source))) AS sources, list_sort(list_distinct(list(ev.date))) AS dates,
+  list_sort(list_distinct(list(case_id))) AS cases FROM rel JOIN ev USING (a, b) GROUP BY a, b""")
 def e8(t) -> DataFrame:
-    return E.with_evidence(relationships(t).select("a", "b", "score"), evidence(t))
+    events = events_once(t)
+    return E.with_evidence(E.scored(E.event_signals(events)).select("a", "b", "score"), evidence(t, events))
 
 
 @query("e9_filter", f"WITH {PAIR_REL} SELECT a, b, score FROM rel WHERE strength = 'STRONG' AND transactions > 0 AND (a, b) IN (SELECT least(person_a, person_b), greatest(person_a, person_b) FROM events_v WHERE case_id = 1)")
 def e9(t) -> DataFrame:
-    return E.filter_relationships(relationships(t), "STRONG", "transactions", evidence(t), 1).select("a", "b", "score")
+    events = events_once(t)
+    return E.filter_relationships(E.scored(E.event_signals(events)), "STRONG", "transactions", evidence(t, events), 1).select("a", "b", "score")
 
 
 @query("e10_upsert", f"""WITH {PAIR_REL}, old AS (SELECT a, b, 0.5::DOUBLE AS score, 'MODERATE' AS strength, 'relevant' AS decision FROM rel WHERE length(a) % 2 = 0 UNION ALL SELECT 'X', 'Y', 0.1, 'WEAK', 'incorrect')
-SELECT a, b, coalesce(n.score, o.score) AS score, coalesce(n.strength, o.strength) AS strength, decision FROM rel n FULL JOIN old o USING (a, b)""")
+SELECT a, b, coalesce(n.score, o.score) AS score, coalesce(n.strength, o.strength) AS strength, n.calls, n.transactions, n.locations, decision FROM rel n FULL JOIN old o USING (a, b)""")
 def e10(t) -> DataFrame:
-    rel = relationships(t)
+    rel = stored(relationships(t).select("a", "b", "score", "strength", "calls", "transactions", "locations"), "relationships")
     old = rel.where("length(a) % 2 = 0").select("a", "b", F.lit(0.5).alias("score"), F.lit("MODERATE").alias("strength"), F.lit("relevant").alias("decision"))
     lone = rel.sparkSession.createDataFrame([("X", "Y", 0.1, "WEAK", "incorrect")], old.schema)
     return E.upsert(old.unionByName(lone), rel)
@@ -211,17 +225,21 @@ def e10(t) -> DataFrame:
 DECIDE = "(['relevant', 'incorrect', 'needs_review'])[CAST(event_id % 3 AS INT) + 1]"
 
 
-@query("e11_latest_decision", f"SELECT user_id AS relationship, {DECIDE} AS decision, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query("e11_latest_decision", f"""SELECT user_id AS relationship, arg_max({DECIDE}, (ts, event_id)) AS decision, count(*) AS n_decisions, count(*) FILTER ({DECIDE} = 'relevant') AS n_relevant, count(*) FILTER ({DECIDE} = 'incorrect') AS n_incorrect,
+  count(*) FILTER ({DECIDE} = 'needs_review') AS n_needs_review FROM events GROUP BY user_id""")
 def e11(t) -> DataFrame:
-    from evgraph.operators.quality import latest_per_key
-
     decide = F.element_at(F.array(*map(F.lit, ("relevant", "incorrect", "needs_review"))), (F.col("event_id") % 3 + 1).cast("int"))
-    return latest_per_key(t("events"), "user_id", F.desc("ts"), F.desc("event_id")).select(F.col("user_id").alias("relationship"), decide.alias("decision"), "event_id")
+    return E.latest_decisions(t("events").select(F.col("user_id").alias("relationship"), decide.alias("decision"), "ts", "event_id"), "relationship", "decision", "ts", "event_id")
 
 
 @query("e12_evidence_filter", f"WITH {EV} SELECT * FROM ev WHERE case_id = 2 AND kind = 'CALL_RECORD'")
 def e12(t) -> DataFrame:
-    return evidence(t).where("case_id = 2 AND kind = 'CALL_RECORD'")
+    return E.filter_evidence(evidence(t), case=2, kind="CALL_RECORD")
+
+
+@query("e12_evidence_by_id", f"WITH {EV} SELECT * FROM ev WHERE evidence_id = 'E7-2'")
+def e12i(t) -> DataFrame:
+    return E.filter_evidence(evidence(t), evidence_id="E7-2")
 
 
 # ---- projection
@@ -241,15 +259,38 @@ def p2(t) -> DataFrame:
     )
 
 
+EVENT_ID = "'V' || order_id || '.' || line || '.' || person_b"
+
+
+@query("p2_typed_edges", f"""WITH {PAIR_REL}, {EV[len(V.EVENTS) + 2 :]}, {V.LINKS}, x AS (SELECT 'O' || o_orderkey AS src, 'R' || n_regionkey AS dst, 'BELONGS_TO' AS type, NULL::DOUBLE AS score, NULL::VARCHAR AS strength FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT person_a, {EVENT_ID}, 'PARTICIPATED_IN', NULL, NULL FROM events_v UNION SELECT person_b, {EVENT_ID}, 'PARTICIPATED_IN', NULL, NULL FROM events_v
+  UNION SELECT person_a, 'R' || case_id, 'INVOLVED_IN', NULL, NULL FROM events_v UNION SELECT person_b, 'R' || case_id, 'INVOLVED_IN', NULL, NULL FROM events_v
+  UNION SELECT a, evidence_id, 'SUPPORTED_BY', NULL, NULL FROM ev UNION SELECT b, evidence_id, 'SUPPORTED_BY', NULL, NULL FROM ev
+  UNION SELECT person, kind || ':' || value, CASE kind WHEN 'account' THEN 'OWNS_ACCOUNT' WHEN 'location' THEN 'VISITED' ELSE 'ASSOCIATED_WITH' END, NULL, NULL FROM links_v UNION SELECT a, b, 'CONNECTED_TO', score, strength FROM rel)
+SELECT type || ':' || src || ':' || dst AS id, * FROM x""")
+def p2t(t) -> DataFrame:
+    e = events_once(t)
+    case = F.concat(F.lit("R"), F.col("case_id").cast("string"))
+    named = e.select(F.concat_ws(".", F.concat(F.lit("V"), F.col("order_id").cast("string")), F.col("line").cast("string"), "person_b").alias("id"), "person_a", "person_b", case.alias("case_id"))
+    people = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    documents = t("orders").hint("merge").join(people.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("O"), "o_orderkey").alias("id"), F.concat(F.lit("R"), "n_regionkey").alias("case_id"))
+    links = V.links(t).select("person", F.concat_ws(":", "kind", "value").alias("node"), F.col("kind").alias("role"))
+    return P.typed_edges(documents, named, evidence(t, e), links, E.scored(E.event_signals(e)))
+
+
 @query("p3_event_edges", f"WITH {V.EVENTS} SELECT person_a AS src, person_b AS dst, CASE event_type WHEN 'CALL' THEN 'CALLED' WHEN 'TRANSACTION' THEN 'TRANSFERRED_TO' ELSE 'ASSOCIATED_WITH' END AS type, date, source FROM events_v")
 def p3(t) -> DataFrame:
     return P.event_edges(V.events(t))
 
 
-@query("p4_case_subgraph", f"WITH {PAIR_REL}, p AS (SELECT person_a AS id FROM events_v WHERE case_id = 3 UNION SELECT person_b FROM events_v WHERE case_id = 3) SELECT a AS src, b AS dst, score FROM rel WHERE a IN (FROM p) AND b IN (FROM p)")
+@query("p4_case_subgraph", f"""WITH {PAIR_REL}, {V.LINKS}, p AS (SELECT person_a AS id FROM events_v WHERE case_id = 3 UNION SELECT person_b FROM events_v WHERE case_id = 3
+  UNION SELECT person FROM links_v WHERE kind = 'location' AND value LIKE '3-%') SELECT a AS src, b AS dst, score FROM rel WHERE a IN (FROM p) AND b IN (FROM p)""")
 def p4(t) -> DataFrame:
-    rel = relationships(t).select(F.col("a").alias("src"), F.col("b").alias("dst"), "score")
-    return P.induced(rel, P.case_persons(V.events(t), 3)).select("src", "dst", "score")
+    e = events_once(t)
+    rel = E.scored(E.event_signals(e)).select(F.col("a").alias("src"), F.col("b").alias("dst"), "score")
+    links = V.links(t).where("kind = 'location'").withColumn("case_id", F.when(F.col("value").startswith("3-"), 3))
+    cases = t("region").where("r_regionkey = 3").select(F.col("r_regionkey").alias("case_id"))
+    return P.induced(rel, P.case_persons(cases, e, evidence(t, e), links)).select("src", "dst", "score")
 
 
 @query("p5_type_subgraph", f"WITH {V.GRAPH}, k AS (SELECT s_suppkey AS id FROM supplier WHERE s_nationkey % 2 = 0) SELECT src, dst, weight FROM edges_v WHERE src IN (FROM k) AND dst IN (FROM k)")
@@ -257,15 +298,22 @@ def p5(t) -> DataFrame:
     return P.induced(V.graph(t), t("supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("id"))).select("src", "dst", "weight")
 
 
-@query("p6_metric_graph", f"WITH {PAIR_REL} SELECT a AS src, b AS dst, score AS weight FROM rel ORDER BY score DESC NULLS LAST, a, b LIMIT 5000")
+@query("p6_metric_graph", f"WITH {PAIR_REL} SELECT a AS src, b AS dst, score AS weight FROM rel")
 def p6(t) -> DataFrame:
-    return P.metric_graph(relationships(t), 5000)
+    return P.metric_graph(relationships(t))
+
+
+@query("p6_best_edges", f"WITH {PAIR_REL}, p AS (SELECT person_a AS id FROM events_v WHERE case_id IN (1, 2) UNION SELECT person_b FROM events_v WHERE case_id IN (1, 2)) SELECT a AS src, b AS dst, score AS weight FROM rel WHERE a IN (FROM p) AND b IN (FROM p) ORDER BY score DESC NULLS LAST, a, b LIMIT 5000")
+def p6b(t) -> DataFrame:
+    """The report form: persons of some cases, the 5000 best edges."""
+    e = events_once(t)
+    cases = t("region").where("r_regionkey IN (1, 2)").select(F.col("r_regionkey").alias("case_id"))
+    return P.metric_graph(E.scored(E.event_signals(e)), 5000, P.case_persons(cases, e))
 
 
 @query("p7_edge_dedup", f"WITH {V.EVENTS} SELECT least(person_a, person_b) AS src, greatest(person_a, person_b) AS dst, event_type AS type, count(*) AS n FROM events_v GROUP BY 1, 2, 3")
 def p7(t) -> DataFrame:
-    e = V.events(t)
-    return e.groupBy(F.least("person_a", "person_b").alias("src"), F.greatest("person_a", "person_b").alias("dst"), F.col("event_type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    return P.deduplicated(V.events(t).select(F.col("person_a").alias("src"), F.col("person_b").alias("dst"), F.col("event_type").alias("type")))
 
 
 @query("p8_reconcile", "SELECT o_orderstatus AS kind, count(*) AS n_source, count(*) FILTER (o_orderkey % 50 <> 0 OR o_orderstatus <> 'F') AS n_projected, count(*) = count(*) FILTER (o_orderkey % 50 <> 0 OR o_orderstatus <> 'F') AS agrees FROM orders GROUP BY 1")

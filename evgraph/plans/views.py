@@ -57,7 +57,8 @@ def texts(t: Tables) -> DataFrame:
 #: Identifiers of persons: what a customer bought where (account), and where it sits (location).
 LINKS = """links_v AS (
   SELECT DISTINCT 'C' || o_custkey AS person, 'account' AS kind, l_partkey || '-' || l_suppkey AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  UNION ALL SELECT DISTINCT 'C' || o_custkey, 'case', strftime(o_orderdate, '%Y-%m-%d') || o_orderpriority FROM orders)"""
+  UNION ALL SELECT DISTINCT 'C' || o_custkey, 'case', strftime(o_orderdate, '%Y-%m-%d') || o_orderpriority FROM orders
+  UNION ALL SELECT 'C' || c_custkey, 'location', c_nationkey || '-' || c_mktsegment FROM customer)"""
 
 
 def links(t: Tables) -> DataFrame:
@@ -66,7 +67,8 @@ def links(t: Tables) -> DataFrame:
     bought = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     bought = bought.select(person, F.lit("account").alias("kind"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("value")).distinct()
     case = o.select(person, F.lit("case").alias("kind"), F.concat(F.date_format("o_orderdate", DAY), "o_orderpriority").alias("value")).distinct()
-    return bought.unionByName(case)
+    place = t("customer").select(F.concat(F.lit("C"), "c_custkey").alias("person"), F.lit("location").alias("kind"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("value"))
+    return bought.unionByName(case).unionByName(place)
 
 
 #: Mentions: part names with their brand as identifier.
