@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.operators import graph as G
+from evgraph.operators import relate as E
 from evgraph.operators import report as T
 from evgraph.plans import views as V
-from evgraph.plans.evidence import EV, PAIR_REL, evidence, relationships
+from evgraph.plans.evidence import EV, PAIR_REL, events_once, evidence, relationships
 from evgraph.plans.registry import QUERIES, query
 from evgraph.session import as_pattern, shared_dir, stored
 from evgraph.streaming import flows as W
@@ -199,9 +200,16 @@ def t1(t) -> DataFrame:
     return T.sort_timeline(T.timeline(V.events(t), case=1, kind="CALL", first="1995-01-01", last="1997-12-31"), "order_id", "line")
 
 
-@query("t2_temporal_summary", f"WITH {V.EVENTS} SELECT person_a, count(*) AS n, min(date) AS earliest, max(date) AS latest, count(DISTINCT date) AS days FROM events_v GROUP BY person_a")
+TIMED = f"{V.EVENTS}, tv AS (SELECT *, CASE WHEN order_id % 3 = 0 THEN lpad(CAST(line AS VARCHAR), 2, '0') || ':00' END AS time, CASE WHEN order_id % 7 = 0 THEN NULL ELSE date END AS day FROM events_v)"
+@query("t2_temporal_summary", f"""WITH {TIMED}, o AS (SELECT *, day IS NOT NULL OR time IS NOT NULL AS timed, row_number() OVER (PARTITION BY person_a, day IS NOT NULL OR time IS NOT NULL ORDER BY coalesce(day, ''), coalesce(time, ''), order_id, line, person_b, qty) AS n FROM tv)
+SELECT person_a, count(*) AS events, count(*) FILTER (timed) AS timed_events, arg_min(order_id, n) FILTER (timed) AS earliest, min(day) FILTER (timed AND n <= 50) AS first_day, arg_max(order_id, n) FILTER (timed) AS latest,
+  coalesce(list(order_id ORDER BY n) FILTER (timed AND n <= 50), []) AS sequence FROM o GROUP BY person_a""")
 def t2(t) -> DataFrame:
-    return T.temporal_summary(V.events(t), "person_a")
+    time = F.when(F.col("order_id") % 3 == 0, F.concat(F.lpad(F.col("line").cast("string"), 2, "0"), F.lit(":00")))
+    e = V.events(t).withColumn("time", time).withColumn("date", F.when(F.col("order_id") % 7 == 0, None).otherwise(F.col("date")))
+    found = T.temporal_summary(e, "person_a", ["order_id", "line", "person_b", "qty"])
+    first_day = F.array_min(F.transform("sequence", lambda x: x["date"]))
+    return found.select("person_a", "events", "timed_events", F.col("earliest.order_id").alias("earliest"), first_day.alias("first_day"), F.col("latest.order_id").alias("latest"), F.transform("sequence", lambda x: x["order_id"]).alias("sequence"))
 
 
 @query("t3_search", "SELECT 'part' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS value FROM part WHERE contains(lower(p_name), 'al') UNION ALL SELECT 'person', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE contains(lower(c_name), 'al') UNION ALL SELECT 'case', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'al')")
@@ -210,16 +218,35 @@ def t3(t) -> DataFrame:
 
 
 @query("t4_profile", f"""WITH {PAIR_REL}, {V.LINKS}, s AS (SELECT person_a AS person, event_type, case_id FROM events_v UNION ALL SELECT person_b, event_type, case_id FROM events_v),
-e AS (SELECT person, count(DISTINCT case_id) AS n_cases, count(*) FILTER (event_type = 'CALL') AS calls, count(*) FILTER (event_type = 'TRANSACTION') AS transactions FROM s GROUP BY person),
+e AS (SELECT person, count(DISTINCT case_id) AS n_cases, count(*) AS events, count(*) FILTER (event_type = 'CALL') AS calls, count(*) FILTER (event_type = 'TRANSACTION') AS transactions FROM s GROUP BY person),
 i AS (SELECT person, count(*) AS n_identifiers FROM links_v GROUP BY person), k AS (SELECT person, count(*) AS n_relationships, max(score) AS best FROM (SELECT a AS person, score FROM rel UNION ALL SELECT b, score FROM rel) GROUP BY person)
 SELECT * FROM e LEFT JOIN i USING (person) LEFT JOIN k USING (person)""")
 def t4(t) -> DataFrame:
-    return T.profile(V.events(t), V.links(t), relationships(t))
+    e = events_once(t)
+    return T.profile(e, V.links(t), E.scored(E.event_signals(e)))
 
 
-@query("t5_case_context", f"WITH {EV} SELECT case_id, count(*) AS n_evidence, count(DISTINCT a) AS people, count(DISTINCT source) AS sources, count(DISTINCT date) AS days FROM ev GROUP BY case_id")
+@query("t4_profile_details", f"""WITH {PAIR_REL}, {EV[len(V.EVENTS) + 2 :]}, {V.LINKS}, s AS (SELECT person_a AS person, person_b AS other, event_type, case_id, date FROM events_v UNION ALL SELECT person_b, person_a, event_type, case_id, date FROM events_v)
+SELECT person, 'identifier' AS section, kind, value, NULL AS other, NULL AS date, NULL::DOUBLE AS score FROM links_v UNION ALL SELECT DISTINCT person, 'case', NULL, CAST(case_id AS VARCHAR), NULL, NULL, NULL FROM s
+UNION ALL SELECT person, 'event', event_type, NULL, other, date, NULL FROM s UNION ALL SELECT a, 'relationship', NULL, strength, b, NULL, score FROM rel UNION ALL SELECT b, 'relationship', NULL, strength, a, NULL, score FROM rel
+UNION ALL SELECT a, 'evidence', kind, evidence_id, b, date, confidence FROM ev UNION ALL SELECT b, 'evidence', kind, evidence_id, a, date, confidence FROM ev""")
+def t4d(t) -> DataFrame:
+    e = events_once(t)
+    return T.profile_details(e, V.links(t), E.scored(E.event_signals(e)), evidence(t, e))
+
+
+@query("t5_case_context", f"""WITH {PAIR_REL}, {EV[len(V.EVENTS) + 2 :]} SELECT case_id, (SELECT count(DISTINCT p) FROM (SELECT person_a AS p FROM events_v x WHERE x.case_id = z.case_id UNION ALL SELECT person_b FROM events_v x WHERE x.case_id = z.case_id)) AS people,
+  count(*) AS events, count(*) AS evidence, (SELECT count(DISTINCT (a, b)) FROM ev SEMI JOIN rel USING (a, b) WHERE ev.case_id = z.case_id) AS relationships, count(DISTINCT source) AS sources, count(DISTINCT date) AS days FROM events_v z GROUP BY case_id""")
 def t5(t) -> DataFrame:
-    return evidence(t).groupBy("case_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.count_distinct("a").alias("people"), F.count_distinct("source").alias("sources"), F.count_distinct("date").alias("days"))
+    e = events_once(t)
+    return T.case_context(e, evidence(t, e), E.scored(E.event_signals(e)))
+
+
+@query("t5_case_lists", f"WITH {PAIR_REL}, c AS (SELECT DISTINCT case_id, least(person_a, person_b) AS a, greatest(person_a, person_b) AS b FROM events_v) SELECT case_id, a, b, score, CAST(n AS INT) AS n FROM (SELECT case_id, a, b, score, row_number() OVER (PARTITION BY case_id ORDER BY score DESC NULLS LAST, a, b) AS n FROM c JOIN rel USING (a, b)) WHERE n <= 75")
+def t5l(t) -> DataFrame:
+    e = events_once(t)
+    met = evidence(t, e).select("case_id", "a", "b").distinct().hint("merge").join(E.scored(E.event_signals(e)).select("a", "b", "score").hint("merge"), ["a", "b"])
+    return T.first_rows(met, "case_id", 75, F.desc_nulls_last("score"), "a", "b").select("case_id", "a", "b", "score", "n")
 
 
 @query("t6_strongest", f"WITH {PAIR_REL} SELECT a, b, score, tenths FROM rel ORDER BY score DESC, tenths DESC, a, b LIMIT 25")
@@ -234,16 +261,33 @@ def t7(t) -> DataFrame:
 
 @query("t8_cross_case", f"WITH {PAIR_REL}, c AS (SELECT DISTINCT case_id, least(person_a, person_b) AS a, greatest(person_a, person_b) AS b FROM events_v) SELECT case_id, count(*) FILTER (strength = 'STRONG') AS strong, count(*) FILTER (strength = 'MODERATE') AS moderate, count(*) FILTER (strength = 'WEAK') AS weak FROM rel JOIN c USING (a, b) GROUP BY case_id")
 def t8(t) -> DataFrame:
-    cases = evidence(t).select("case_id", "a", "b").distinct()
-    n = lambda s: F.count_if(F.col("strength") == s)
-    return relationships(t).join(cases, ["a", "b"]).groupBy("case_id").agg(n("STRONG").alias("strong"), n("MODERATE").alias("moderate"), n("WEAK").alias("weak"))
+    e = events_once(t)
+    return T.cross_case(E.scored(E.event_signals(e)), evidence(t, e))
+
+
+ENTITIES = "en AS (SELECT l_partkey * 100 + l_linenumber AS id, 'PRODUCT' AS type, p_name AS normalized, min(o_custkey % 7) AS case_id, min(l_orderkey) AS document_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3)"
+DETAIL = f"""{ENTITIES}, lk AS (SELECT l_partkey * 100 + l_linenumber AS id, count(DISTINCT o_custkey) AS people FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 2 = 0 GROUP BY 1),
+dt AS (SELECT en.*, r_name AS case_name, o_orderpriority AS document_name, coalesce(people, 0) AS people FROM en LEFT JOIN region ON r_regionkey = case_id LEFT JOIN orders ON o_orderkey = document_id LEFT JOIN lk USING (id))"""
+
 
+def _entities(t) -> tuple[DataFrame, DataFrame]:
+    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").hint("merge").join(t("orders").select("o_orderkey", "o_custkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.hint("merge").join(t("part").select("p_partkey", "p_name").hint("merge"), F.col("l_partkey") == F.col("p_partkey")).withColumn("id", F.col("l_partkey") * 100 + F.col("l_linenumber"))
+    found = lines.groupBy("id", F.lit("PRODUCT").alias("type"), F.col("p_name").alias("normalized")).agg(F.min(F.col("o_custkey") % 7).alias("case_id"), F.min("l_orderkey").alias("document_id"))
+    return found, lines.where("o_custkey % 2 = 0").select(F.col("o_custkey").alias("person"), F.col("id").alias("entity_id"))
 
-@query("t9_entity_detail", "SELECT l_partkey AS entity, arg_min(l_orderkey, l_orderkey) AS first_document, count(DISTINCT o_custkey) AS people, any_value(p_name) AS label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY l_partkey")
+
+@query("t9_entity_detail", f"WITH {DETAIL} SELECT * FROM dt")
 def t9(t) -> DataFrame:
-    li = t("lineitem").select("l_orderkey", "l_partkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    li = li.join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
-    return li.groupBy(F.col("l_partkey").alias("entity")).agg(F.min("l_orderkey").alias("first_document"), F.count_distinct("o_custkey").alias("people"), F.min("p_name").alias("label"))
+    found, links = _entities(t)
+    cases = t("region").select(F.col("r_regionkey").alias("case_id"), F.col("r_name").alias("name"))
+    return T.entity_detail(found, cases, t("orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("name")), links)
+
+
+@query("t9_entity_lookup", f"WITH {ENTITIES} SELECT * FROM en WHERE normalized = (SELECT min(p_name) FROM part) ORDER BY id LIMIT 1")
+def t9l(t) -> DataFrame:
+    name = t("part").agg(F.min("p_name")).first()[0]  # one row
+    return T.find_entity(_entities(t)[0], "PRODUCT", f"  {name} ")
 
 
 @query("t10_case_scope", f"WITH {V.EVENTS} SELECT person_a, person_b, case_id, order_id, line FROM events_v WHERE case_id IN (SELECT n_regionkey FROM nation WHERE n_nationkey IN (1, 5, 9))")
@@ -254,7 +298,7 @@ def t10(t) -> DataFrame:
 
 @query("t11_latest_login", "SELECT user_id, max(ts) FILTER (event_type = 'signup') AS last_login, max(ts) AS last_activity FROM events GROUP BY user_id")
 def t11(t) -> DataFrame:
-    return t("events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_login"), F.max("ts").alias("last_activity"))
+    return T.latest_activity(t("events"), action="event_type", login="signup")
 
 
 @query("t12_recent_cases", """WITH l AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS item, ts, event_id, row_number() OVER (PARTITION BY user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 ORDER BY ts DESC, event_id DESC) AS k FROM events)
@@ -266,22 +310,28 @@ def t12(t) -> DataFrame:
 
 @query("t13_status_counts", "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def t13(t) -> DataFrame:
-    return t("orders").rollup(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    return T.status_counts(t("orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")), "status", "priority")
+
 
+@query("t13_table_counts", " UNION ALL ".join(f"SELECT '{x}' AS \"table\", count(*) AS n FROM {x}" for x in ("customer", "orders", "lineitem", "documents", "events")))
+def t13c(t) -> DataFrame:
+    return T.table_counts(**{x: t(x) for x in ("customer", "orders", "lineitem", "documents", "events")})
 
-@query("t14_audit_tail", "SELECT event_id, coalesce(c_name, 'system') AS who, event_type FROM events LEFT JOIN customer ON user_id = c_custkey AND user_id % 2 = 0 ORDER BY ts DESC, event_id DESC LIMIT 500")
+
+@query("t14_audit_tail", "SELECT event_id, ts, coalesce(c_name, 'system') AS who, event_type AS action FROM events LEFT JOIN customer ON user_id = c_custkey AND user_id % 2 = 0 ORDER BY ts DESC, event_id DESC LIMIT 500")
 def t14(t) -> DataFrame:
-    e, c = t("events"), t("customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    rows = e.join(c, e.user_id == c.c_custkey, "left").select("ts", "event_id", F.coalesce("c_name", F.lit("system")).alias("who"), "event_type")
-    return rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "who", "event_type")
+    users = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
+    return T.audit_tail(t("events").withColumnRenamed("event_type", "action"), users)
 
 
-@query("t15_investigator_overview", "SELECT user_id, count(DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) % 20) AS cases, max(ts) FILTER (event_type = 'signup') AS last_login, max(ts) AS last_activity, arg_max(event_type, (ts, event_id)) AS last_action FROM events GROUP BY user_id")
+@query("t15_investigator_overview", """WITH l AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS item FROM events), a AS (SELECT user_id, item AS case_id FROM l WHERE event_type <> 'error'),
+k AS (SELECT user_id, item, max((ts, event_id)) AS moment FROM l GROUP BY ALL), rc AS (SELECT user_id, list(item ORDER BY n) AS recent FROM (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY moment DESC) AS n FROM k) WHERE n <= 5 GROUP BY user_id),
+c AS (SELECT user_id, count(DISTINCT case_id) AS cases FROM a GROUP BY user_id)
+SELECT user_id, coalesce(cases, 0) AS cases, last_login, last_activity, last_action, coalesce(recent, []) AS recent FROM
+  (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS last_login, max(ts) AS last_activity, arg_max(event_type, (ts, event_id)) AS last_action FROM l GROUP BY user_id) LEFT JOIN c USING (user_id) LEFT JOIN rc USING (user_id)""")
 def t15(t) -> DataFrame:
-    log = t("events").withColumn("item", F.get_json_object("props", "$.k").cast("long") % 20)
-    return log.groupBy("user_id").agg(
-        F.count_distinct("item").alias("cases"), F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_login"), F.max("ts").alias("last_activity"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_action")
-    )
+    log = t("events").select("user_id", F.col("event_type").alias("action"), (F.get_json_object("props", "$.k").cast("long") % 20).alias("item"), "ts", "event_id")
+    return T.overview(log, log.where("action <> 'error'").select("user_id", F.col("item").alias("case_id")), login="signup")
 
 
 @query("t16_nested_documents", "SELECT c_custkey AS id, c_name, o_orderkey AS document, o_orderstatus AS status FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
