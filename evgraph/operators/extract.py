@@ -1,7 +1,13 @@
-"""Extraction."""
+"""Extraction.
+
+Record functions return a Bundle of three tables: events, entities and mentions, each with the record's key and position, so that every row
+names its source. Blank cells are null and never get a default; records without any known value give nothing; repeated records count each.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +57,25 @@ def text_events(docs: DataFrame, key: str = "id", text: str = "text") -> DataFra
     return rows.select(key, F.when(F.col("amount").isNotNull(), "TRANSACTION").otherwise("CASE_EVENT").alias("type"), "date", "time", C.precision_tag(F.col("date"), F.col("time")).alias("precision"), "amount")
 
 
-def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", name: str = "name", words: int = 1) -> DataFrame:
-    """key, name: dictionary entries of up to `words` words that occur in the text as words, by an equi-join on its n-grams."""
-    w = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    rows = docs.select(key, w.alias("w")).where("size(w) > 0")
-    one = F.array_distinct(F.concat(*[_grams(n) for n in range(1, words + 1)]))
-    return rows.select(key, F.explode(one).alias("gram")).join(dictionary.select(F.lower(name).alias("gram"), F.col(name).alias("name")).distinct().hint("merge"), "gram").select(key, "name")
+def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", name: str = "name", words: int = 3, longest: bool = False) -> DataFrame:
+    """key, name, position, original: dictionary entries of up to `words` words that occur in the text as words (X2), by an equi-join on its n-grams.
+
+    position is the word where the first occurrence starts (from 0), original its spelling there. longest: of the entries that start at one word only the longest stays.
+    Null texts and names, and names without letters or digits, match nothing.
+    """
+    cut = r"[^\p{L}\p{N}]+"
+    parts = F.filter(F.split(text, cut), lambda x: x != "")
+    rows = docs.select(key, parts.alias("w")).where("size(w) > 0")
+    grams = F.flatten(F.array(*[F.transform(_grams(n), lambda g, i: F.struct(i.alias("position"), g.alias("original"))) for n in range(1, words + 1)]))
+    held = rows.select(key, F.explode(grams).alias("g")).select(key, F.lower("g.original").alias("gram"), "g.position", "g.original")
+    held = held.groupBy(key, "gram").agg(F.min(F.struct("position", "original")).alias("g"))
+    form = F.array_join(F.filter(F.split(F.lower(F.col(name)), cut), lambda x: x != ""), " ")
+    known = dictionary.select(form.alias("gram"), F.col(name).alias("name")).where("gram <> ''").distinct()
+    found = held.hint("merge").join(known.hint("merge"), "gram").select(key, "name", "g.position", "g.original")
+    if not longest:
+        return found
+    best = F.max_by(F.struct("name", "original"), F.struct(F.length("original"), "name")).alias("b")
+    return found.groupBy(key, "position").agg(best).select(key, "b.name", "position", "b.original")
 
 
 def _grams(n: int) -> Column:
@@ -64,36 +83,152 @@ def _grams(n: int) -> Column:
     return F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))
 
 
-def two_party_rows(rows: DataFrame, kind: str, a: str, b: str, a_id: str, b_id: str, id_kind: str, key: str, date: Column, time: Column, amount: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Call and transaction records -> (events, entities, mentions); rows without any party are skipped."""
-    a_name, b_name, ia, ib = (C.blank_to_null(F.col(c)) for c in (a, b, a_id, b_id))
-    base = rows.select(key, a_name.alias("a_name"), b_name.alias("b_name"), ia.alias("ia"), ib.alias("ib"), date.alias("date"), time.alias("time"), (amount if amount is not None else F.lit(None).cast("string")).alias("amount"))
-    base = base.where("coalesce(a_name, b_name, ia, ib) is not null")
-    events = base.select(key, F.lit(kind).alias("type"), "a_name", "b_name", "date", "time", C.precision_tag(F.col("date"), F.col("time")).alias("precision"), C.event_label(F.lit(kind), F.col("a_name"), F.col("b_name"), F.col("amount")).alias("description"), "amount")
-    entities = base.select(key, F.explode(F.array_compact(F.array("ia", "ib"))).alias("value")).select(key, F.lit(id_kind).alias("type"), "value")
-    mentions = base.select(key, F.explode(F.array(F.struct(F.col("a_name").alias("name"), F.col("ia").alias("identifier")), F.struct(F.col("b_name").alias("name"), F.col("ib").alias("identifier")))).alias("m")).select(key, "m.*").where("name is not null")
-    return events, entities, mentions
-
-
-def registry_rows(rows: DataFrame, key: str, columns: dict[str, str], date: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Registry records -> (entities by type, CASE_EVENTs of dated rows)."""
-    pairs = F.array(*[F.struct(F.lit(kind).alias("type"), C.blank_to_null(F.col(c)).alias("value")) for kind, c in columns.items()])
-    entities = rows.select(key, F.explode(pairs).alias("e")).select(key, "e.*").where("value is not null")
-    dated = rows.select(key, (F.col(date) if date else F.lit(None).cast("string")).alias("date")).where("date is not null")
-    return entities, dated.select(key, F.lit("CASE_EVENT").alias("type"), "date")
+class Bundle(NamedTuple):
+    """What records say: events (key, position, type, a_name, b_name, date, time, precision, description, details), entities (key, position,
+    type, value, confidence, method, date, time) and mentions (key, position, name, phone, account, vehicle, location)."""
+
+    events: DataFrame
+    entities: DataFrame
+    mentions: DataFrame
+
+
+def _cell(name: str | None) -> Column:
+    return F.lit(None).cast("string") if name is None else C.blank_to_null(F.col(name).cast("string"))
+
+
+def _moment(columns: dict[str, str]) -> tuple[Column, Column]:
+    """(date, time) of a row: the timestamp's, or those of the date and time cells."""
+    at, day, clock = (_cell(columns.get(c)) for c in ("timestamp", "date", "time"))
+    (d0, t0), (d1, _), (_, t2) = split_datetime(at), split_datetime(day), split_datetime(clock)
+    return F.when(at.isNotNull(), d0).otherwise(d1), F.when(at.isNotNull(), t0).otherwise(t2)
+
+
+def _exploded(rows: DataFrame, key: str, cells: Column) -> DataFrame:
+    return rows.select(key, "position", F.explode(cells).alias("m"), "date", "time")
+
+
+def _bundle(rows: DataFrame, key: str, kind: Column, label: Column, event: Column, parties: list[tuple[Column, dict[str, Column]]], entities: list[tuple[str, Column, float]], method: str, details: dict[str, Column]) -> Bundle:
+    """rows have key, position, date, time and the cells that the columns refer to; event says which rows are events."""
+    names = [p[0] for p in (*parties, (F.lit(None).cast("string"), {}))[:2]]
+    events = rows.where(event).select(
+        key, "position", kind.alias("type"), names[0].alias("a_name"), names[1].alias("b_name"), "date", "time", C.precision_tag(F.col("date"), F.col("time")).alias("precision"),
+        label.alias("description"), F.struct(*[v.cast("string").alias(k) for k, v in details.items()]).alias("details"),
+    )
+    values = F.array(*[F.struct(F.lit(k).alias("type"), v.cast("string").alias("value"), F.lit(c).cast("double").alias("confidence")) for k, v, c in entities])
+    found = _exploded(rows, key, values).where("m.value IS NOT NULL").select(key, "position", "m.*", F.lit(method).alias("method"), "date", "time")
+    kinds = ("phone", "account", "vehicle", "location")
+    people = F.array(*[F.struct(name.alias("name"), *[ids.get(k, F.lit(None)).cast("string").alias(k) for k in kinds]) for name, ids in parties])
+    mentions = _exploded(rows, key, people).where("m.name IS NOT NULL").select(key, "position", "m.*")
+    return Bundle(events, found, mentions)
+
+
+def _prepared(rows: DataFrame, key: str, columns: dict[str, str], position: str | None, needs: tuple[str, ...]) -> DataFrame:
+    date, time = _moment(columns)
+    cells = [_cell(columns.get(c)).alias(c) for c in needs]
+    at = (F.col(position) if position else F.lit(None)).cast("long").alias("position")
+    return rows.select(F.col(key), at, date.alias("date"), time.alias("time"), *cells)
+
+
+def call_rows(rows: DataFrame, key: str, columns: dict[str, str], position: str | None = None) -> Bundle:
+    """Call records (X4); columns: field -> column of caller_name, caller_phone, callee_name, callee_phone, duration, timestamp, date, time. Rows without any party are skipped."""
+    r = _prepared(rows, key, columns, position, ("caller_name", "caller_phone", "callee_name", "callee_phone", "duration"))
+    r = r.where("coalesce(caller_name, caller_phone, callee_name, callee_phone) IS NOT NULL")
+    c = F.col
+    label = C.event_label(F.lit("CALL"), F.coalesce("caller_name", "caller_phone"), F.coalesce("callee_name", "callee_phone"), F.lit(None).cast("string"))
+    return _bundle(
+        r, key, F.lit("CALL"), label, F.lit(True), [(c("caller_name"), {"phone": c("caller_phone")}), (c("callee_name"), {"phone": c("callee_phone")})],
+        [("PHONE", c("caller_phone"), 1.0), ("PHONE", c("callee_phone"), 1.0)], "csv", {k: c(k) for k in ("caller_phone", "callee_phone", "duration")},
+    )
+
+
+def transaction_rows(rows: DataFrame, key: str, columns: dict[str, str], position: str | None = None) -> Bundle:
+    """Transaction records (X5); columns: field -> column of sender_name, sender_account, receiver_name, receiver_account, amount, transaction_id, location, timestamp, date, time.
+
+    Rows that name neither a party, an amount nor an id are no events, though a location among them is an entity.
+    """
+    needs = ("sender_name", "sender_account", "receiver_name", "receiver_account", "amount", "transaction_id", "location")
+    r, c = _prepared(rows, key, columns, position, needs), F.col
+    label = C.event_label(F.lit("TRANSACTION"), c("sender_name"), c("receiver_name"), c("amount"))
+    event = F.coalesce(*needs[:-1]).isNotNull()
+    return _bundle(
+        r, key, F.lit("TRANSACTION"), label, event, [(c("sender_name"), {"account": c("sender_account")}), (c("receiver_name"), {"account": c("receiver_account")})],
+        [("BANK_ACCOUNT", c("sender_account"), 1.0), ("BANK_ACCOUNT", c("receiver_account"), 1.0), ("LOCATION", c("location"), 1.0)], "csv",
+        {k: c(k) for k in ("amount", "transaction_id", "sender_account", "receiver_account", "location")},
+    )
+
+
+def registry_rows(rows: DataFrame, key: str, columns: dict[str, str], position: str | None = None) -> Bundle:
+    """Registry records (X6); columns: field -> column of person_name, phone, vehicle, account, location, timestamp, date, time. Dated rows are CASE_EVENTs as well."""
+    needs = ("person_name", "phone", "vehicle", "account", "location")
+    r, c = _prepared(rows, key, columns, position, needs), F.col
+    r = r.where(F.coalesce(*needs).isNotNull())
+    ids = {k: c(k) for k in needs[1:]}
+    label = F.concat(F.lit("Dataset record — "), F.coalesce(*needs))
+    return _bundle(
+        r, key, F.lit("CASE_EVENT"), label, c("date").isNotNull(), [(c("person_name"), ids)],
+        [("PHONE", c("phone"), 1.0), ("VEHICLE", c("vehicle"), 1.0), ("BANK_ACCOUNT", c("account"), 1.0), ("LOCATION", c("location"), 1.0)], "csv", ids,
+    )
+
+
+#: Record types, alias keys in their order, and what the types become.
+TOGETHER = ("location_observation", "sighting", "cctv", "co_location")
+TRANSFERS = ("transaction", "payment", "transfer")
+CALLS = ("call",)
+OTHERS = ("case_event", "event", "incident", "record")
+KEYS = {
+    "person": ("person", "person_name", "subject"),
+    "other": ("other_person", "with", "accompanied_by"),
+    "place": ("location", "place"),
+    "phone": ("phone", "mobile"),
+    "moment": ("timestamp", "date", "datetime"),
+    "sender": ("sender", "sender_name", "from_name"),
+    "receiver": ("receiver", "receiver_name", "to_name"),
+    "sender_account": ("sender_account", "from_account", "account_from"),
+    "receiver_account": ("receiver_account", "to_account", "account_to"),
+    "amount": ("amount",),
+    "transaction_id": ("transaction_id", "txn_id", "reference_no", "utr"),
+    "city": ("location", "city"),
+    "vehicle": ("vehicle",),
+    "text": ("description", "summary"),
+}
 
 
-def route_records(records: DataFrame, key: str, record: str = "record") -> DataFrame:
-    """JSON records with alias keys -> key, type, a_name, b_name, amount; types that are not known give null types."""
-    pick = lambda *names: F.coalesce(*[C.blank_to_null(F.try_element_at(F.col(record), F.lit(n))) for n in names])
-    said = F.lower(F.coalesce(pick("type", "event_type", "record_type"), F.lit("")))
-    kind = (
-        F.when(said.isin("transaction", "transfer", "payment", "purchase"), "TRANSACTION")
-        .when(said.isin("call", "phone_call", "cdr"), "CALL")
-        .when(said.isin("location_observation", "sighting", "cctv", "view"), "LOCATION_OBSERVATION")
-        .when(said.isin("event", "case_event", "signup"), "CASE_EVENT")
-    )
-    return records.select(key, kind.alias("type"), pick("sender", "caller", "person", "from").alias("a_name"), pick("receiver", "callee", "other_person", "to").alias("b_name"), pick("amount", "value").alias("amount"))
+def json_bundle(records: DataFrame, key: str, position: str = "position", record: str = "record") -> Bundle:
+    """JSON records (key, position, map of strings with keys in lower case and _) -> events, entities, mentions.
+
+    Observations of two persons are LOCATION_OBSERVATIONs; of one, they give entities and a mention. Records without a type are transactions; other
+    known types are transactions, calls or CASE_EVENTs; unknown types give entities and mentions only. positions count from 1.
+    """
+    value = lambda n: F.nullif(F.try_element_at(F.col(record), F.lit(n)), F.lit(""))
+    said = F.lower(F.coalesce(F.try_element_at(F.col(record), F.lit("type")), F.try_element_at(F.col(record), F.lit("record_type")), F.lit("transaction")))
+    cells = [F.coalesce(*map(value, names)).alias(c) for c, names in KEYS.items()]
+    rows = records.select(key, (F.col(position) + 1).cast("long").alias("position"), said.alias("said"), *cells)
+    date, time = split_datetime(F.col("moment"))
+    rows = rows.withColumns({"date": date, "time": time})
+    c, method = F.col, "json"
+    seen = rows.where(c("said").isin(*TOGETHER))
+    label = F.concat(F.coalesce("person", F.lit("None")), F.lit(" and "), c("other"), F.lit(" observed together at "), F.coalesce("place", F.lit("None")))
+    together = _bundle(
+        seen, key, F.lit("LOCATION_OBSERVATION"), label, c("other").isNotNull(),
+        [(c("person"), {"location": c("place"), "vehicle": c("vehicle"), "phone": c("phone")}), (c("other"), {"location": c("place"), "vehicle": c("vehicle")})],
+        [("LOCATION", c("place"), 0.9), ("VEHICLE", c("vehicle"), 0.9), ("PHONE", c("phone"), 0.95)], method, _details(location=c("place"), vehicle=c("vehicle")),
+    )
+    rest = rows.where(~c("said").isin(*TOGETHER))
+    kind = F.when(c("said").isin(*TRANSFERS), "TRANSACTION").when(c("said").isin(*CALLS), "CALL").otherwise("CASE_EVENT")
+    text = F.substring(F.coalesce("text", F.concat(F.lit("Dataset record "), c("position").cast("string"))), 1, 500)
+    label = F.when(kind == "CASE_EVENT", text).otherwise(C.event_label(kind, c("sender"), c("receiver"), c("amount")))
+    dealt = _bundle(
+        rest, key, kind, label, c("said").isin(*TRANSFERS, *CALLS, *OTHERS),
+        [(c("sender"), {"account": c("sender_account"), "vehicle": c("vehicle")}), (c("receiver"), {"account": c("receiver_account")})],
+        [("BANK_ACCOUNT", c("sender_account"), 1.0), ("BANK_ACCOUNT", c("receiver_account"), 1.0), ("LOCATION", c("city"), 0.9), ("VEHICLE", c("vehicle"), 0.9)], method,
+        _details(amount=c("amount"), transaction_id=c("transaction_id"), sender_account=c("sender_account"), receiver_account=c("receiver_account"), location=c("city")),
+    )
+    return Bundle(*[a.unionByName(b) for a, b in zip(together, dealt)])
+
+
+def _details(**known: Column) -> dict[str, Column]:
+    names = ("amount", "transaction_id", "sender_account", "receiver_account", "location", "vehicle")
+    return {n: known.get(n, F.lit(None).cast("string")) for n in names}
 
 
 TIME_ONLY = r"(?i)^\d{1,2}:\d{2}(?::\d{2})?(?:\s*(?:am|pm))?$"
@@ -111,7 +246,9 @@ def split_datetime(cell: Column) -> tuple[Column, Column]:
 
 
 def merge_mentions(mentions: DataFrame, file: str, name: str, position: str, **identifiers: str) -> DataFrame:
-    """One mention per file and lower-cased name: first spelling, identifiers and positions, sorted and distinct."""
+    """One mention per file and lower-cased name (X10): first spelling, sorted distinct identifiers and positions, number of rows. Blank names are left out."""
     key = F.lower(F.trim(name))
     sets = [F.array_sort(F.collect_set(c)).alias(kind) for kind, c in identifiers.items()]
-    return mentions.groupBy(F.col(file), key.alias("name_key")).agg(F.min_by(F.trim(name), position).alias("name"), *sets, F.count(F.lit(1)).alias("n_rows"))
+    rows = mentions.where(F.coalesce(F.trim(name), F.lit("")) != "")
+    merged = [F.min_by(F.trim(name), position).alias("name"), *sets, F.array_sort(F.collect_set(position)).alias("positions"), F.count(F.lit(1)).alias("n_rows")]
+    return rows.groupBy(F.col(file), key.alias("name_key")).agg(*merged)

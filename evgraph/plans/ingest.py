@@ -294,12 +294,24 @@ def x1(t) -> DataFrame:
     return X.entities(V.texts(t))
 
 
-@query("x2_dictionary", """WITH d AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT unnest(['the', 'que', 'der', 'les'])), w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS name FROM documents)
-SELECT doc_id, name FROM w JOIN d USING (name)""")
+WORDS = """d AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT unnest(['The', 'que', 'der', 'Les', 'of the', 'de la'])), w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(len(w))) AS i, w FROM w), gr AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + n], ' ') AS original FROM g, range(1, 4) r(n) WHERE i + n <= len(w)),
+hits AS (SELECT doc_id, name, CAST(min(i) AS INT) AS position, arg_min(original, i) AS original FROM gr JOIN d ON lower(original) = lower(name) GROUP BY doc_id, name)"""
+
+
+def _names(t) -> DataFrame:
+    common = t("part").sparkSession.createDataFrame([(x,) for x in ("The", "que", "der", "Les", "of the", "de la")], "name string")
+    return t("part").select(F.split("p_name", " ")[0].alias("name")).unionByName(common).distinct()
+
+
+@query("x2_dictionary", f"WITH {WORDS} SELECT * FROM hits")
 def x2(t) -> DataFrame:
-    common = t("part").sparkSession.createDataFrame([("the",), ("que",), ("der",), ("les",)], "name string")
-    d = t("part").select(F.split("p_name", " ")[0].alias("name")).unionByName(common).distinct()
-    return X.dictionary_matches(t("documents"), d, "doc_id")
+    return X.dictionary_matches(t("documents"), _names(t), "doc_id")
+
+
+@query("x2_longest", f"WITH {WORDS} SELECT doc_id, name, position, original FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, position ORDER BY length(original) DESC, name DESC) AS k FROM hits) WHERE k = 1")
+def x2l(t) -> DataFrame:
+    return X.dictionary_matches(t("documents"), _names(t), "doc_id", longest=True)
 
 
 @query("x3_text_events", f"""WITH {V.TEXTS} SELECT id, 'TRANSACTION' AS type, strftime(strptime(regexp_extract(text, '\\d{{2}}-[A-Za-z]{{3}}-\\d{{4}}'), '%d-%b-%Y'), '%Y-%m-%d') AS date, regexp_extract(text, '\\d{{2}}:\\d{{2}}') AS time, 'exact' AS precision,
@@ -308,41 +320,105 @@ def x3(t) -> DataFrame:
     return X.text_events(V.texts(t))
 
 
-def _calls(t):
+CALL = {"caller_name": "caller", "callee_name": "callee", "caller_phone": "phone", "callee_phone": "other", "duration": "seconds", "timestamp": "at"}
+CALLS = f"""{V.EVENTS}, c AS (SELECT order_id, line, person_a AS a, CASE WHEN line % 3 = 0 THEN NULL ELSE person_b END AS b, '9' || lpad(CAST(order_id AS VARCHAR), 9, '0') AS phone, CASE WHEN line % 3 = 0 THEN '8' || lpad(CAST(line AS VARCHAR), 9, '0') END AS other,
+  CAST(qty AS VARCHAR) AS duration, date, CASE WHEN line % 2 = 0 THEN lpad(CAST(order_id % 24 AS VARCHAR), 2, '0') || ':05' END AS time FROM events_v WHERE event_type = 'CALL')"""
+
+
+def _calls(t) -> DataFrame:
     e = V.events(t).where("event_type = 'CALL'")
-    return e.select("order_id", F.col("person_a").alias("caller"), F.when(F.col("line") % 3 == 0, " ").otherwise(F.col("person_b")).alias("callee"), F.concat(F.lit("9"), F.lpad(F.col("order_id").cast("string"), 9, "0")).alias("phone"), F.lit(None).cast("string").alias("other"), "date")
+    time = F.when(F.col("line") % 2 == 0, F.concat(F.lit(" "), F.lpad((F.col("order_id") % 24).cast("string"), 2, "0"), F.lit(":05"))).otherwise("")
+    return e.select(
+        "order_id", "line", F.col("person_a").alias("caller"), F.when(F.col("line") % 3 == 0, " ").otherwise(F.col("person_b")).alias("callee"), F.concat(F.lit("9"), F.lpad(F.col("order_id").cast("string"), 9, "0")).alias("phone"),
+        F.when(F.col("line") % 3 == 0, F.concat(F.lit("8"), F.lpad(F.col("line").cast("string"), 9, "0"))).alias("other"), F.col("qty").alias("seconds"), F.concat("date", time).alias("at"),
+    )
 
 
-@query("x4_call_rows", f"""WITH {V.EVENTS}, c AS (SELECT order_id, person_a AS a, CASE WHEN line % 3 = 0 THEN NULL ELSE person_b END AS b, date FROM events_v WHERE event_type = 'CALL')
-SELECT order_id, 'CALL' AS type, a AS a_name, b AS b_name, date, NULL::VARCHAR AS time, 'date_only' AS precision, 'Call ' || a || ' → ' || coalesce(b, '?') AS description, NULL::VARCHAR AS amount FROM c""")
+def _flat(events: DataFrame, *details: str) -> DataFrame:
+    return events.select(*[c for c in events.columns if c != "details"], *[F.col(f"details.{d}").alias(d) for d in details])
+
+
+PRECISION = "CASE WHEN time IS NOT NULL THEN 'exact' WHEN date IS NOT NULL THEN 'date_only' ELSE 'unknown' END AS precision"
+
+
+@query("x4_call_rows", f"""WITH {CALLS} SELECT order_id, CAST(line AS BIGINT) AS position, 'CALL' AS type, a AS a_name, b AS b_name, date, time, {PRECISION}, 'Call ' || a || ' → ' || coalesce(b, other) AS description,
+  phone AS caller_phone, other AS callee_phone, duration FROM c""")
 def x4(t) -> DataFrame:
-    return X.two_party_rows(_calls(t), "CALL", "caller", "callee", "phone", "other", "PHONE", "order_id", F.col("date"), F.lit(None).cast("string"))[0]
+    return _flat(X.call_rows(_calls(t), "order_id", CALL, "line").events, "caller_phone", "callee_phone", "duration")
+
+
+@query("x4_call_entities", f"WITH {CALLS} SELECT order_id, CAST(line AS BIGINT) AS position, 'PHONE' AS type, value, 1.0::DOUBLE AS confidence, 'csv' AS method, date, time FROM (SELECT *, phone AS value FROM c UNION ALL SELECT *, other FROM c) WHERE value IS NOT NULL")
+def x4e(t) -> DataFrame:
+    return X.call_rows(_calls(t), "order_id", CALL, "line").entities
+
+
+NO_IDS = "NULL::VARCHAR AS account, NULL::VARCHAR AS vehicle, NULL::VARCHAR AS location"
 
 
-@query("x4_call_mentions", f"""WITH {V.EVENTS} SELECT order_id, person_a AS name, '9' || lpad(CAST(order_id AS VARCHAR), 9, '0') AS identifier FROM events_v WHERE event_type = 'CALL'
-UNION ALL SELECT order_id, person_b, NULL FROM events_v WHERE event_type = 'CALL' AND line % 3 <> 0""")
+@query("x4_call_mentions", f"WITH {CALLS} SELECT order_id, CAST(line AS BIGINT) AS position, name, phone, {NO_IDS} FROM (SELECT order_id, line, a AS name, phone FROM c UNION ALL SELECT order_id, line, b, other FROM c) WHERE name IS NOT NULL")
 def x4m(t) -> DataFrame:
-    return X.two_party_rows(_calls(t), "CALL", "caller", "callee", "phone", "other", "PHONE", "order_id", F.col("date"), F.lit(None).cast("string"))[2]
+    return X.call_rows(_calls(t), "order_id", CALL, "line").mentions
 
 
-@query("x5_transaction_rows", f"""WITH {V.EVENTS} SELECT order_id, 'TRANSACTION' AS type, person_a AS a_name, person_b AS b_name, date, NULL::VARCHAR AS time, 'date_only' AS precision,
-  'Transaction ' || person_a || ' → ' || person_b || ' ₹' || qty AS description, CAST(qty AS VARCHAR) AS amount FROM events_v WHERE event_type = 'TRANSACTION'""")
+@query("x5_transaction_rows", f"""WITH {V.EVENTS} SELECT order_id, CAST(line AS BIGINT) AS position, 'TRANSACTION' AS type, person_a AS a_name, person_b AS b_name, date, NULL::VARCHAR AS time, 'date_only' AS precision,
+  'Transaction ' || person_a || ' → ' || person_b || ' ₹' || qty AS description, CAST(qty AS VARCHAR) AS amount, 'T' || order_id AS transaction_id, 'A' || person_a AS sender_account, NULL::VARCHAR AS receiver_account, source AS location FROM events_v WHERE event_type = 'TRANSACTION'""")
 def x5(t) -> DataFrame:
-    e = V.events(t).where("event_type = 'TRANSACTION'").withColumn("acc", F.lit(None).cast("string"))
-    return X.two_party_rows(e, "TRANSACTION", "person_a", "person_b", "acc", "acc", "BANK_ACCOUNT", "order_id", F.col("date"), F.lit(None).cast("string"), F.col("qty").cast("string"))[0]
+    e = V.events(t).where("event_type = 'TRANSACTION'").withColumns({"acc": F.concat(F.lit("A"), "person_a"), "tid": F.concat(F.lit("T"), F.col("order_id").cast("string")), "blank": F.lit("  ")})
+    columns = {"sender_name": "person_a", "receiver_name": "person_b", "sender_account": "acc", "receiver_account": "blank", "amount": "qty", "transaction_id": "tid", "location": "source", "date": "date"}
+    return _flat(X.transaction_rows(e, "order_id", columns, "line").events, "amount", "transaction_id", "sender_account", "receiver_account", "location")
 
 
-@query("x6_registry_rows", """SELECT c_custkey AS id, 'PERSON' AS type, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'LOCATION', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'BANK_ACCOUNT', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0""")
+REGISTRY = "g AS (SELECT c_custkey AS id, c_name AS person_name, c_mktsegment AS location, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) END AS account, CASE WHEN c_custkey % 3 = 0 THEN '2026-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') END AS date FROM customer)"
+
+
+def _registry(t) -> X.Bundle:
+    k = F.col("c_custkey")
+    date = F.when(k % 3 == 0, F.concat(F.lpad((k % 28 + 1).cast("string"), 2, "0"), F.lit("/01/2026")))
+    rows = t("customer").select(k.alias("id"), "c_name", "c_mktsegment", F.when(k % 2 == 0, k.cast("string")).otherwise("  ").alias("acc"), date.alias("day"))
+    return X.registry_rows(rows, "id", {"person_name": "c_name", "location": "c_mktsegment", "account": "acc", "date": "day"})
+
+
+@query("x6_registry_entities", f"WITH {REGISTRY} SELECT id, NULL::BIGINT AS position, type, value, 1.0::DOUBLE AS confidence, 'csv' AS method, date, NULL::VARCHAR AS time FROM (SELECT *, 'LOCATION' AS type, location AS value FROM g UNION ALL SELECT *, 'BANK_ACCOUNT', account FROM g) WHERE value IS NOT NULL")
 def x6(t) -> DataFrame:
-    rows = t("customer").select(F.col("c_custkey").alias("id"), "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise("  ").alias("acc"))
-    return X.registry_rows(rows, "id", {"PERSON": "c_name", "LOCATION": "c_mktsegment", "BANK_ACCOUNT": "acc"})[0]
+    return _registry(t).entities
+
+
+@query("x6_registry_events", f"WITH {REGISTRY} SELECT id, NULL::BIGINT AS position, 'CASE_EVENT' AS type, person_name AS a_name, NULL::VARCHAR AS b_name, date, NULL::VARCHAR AS time, 'date_only' AS precision, 'Dataset record — ' || person_name AS description, account, location FROM g WHERE date IS NOT NULL")
+def x6e(t) -> DataFrame:
+    return _flat(_registry(t).events, "account", "location")
+
+
+#: The event log as JSON records with several spellings of keys and types.
+KINDS = "(['co_location', 'Payment', 'call', 'incident', NULL, 'rumour'])[CAST(event_id % 6 AS INT) + 1]"
+RECORDS = f"""j AS (SELECT event_id AS id, lower({KINDS}) AS said, CAST(user_id AS VARCHAR) AS p, CASE WHEN event_id % 4 <> 0 THEN event_type END AS q, json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time FROM events)"""
 
 
-@query("x7_x8_route_records", """SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 'TRANSACTION' WHEN 'view' THEN 'LOCATION_OBSERVATION' WHEN 'signup' THEN 'CASE_EVENT' END AS type, CAST(user_id AS VARCHAR) AS a_name, NULL::VARCHAR AS b_name, json_extract_string(props, '$.k') AS amount FROM events""")
+def _json_bundle(t) -> X.Bundle:
+    n = F.col("event_id") % 6
+    kind = F.when(n == 0, "co_location").when(n == 1, "Payment").when(n == 2, "call").when(n == 3, "incident").when(n == 5, "rumour")
+    q = F.when(F.col("event_id") % 4 != 0, F.col("event_type")).otherwise("")
+    k, p = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    record = F.create_map(*[x for name, v in {"type": kind, "person": p, "with": q, "place": k, "mobile": p, "sender_name": p, "to_name": q, "from_account": k, "amount": k, "timestamp": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "utr": p}.items() for x in (F.lit(name), v)])
+    return X.json_bundle(t("events").select(F.col("event_id").alias("id"), F.lit(0).alias("position"), F.map_filter(record, lambda _, v: v.isNotNull()).alias("record")), "id")
+
+
+@query("x7_x8_events", f"""WITH {RECORDS} SELECT id, 1::BIGINT AS position, CASE WHEN said = 'co_location' THEN 'LOCATION_OBSERVATION' WHEN said = 'call' THEN 'CALL' WHEN said = 'incident' THEN 'CASE_EVENT' ELSE 'TRANSACTION' END AS type, p AS a_name, q AS b_name, date, time, 'exact' AS precision,
+  CASE WHEN said = 'co_location' THEN p || ' and ' || q || ' observed together at ' || k WHEN said = 'call' THEN 'Call ' || p || ' → ' || coalesce(q, '?') WHEN said = 'incident' THEN 'Dataset record 1' ELSE 'Transaction ' || p || ' → ' || coalesce(q, '?') || ' ₹' || k END AS description,
+  CASE WHEN said = 'co_location' THEN NULL ELSE k END AS amount, CASE WHEN said = 'co_location' THEN NULL ELSE p END AS transaction_id, CASE WHEN said = 'co_location' THEN k END AS location FROM j WHERE (said IS NULL OR said <> 'rumour') AND (said IS NULL OR said <> 'co_location' OR q IS NOT NULL)""")
 def x78(t) -> DataFrame:
-    e = t("events")
-    record = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("sender"), F.col("user_id").cast("string"), F.lit("value"), F.get_json_object("props", "$.k"), F.lit("receiver"), F.lit(" "))
-    return X.route_records(e.select(F.col("event_id").alias("id"), record.alias("record")), "id")
+    return _flat(_json_bundle(t).events, "amount", "transaction_id", "location")
+
+
+@query("x7_x8_entities", f"""WITH {RECORDS} SELECT id, 1::BIGINT AS position, type, value, confidence, 'json' AS method, date, time FROM (SELECT *, 'LOCATION' AS type, k AS value, 0.9::DOUBLE AS confidence FROM j WHERE said = 'co_location'
+  UNION ALL SELECT *, 'PHONE', p, 0.95::DOUBLE FROM j WHERE said = 'co_location' UNION ALL SELECT *, 'BANK_ACCOUNT', k, 1.0::DOUBLE FROM j WHERE said IS NULL OR said <> 'co_location')""")
+def x78e(t) -> DataFrame:
+    return _json_bundle(t).entities
+
+
+@query("x7_x8_mentions", f"""WITH {RECORDS} SELECT id, 1::BIGINT AS position, p AS name, CASE WHEN said = 'co_location' THEN p END AS phone, CASE WHEN said = 'co_location' THEN NULL ELSE k END AS account, NULL::VARCHAR AS vehicle, CASE WHEN said = 'co_location' THEN k END AS location FROM j
+  UNION ALL SELECT id, 1, q, NULL, NULL, NULL, CASE WHEN said = 'co_location' THEN k END FROM j WHERE q IS NOT NULL""")
+def x78m(t) -> DataFrame:
+    return _json_bundle(t).mentions
 
 
 @query("x9_split_datetime", """SELECT event_id AS id, CASE WHEN event_id % 3 = 1 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS date, CASE WHEN event_id % 3 = 2 THEN NULL ELSE strftime(ts, '%H:%M') END AS time FROM events""")
@@ -353,7 +429,7 @@ def x9(t) -> DataFrame:
     return t("events").select(F.col("event_id").alias("id"), cell.alias("cell")).select("id", date.alias("date"), time.alias("time"))
 
 
-@query("x10_merge_mentions", f"WITH {V.NAMES} SELECT file, lower(trim(name)) AS name_key, arg_min(trim(name), id) AS name, list_sort(list_distinct(list(account))) AS accounts, count(*) AS n_rows FROM names_v GROUP BY file, lower(trim(name))")
+@query("x10_merge_mentions", f"WITH {V.NAMES} SELECT file, lower(trim(name)) AS name_key, arg_min(trim(name), id) AS name, list_sort(list_distinct(list(account))) AS accounts, list_sort(list_distinct(list(id))) AS positions, count(*) AS n_rows FROM names_v GROUP BY file, lower(trim(name))")
 def x10(t) -> DataFrame:
     return X.merge_mentions(V.names(t), "file", "name", "id", accounts="account")
 
