@@ -30,8 +30,8 @@ STATE_CONF = {
 }
 
 
-#: As many locators are sent to all tasks at once (8 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
+#: As many locators are sent to all tasks at once (8 bytes each, and a flag); more are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def sha256_digest(text: Column) -> Column:
@@ -101,10 +101,10 @@ def exact_dedup(
 
     several = stored(states.where("group_size > 1").select("digest", "locator"), "exact-dedup-several")
     hits = keyed.select("digest", "loc").hint("merge").join(several.hint("merge"), "digest")
-    hits = stored(hits.select("digest", "loc", (F.col("loc") == F.col("locator")).alias("holder")), "exact-dedup-hits")
+    hits = stored(hits.select("loc", (F.col("loc") == F.col("locator")).alias("holder")), "exact-dedup-hits")
     how = "merge" if hits.count() > BROADCAST_ROWS else "broadcast"
-    texts = _rows(docs, id_col, text_col, digest).select("loc", "norm").join(hits.hint(how), "loc").groupBy("digest", "norm").agg(F.bool_or("holder").alias("holder"))
-    differ = stored(texts.where("NOT holder").select("digest").distinct(), "exact-dedup-differ")
+    texts = _rows(docs, id_col, text_col, digest).select("loc", "norm").join(hits.hint(how), "loc").groupBy("norm").agg(F.bool_or("holder").alias("holder"))
+    differ = stored(texts.where("NOT holder").select(digest(F.col("norm")).alias("digest")).distinct(), "exact-dedup-differ")
 
     found = (
         keyed.hint("merge").join(states.hint("merge"), "digest")
