@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evgraph.functions.arrays import let
+
 #: Fixed values.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-MONTH_NAMES = "january february march april may june july august september october november december".split()
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+MONTH_NAMES = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 STRENGTHS = ((0.7, "STRONG"), (0.45, "MODERATE"), (0.2, "WEAK"))
 NO_STRENGTH = "INSUFFICIENT EVIDENCE"
 SIGNALS = ("calls", "transactions", "locations", "shared_ids", "cases")
@@ -43,40 +45,35 @@ def norm_location(c) -> Column:
 
 def _iso_date(s: Column) -> Column:
     """ISO date of a text that is one of the known date formats as a whole, else null."""
-    part = lambda pattern, k: F.regexp_extract(s, pattern, k)
     names = {m: k + 1 for k, m in enumerate(MONTHS)} | {m: k + 1 for k, m in enumerate(MONTH_NAMES)}
     month_of = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    month = lambda name: F.try_element_at(month_of, F.lower(name))
-
-    def ymd(y: Column, m: Column, d: Column) -> Column:
-        made = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d, 2, "0"))
-        return F.when(m.isNotNull() & F.try_to_timestamp(made, F.lit("yyyy-MM-dd")).isNotNull(), made)
-
-    def century(y: Column) -> Column:
-        return F.concat(F.when(y >= "69", "19").otherwise("20"), y)
-
-    tries = []
-    for sep in ("-", "/"):
-        p = rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})$"
-        tries.append((p, ymd(part(p, 1), part(p, 2), part(p, 3))))
-        p = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{4}})$"
-        tries.append((p, ymd(part(p, 3), part(p, 2), part(p, 1))))
-        p = rf"^(\d{{1,2}}){sep}(\d{{1,2}}){sep}(\d{{2}})$"
-        tries.append((p, ymd(century(part(p, 3)), part(p, 2), part(p, 1))))
-    p = r"^(\d{1,2})[-/ ]+([A-Za-z]{3,9})[-/ ]+(\d{4})$"
-    tries.append((p, ymd(part(p, 3), month(part(p, 2)), part(p, 1))))
-    p = r"^(\d{1,2}) +([A-Za-z]{3}) +(\d{2})$"
-    tries.append((p, ymd(century(part(p, 3)), month(part(p, 2)), part(p, 1))))
-    p = r"^([A-Za-z]{3,9}) +(\d{1,2}) +(\d{4})$"
-    tries.append((p, ymd(part(p, 3), month(part(p, 1)), part(p, 2))))
-    return F.coalesce(*[F.when(s.rlike(pattern), made) for pattern, made in tries])
+
+    def dated(v: Column) -> Column:
+        a, b, c = (F.get(v["parts"], F.lit(k)) for k in range(3))
+        month = lambda name: F.try_element_at(month_of, F.lower(name)).cast("string")
+        century = F.concat(F.when(c >= "69", "19").otherwise("20"), c)
+        is_a = lambda pattern: v["s"].rlike(pattern)
+        shape = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+        found = (
+            F.when(is_a(r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"), shape(a, b, c))
+            .when(is_a(r"^\d{1,2}([-/])\d{1,2}\1\d{4}$"), shape(c, b, a))
+            .when(is_a(r"^\d{1,2}([-/])\d{1,2}\1\d{2}$"), shape(century, b, a))
+            .when(is_a(r"^\d{1,2}[-/ ]+[A-Za-z]{3,9}[-/ ]+\d{4}$"), shape(c, month(b), a))
+            .when(is_a(r"^\d{1,2} +[A-Za-z]{3} +\d{2}$"), shape(century, month(b), a))
+            .when(is_a(r"^[A-Za-z]{3,9} +\d{1,2} +\d{4}$"), shape(c, month(a), b))
+        )
+        made = lambda x: F.concat(x["y"], F.lit("-"), F.lpad(x["m"], 2, "0"), F.lit("-"), F.lpad(x["d"], 2, "0"))  # noqa: E731  null if a part is
+        return let(let(found, made), lambda x: F.when(F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).isNotNull(), x))
+
+    return let(F.struct(s.alias("s"), F.split(s, "[-/ ]+").alias("parts")), dated)
 
 
 def norm_date(c) -> Column:
     """ISO date of the whole text, else of the part before the first space or T; what is no date stays as that part; blank is null."""
     s = F.trim(c if isinstance(c, Column) else F.col(c))
-    first = F.element_at(F.split(s, "[T ]+", 2), 1)
-    return F.when(s != "", F.nullif(F.coalesce(_iso_date(s), _iso_date(first), first), F.lit("")))
+    tries = F.when(s.rlike("[T ]"), F.array(s, F.element_at(F.split(s, "[T ]+", 2), 1))).otherwise(F.array(s))
+    first = lambda v: F.coalesce(F.get(F.filter(F.transform(v, _iso_date), lambda x: x.isNotNull()), F.lit(0)), F.element_at(v, -1))
+    return F.when(s != "", F.nullif(let(tries, first), F.lit("")))
 
 
 TIME = r"(?:^|[T ])(\d{1,2}):(\d{2})(?::\d{2})?\s*((?:[aA]|[pP])[mM])?$"
@@ -104,6 +101,16 @@ def norm_value(kind: Column, value: Column) -> Column:
     )
 
 
+def json_value(c, path: str) -> Column:
+    """The value at a JSON path as text; null where the text is no JSON or has no such path (C14)."""
+    return F.get_json_object(c, path)
+
+
+def json_text(*fields: Column) -> Column:
+    """Compact JSON text of named columns; null fields are left out (C14)."""
+    return F.to_json(F.struct(*fields))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """1 equal; same first token .9 (one side a single token, or same second initial) or .8; else 1 - edit distance / longer length."""
     na, nb = norm_name(a), norm_name(b)

@@ -99,8 +99,7 @@ def _cell(name: str | None) -> Column:
 def _moment(columns: dict[str, str]) -> tuple[Column, Column]:
     """(date, time) of a row: the timestamp's, or those of the date and time cells."""
     at, day, clock = (_cell(columns.get(c)) for c in ("timestamp", "date", "time"))
-    (d0, t0), (d1, _), (_, t2) = split_datetime(at), split_datetime(day), split_datetime(clock)
-    return F.when(at.isNotNull(), d0).otherwise(d1), F.when(at.isNotNull(), t0).otherwise(t2)
+    return split_datetime(F.coalesce(at, day))[0], split_datetime(F.when(at.isNotNull(), at).otherwise(clock))[1]
 
 
 def _exploded(rows: DataFrame, key: str, cells: Column) -> DataFrame:
@@ -240,8 +239,8 @@ def split_datetime(cell: Column) -> tuple[Column, Column]:
     several = s.rlike("[T ]")
     parts = F.filter(F.split(s, "[T ]+"), lambda p: p != "")
     times, dates = F.filter(parts, lambda p: p.rlike(TIME_ONLY)), F.filter(parts, lambda p: ~p.rlike(TIME_ONLY))
-    date = F.when(s.rlike(TIME_ONLY) | (s == ""), F.lit(None)).when(several, C.norm_date(F.element_at(dates, -1))).otherwise(C.norm_date(s))
-    time = F.when(s == "", F.lit(None)).when(s.rlike(TIME_ONLY), C.norm_time(s)).when(several, C.norm_time(F.element_at(times, -1)))
+    date = F.when(~s.rlike(TIME_ONLY) & (s != ""), C.norm_date(F.when(several, F.element_at(dates, -1)).otherwise(s)))
+    time = F.when(several | s.rlike(TIME_ONLY), C.norm_time(F.when(several & ~s.rlike(TIME_ONLY), F.element_at(times, -1)).otherwise(s)))
     return date, time
 
 

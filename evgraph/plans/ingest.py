@@ -118,8 +118,8 @@ def c13(t) -> DataFrame:
 
 @query("c14_json_accessors", """SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"user":' || user_id || ',"type":"' || event_type || '"}' AS packed FROM events""")
 def c14(t) -> DataFrame:
-    packed = F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type")))
-    return t("events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").cast("long").alias("k"), packed.alias("packed"))
+    packed = C.json_text(F.col("user_id").alias("user"), F.col("event_type").alias("type"))
+    return t("events").select(F.col("event_id").alias("id"), C.json_value("props", "$.k").cast("long").alias("k"), packed.alias("packed"))
 
 
 @query("c15_event_label", f"""WITH {V.EVENTS} SELECT order_id, line, CASE event_type WHEN 'CALL' THEN 'Call ' || person_a || ' → ' || person_b WHEN 'TRANSACTION' THEN 'Transaction ' || person_a || ' → ' || person_b || ' ₹' || qty
@@ -170,8 +170,7 @@ def s4(t) -> DataFrame:
 
 @query("s5_text_scan", "SELECT doc_id, length(coalesce(text, '')) AS chars, len(string_split(coalesce(text, ''), chr(10))) AS lines FROM documents")
 def s5(t) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return t("documents").select("doc_id", F.char_length(text).cast("long").alias("chars"), F.size(F.split(text, "\n", -1)).cast("long").alias("lines"))
+    return S.text_rows(t("documents"), "doc_id", "text").drop("text")
 
 
 @query("s6_without_retried", f"WITH {V.EVENTS} SELECT person_a, person_b, order_id, line FROM events_v WHERE order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -221,11 +220,14 @@ def q2(t) -> DataFrame:
     return Q.map_columns(_headers(t))
 
 
-@query("q3_check_mapping", f"""WITH {PICK}, {ALIAS_SQL}, u AS (SELECT dataset, CASE ordinal % 2 WHEN 0 THEN 'amount' ELSE 'price' END AS field, CASE WHEN dataset % 4 = 0 THEN 'absent' ELSE cell END AS cell FROM h WHERE ordinal < 2)
-SELECT dataset, field, cell, CASE WHEN field NOT IN (SELECT field FROM al) THEN 'unknown field' WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.dataset = u.dataset AND h.cell = u.cell) THEN 'missing column' END AS error FROM u""")
+@query("q3_check_mapping", f"""WITH {PICK}, {ALIAS_SQL}, u AS (SELECT dataset, CASE ordinal % 2 WHEN 0 THEN 'amount' ELSE 'price' END AS field, CASE WHEN dataset % 4 = 0 THEN 'absent' WHEN dataset % 4 = 1 THEN CAST(dataset % 9 AS VARCHAR) ELSE cell END AS cell FROM h WHERE ordinal <> 1 AND ordinal < 4)
+SELECT dataset, field, cell, CASE WHEN error IS NULL THEN CASE WHEN dataset % 4 = 1 THEN CAST(cell AS BIGINT) ELSE (SELECT min(ordinal) FROM nh WHERE nh.dataset = e.dataset AND nh.cell = e.cell) END END AS ordinal, error FROM
+  (SELECT *, CASE WHEN field NOT IN (SELECT field FROM al) THEN 'unknown field' WHEN dataset % 4 = 1 THEN CASE WHEN CAST(cell AS BIGINT) > 4 THEN 'index out of range' END WHEN NOT EXISTS (SELECT 1 FROM h WHERE h.dataset = u.dataset AND h.cell = u.cell) THEN 'missing column' END AS error FROM u) e""".replace("CAST(cell AS BIGINT)", "TRY_CAST(cell AS BIGINT)"))
 def q3(t) -> DataFrame:
     h = _headers(t)
-    user = h.where("ordinal < 2").select("dataset", F.when(F.col("ordinal") % 2 == 0, "amount").otherwise("price").alias("field"), F.when(F.col("dataset") % 4 == 0, "absent").otherwise(F.col("cell")).alias("cell"))
+    k = F.col("dataset") % 4
+    cell = F.when(k == 0, "absent").when(k == 1, (F.col("dataset") % 9).cast("string")).otherwise(F.col("cell"))
+    user = h.where("ordinal <> 1 AND ordinal < 4").select("dataset", F.when(F.col("ordinal") % 2 == 0, "amount").otherwise("price").alias("field"), cell.alias("cell"))
     return Q.check_mapping(user, h)
 
 
@@ -259,9 +261,24 @@ def q7(t) -> DataFrame:
     return Q.batch_gate(f.withColumn("batch", F.col("doc_id") % 97))
 
 
-@query("q8_import_totals", f"WITH {V.FILES} SELECT case_id, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS total_size, max(doc_id) AS newest FROM files_v GROUP BY case_id")
+STATUS = "(['completed', 'failed', 'queued'])[CAST(doc_id % 3 AS INT) + 1]"
+
+
+def _imports(t) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, ("completed", "failed", "queued"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = V.files(t).withColumn("size", F.octet_length("text").cast("long")).withColumn("status", status)
+    return rows.withColumns({"entities": F.col("doc_id") % 7, "events": F.col("doc_id") % 5, "created_at": F.col("doc_id") % 50})
+
+
+@query("q8_import_totals", f"""WITH {V.FILES} SELECT case_id, count(*) AS n_docs, CAST(sum(strlen(text)) AS BIGINT) AS total_size, max(doc_id) AS newest, count(*) FILTER ({STATUS} = 'completed') AS n_completed, count(*) FILTER ({STATUS} = 'queued') AS n_active,
+  CAST(sum(doc_id % 7) AS BIGINT) AS n_entities, CAST(sum(doc_id % 5) AS BIGINT) AS n_events FROM files_v GROUP BY case_id""")
 def q8(t) -> DataFrame:
-    return Q.import_totals(V.files(t).withColumn("size", F.octet_length("text").cast("long")))
+    return Q.import_totals(_imports(t))
+
+
+@query("q8_import_history", f"WITH {V.FILES} SELECT case_id, doc_id, {STATUS} AS status, doc_id % 50 AS created_at FROM files_v ORDER BY case_id, created_at DESC, doc_id DESC")
+def q8h(t) -> DataFrame:
+    return Q.import_history(_imports(t)).select("case_id", "doc_id", "status", "created_at")
 
 
 @query("q9_discovery_counts", f"WITH {V.EVENTS} SELECT source, count(*) AS n_events, count(DISTINCT (least(person_a, person_b), greatest(person_a, person_b))) AS n_pairs FROM events_v GROUP BY source")
@@ -269,6 +286,17 @@ def q9(t) -> DataFrame:
     return Q.discovery_counts(V.events(t), "source", "person_a", "person_b")
 
 
+@query("q9_growth", f"WITH {V.EVENTS}, b AS (SELECT case_id, count(*) AS n FROM events_v WHERE date < '1996-01-01' GROUP BY case_id), a AS (SELECT case_id, count(*) AS n FROM events_v GROUP BY case_id) SELECT case_id, coalesce(b.n, 0) AS n_before, a.n AS n_after, a.n - coalesce(b.n, 0) AS n_new FROM a LEFT JOIN b USING (case_id)")
+def q9g(t) -> DataFrame:
+    e = V.events(t).select("case_id", "date")
+    return Q.growth(e.where("date < '1996-01-01'"), e, "case_id")
+
+
+@query("q10_recent_jobs", "SELECT event_id AS id, user_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def q10r(t) -> DataFrame:
+    return Q.recent_jobs(t("events").select(F.col("event_id").alias("id"), "user_id", "event_type"))
+
+
 @query("q10_latest_job", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def q10(t) -> DataFrame:
     return Q.latest_per_key(t("events"), "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_id", "event_type")

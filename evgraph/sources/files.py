@@ -1,10 +1,15 @@
-"""Scans and sinks."""
+"""Scans and sinks (S1-S7). Null texts give no rows; an empty file has no records."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evgraph.functions.arrays import let, running
+
 BY_SUFFIX = {"pdf": "pdf", "csv": "csv", "json": "json", "txt": "txt"}
 
 
@@ -37,18 +42,48 @@ def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
 
 
+#: Where a quote is open: an odd number of them lies before.
+OUTSIDE = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def split_lines(text: Column) -> Column:
+    """Records of a CSV text that are not blank. A record ends at a line feed outside quotes: where the lines up to there hold an even number of them."""
+
+    def records(lines: Column) -> Column:
+        quotes = F.transform(lines, lambda x: F.length(F.regexp_replace(x, '[^"]', "")) % 2)
+
+        def joined(odd: Column) -> Column:
+            begins = lambda k: (k == 0) | (F.get(odd, k - 1) % 2 == 0)
+            starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
+            stop = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(lines))
+            return let(starts, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(lines, i + 1, stop(at, k) - i), "\n")))
+
+        return let(running(quotes, lambda x, y: x + y), joined)
+
+    kept = lambda lines: F.filter(F.when(text.contains('"'), records(lines)).otherwise(lines), lambda x: F.trim(x) != "")
+    return let(F.split(text, r"\r?\n"), kept)
+
+
+def split_cells(line: Column) -> Column:
+    """Cells of a CSV record: outer quotes go, doubled ones are one."""
+    bare = lambda x: F.replace(F.regexp_replace(F.trim(x), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    return F.transform(F.when(line.contains('"'), F.split(line, "," + OUTSIDE, -1)).otherwise(F.split(line, ",", -1)), bare)
+
+
 def csv_rows(files: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row_number (from 2, the header being 1), cells: rows of CSV texts, padded or cut to the header's width (S3).
+    """key, row_number (from 2, the header being 1), header, cells, n_cells: records of CSV texts, padded or cut to the header's width (S3)."""
+    rows = files.select(key, split_lines(F.col(text)).alias("lines")).where("size(lines) > 0")
+    rows = rows.select(key, split_cells(F.get("lines", F.lit(0))).alias("header"), F.posexplode("lines").alias("pos", "line")).where("pos > 0")
+    body, width = split_cells(F.col("line")), F.size("header")
+    rows = rows.select(key, "pos", "header", body.alias("body"))
+    padded = F.slice(F.concat("body", F.array_repeat(F.lit(""), F.greatest(width - F.size("body"), F.lit(0)))), 1, width)
+    return rows.select(key, (F.col("pos") + 1).alias("row_number"), "header", padded.alias("cells"), F.size("body").alias("n_cells"))
 
-    Cells with quotes are read by from_csv rules per line; a line feed inside quotes is not supported.
-    """
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
-    cells = lambda line: F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')))
-    rows = files.select(key, lines.alias("lines")).where("size(lines) > 0").select(key, cells(F.get("lines", F.lit(0))).alias("header"), F.posexplode("lines").alias("pos", "line")).where("pos > 0")
-    body = cells(F.col("line"))
-    width = F.size("header")
-    padded = F.slice(F.concat(body, F.array_repeat(F.lit(""), F.greatest(width - F.size(body), F.lit(0)))), 1, width)
-    return rows.select(key, (F.col("pos") + 1).alias("row_number"), "header", padded.alias("cells"), F.size(body).alias("n_cells"))
+
+def text_rows(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text, chars, lines of whole texts (S5); null counts as empty."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return files.select(key, t.alias("text"), F.char_length(t).cast("long").alias("chars"), F.size(F.split(t, "\n", -1)).cast("long").alias("lines"))
 
 
 def json_records(files: DataFrame, key: str, text: str) -> DataFrame:
@@ -68,10 +103,45 @@ def replace_partitions(df: DataFrame, path: str, by: str = "case_id") -> None:
 
 def without_documents(table: DataFrame, retried: DataFrame, column: str = "source_document_id") -> DataFrame:
     """table without the rows that stem from the retried documents."""
-    return table.join(retried.select(F.col(column)).distinct(), column, "left_anti")
+    return table.hint("merge").join(retried.select(F.col(column)).distinct().hint("merge"), column, "left_anti")
 
 
-def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Upsert: new rows win over old rows of the same key, repeated new keys count once."""
-    fresh = new.dropDuplicates([key])
-    return old.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+def merge_by_key(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """Upsert (S7): new rows win over old rows of the same key; of several new rows of a key the last in `order` (all columns if none is given). Null keys are left out."""
+    cells = F.struct(*[c for c in new.columns if c != key])
+    at = F.struct(*(order or [c for c in new.columns if c != key]))
+    last = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(cells, at).alias("c"))
+    last = last.select(*[F.col(key) if c == key else F.col("c")[c].alias(c) for c in new.columns])
+    stays = old.hint("merge").join(last.select(key).hint("merge"), key, "left_anti").where(F.col(key).isNotNull())
+    return stays.select(old.columns).unionByName(last)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Merges nodes and edges (each with id) into the tables at path/nodes and path/edges (S7); a repeated write leaves the same tables.
+
+    Each write makes a new version beside the old one and then points to it, so a failed write leaves the old tables.
+    """
+    spark = nodes.sparkSession
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        known = read_graph(spark, path, name)
+        merged = merge_by_key(df.limit(0) if known is None else known, df, "id")
+        version = uuid.uuid4().hex[:12]
+        merged.write.parquet(f"{path}/{name}/{version}")
+        number = spark.createDataFrame([(version, 0 if known is None else _versions(spark, path, name)[0] + 1)], "version string, number long")
+        number.coalesce(1).write.mode("append").parquet(f"{path}/{name}-versions")
+
+
+def _versions(spark: SparkSession, path: str, name: str) -> tuple[int, str] | None:
+    try:
+        rows = spark.read.schema("version string, number long").parquet(f"{path}/{name}-versions").orderBy(F.desc("number"), "version").limit(1).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return (rows[0]["number"], rows[0]["version"]) if rows else None
+
+
+def read_graph(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The current nodes or edges at path, or None before the first write."""
+    found = _versions(spark, path, name)
+    return None if found is None else spark.read.parquet(f"{path}/{name}/{found[1]}")

@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from evgraph.operators.relate import OBSERVATIONS
 from evgraph.session import as_pattern, shared_dir, stored
 
 
-def ingest(spark: SparkSession, path: str, schema, work: str, build: Callable[[DataFrame], DataFrame], by: str = "case_id") -> StreamingQuery:
+def ingest(
+    spark: SparkSession, path: str, schema, work: str, build: Callable[[DataFrame], DataFrame], by: str = "case_id", files_per_batch: int | None = None
+) -> StreamingQuery:
     """New files -> the cases they touch, rebuilt by build() from all files that lie in path and written over their partitions.
 
     So earlier rows of a touched case stay, and a repeated batch leaves the same table; files stay in path after they have been read.
     """
     pattern = as_pattern(path)
-    files = spark.readStream.schema(schema).parquet(pattern)
+    stream = spark.readStream.schema(schema)
+    files = (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(pattern)
 
     def write(batch: DataFrame, number: int) -> None:
         touched = stored(build(batch).select(F.col(by).alias("__touched")).distinct(), "ingest-touched")
@@ -33,10 +37,21 @@ def dedup_content(stream: DataFrame, time: str, delay: str, *keys: str) -> DataF
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def failure_windows(log: DataFrame, user: str = "user_id", seconds: int = 900, least: int = 5) -> DataFrame:
-    """Batch: events at which a user has `least` failures or more within the last `seconds`."""
-    w = Window.partitionBy(user).orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
-    return log.withColumn("failures", F.count(F.lit(1)).over(w)).where(F.col("failures") >= least)
+def failure_windows(log: DataFrame, user: str = "user_id", seconds: int = 900, least: int = 5, success: str | None = None) -> DataFrame:
+    """Batch: failures at which a user has `least` or more within the last `seconds`.
+
+    log: user, ts, event_id and, if named, success (boolean): a success clears what was counted before it. A user's rows are dealt out by
+    spans of `seconds`, each with those of the span before, so that a busy user is spread over many tasks. Rows without a time are left out.
+    """
+    at = F.col("ts").cast("timestamp").cast("long")
+    rows = log.withColumn("__at", at).where("__at IS NOT NULL").withColumn("__ok", F.coalesce(F.col(success), F.lit(False)) if success else F.lit(False))
+    span = F.floor(F.col("__at") / seconds)
+    rows = rows.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__span", span + F.when(F.col("__own"), 0).otherwise(1))
+    by = [user, "__span"]
+    rows = rows.withColumn("__since", F.sum(F.col("__ok").cast("int")).over(Window.partitionBy(*by).orderBy("__at", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    w = Window.partitionBy(*by, "__since").orderBy("__at").rangeBetween(-seconds, 0)
+    rows = rows.withColumn("failures", F.count_if(~F.col("__ok")).over(w))
+    return rows.where(F.col("__own") & ~F.col("__ok") & (F.col("failures") >= least)).select(*log.columns, "failures")
 
 
 def failure_stream(log: DataFrame, user: str = "user_id", seconds: int = 900, slide: int = 60, least: int = 5, delay: str = "10 minutes") -> DataFrame:
@@ -45,18 +60,29 @@ def failure_stream(log: DataFrame, user: str = "user_id", seconds: int = 900, sl
     return log.withWatermark("ts", delay).groupBy(user, win).agg(F.count(F.lit(1)).alias("failures")).where(F.col("failures") >= least)
 
 
-def rolling_activity(events: DataFrame, size: str = "1 day", delay: str | None = None) -> DataFrame:
-    """Counts per key, kind and tumbling window, batch or stream."""
+def rolling_activity(events: DataFrame, keys: list[str], size: str = "1 day", delay: str | None = None) -> DataFrame:
+    """Counts per keys and tumbling window of ts, batch or stream."""
     rows = events.withWatermark("ts", delay) if delay else events
-    return rows.groupBy("user_id", "event_type", F.window("ts", size)).agg(F.count(F.lit(1)).alias("n")).select("user_id", "event_type", F.col("window.start").alias("start"), "n")
+    return rows.groupBy(*keys, F.window("ts", size)).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.col("window.start").alias("start"), "n")
+
+
+def rolling_pairs(events: DataFrame, size: str = "1 day", delay: str | None = None) -> DataFrame:
+    """The signals of each unordered pair and window: calls, transactions, locations; events have person_a, person_b, event_type and ts."""
+    rows = events.where("person_a IS NOT NULL AND person_b IS NOT NULL AND person_a <> person_b")
+    rows = rows.withWatermark("ts", delay) if delay else rows
+    n = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
+    sums = [n("CALL").alias("calls"), n("TRANSACTION").alias("transactions"), n(*OBSERVATIONS).alias("locations")]
+    found = rows.groupBy(F.least("person_a", "person_b").alias("a"), F.greatest("person_a", "person_b").alias("b"), F.window("ts", size)).agg(*sums)
+    return found.select("a", "b", F.col("window.start").alias("start"), "calls", "transactions", "locations")
 
 
 def sync_state(changes: DataFrame, projections: DataFrame, key: str = "case_id") -> DataFrame:
-    """PENDING, SYNCED or FAILED per case from its last change and last projection."""
+    """PENDING, SYNCING, SYNCED or FAILED per changed case, from its last change and last projection (W5). projections: key, ts, ok (null while it runs)."""
     c = changes.groupBy(key).agg(F.max("ts").alias("changed"))
-    p = projections.groupBy(key).agg(F.max("ts").alias("projected"), F.max_by("ok", "ts").alias("ok"))
-    state = F.when(F.col("projected").isNull() | (F.col("projected") < F.col("changed")), "PENDING").when(F.col("ok"), "SYNCED").otherwise("FAILED")
-    return c.join(p, key, "left").select(key, state.alias("state"))
+    p = projections.groupBy(key).agg(F.max(F.struct("ts", "ok")).alias("last"))
+    old = F.col("last").isNull() | (F.col("last.ts") < F.col("changed"))
+    state = F.when(old, "PENDING").when(F.col("last.ok").isNull(), "SYNCING").when(F.col("last.ok"), "SYNCED").otherwise("FAILED")
+    return c.hint("merge").join(p.hint("merge"), key, "left").select(key, state.alias("state"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
