@@ -123,6 +123,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = stored(signatures(docs, id_col, text_col), "line-signatures")
     prints = stored(fingerprints(signed, noise_words, sure_words), "line-fingerprints")
     several = prints.groupBy("f", "f2").agg(F.count(F.lit(1)).alias("places")).where("places > 1").select("f", "f2")
+    several = stored(several, "line-several")  # bare join sides here and below: a fingerprint that many texts hold can be split
     several = prints.select("f", "f2", "key").distinct().hint("merge").join(several.hint("merge"), ["f", "f2"]).groupBy("key").agg(F.collect_set("f").alias("shared"))
     held = signed.dropDuplicates(["key"]).hint("merge").join(stored(several, "line-shared").hint("merge"), "key")
     places = stored(windows(held, noise_words, sure_words), "line-windows")
@@ -130,6 +131,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     leads = places.where("before IS NULL").select("f", "f2", "key", "id", "pos")
     first = leads.groupBy("f", "f2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").select("f", "f2", "first")
+    first = stored(first, "line-first")
     meet = leads.hint("merge").join(first.hint("merge"), ["f", "f2"]).where(F.col("key") != F.col("first.key"))
     pairs = meet.select("key", F.col("first.key").alias("key0"), (F.col("pos") - F.col("first.pos")).alias("shift")).unionByName(own).distinct()
     pairs = stored(pairs, "line-pairs")
