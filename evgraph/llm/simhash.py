@@ -14,7 +14,7 @@ Equal fingerprints are one row throughout, so exact copies never meet each other
 keep_one goes further: its fingerprints only propose pairs of texts, and a pair counts if the exact Jaccard similarity of the two sets of
 5-word shingles reaches 0.8. Tables find every pair within SURE bits and most of those up to WIDE bits (at 0.8 the mean is 10 bits); a second
 fingerprint and the sizes of the sets drop most others inside the unit. Where a unit holds many pairs (a large group of near copies), each text
-is first verified against the one with the most proposals. What this leaves in different groups is compared in chunks of texts of at most CHUNK_BYTES: a
+is first verified against the least one. What this leaves in different groups is compared in chunks of texts of at most CHUNK_BYTES: a
 task holds the shingles of two chunks, measures the proposed pairs that are not joined yet, and returns a forest of links, never pairs.
 
 Defined cases: a null or empty text has fingerprint zero and is linked like any other; with fewer words than a
@@ -341,11 +341,19 @@ def _proposed(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     return i[right], j[right]
 
 
-def _centres(label: np.ndarray, degree: np.ndarray) -> np.ndarray:
-    """For each place the place with the highest degree (the first of several) among those with its label."""
-    order = np.lexsort((np.arange(len(label)), -degree, label))
-    first = np.append(True, label[order][1:] != label[order][:-1])
-    return order[first][np.cumsum(first) - 1][np.argsort(order)]
+def contracted(pairs: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) -> fewer pairs with the same components: each task joins up the pairs that it has, those of one b together, and returns a forest."""
+
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if held:
+            ends = pd.concat(held)
+            node, place = np.unique(np.concatenate([ends["a"], ends["b"]]), return_inverse=True)
+            label = _least_label(len(node), place[: len(ends)], place[len(ends) :])
+            tied = np.flatnonzero(label != np.arange(len(node)))
+            yield pd.DataFrame({"a": node[label[tied]], "b": node[tied]})
+
+    return pairs.repartition(parts, "b").mapInPandas(forest, "a long, b long").distinct()
 
 
 def _common(i: np.ndarray, j: np.ndarray, sets: list[np.ndarray], column: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
@@ -421,8 +429,7 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
             lanes[i] = lanes[j] = True
             many = np.bincount(number[i], minlength=number[-1] + 1) > dense * np.bincount(number[lanes], minlength=number[-1] + 1)
             few = ~many[number[i]]
-            degree = np.bincount(np.concatenate([i[~few], j[~few]]), minlength=len(pdf))
-            label = _centres(_least_label(len(pdf), i[~few], j[~few]), degree)
+            label = _least_label(len(pdf), i[~few], j[~few])
             star = np.flatnonzero(label != np.arange(len(pdf)))
             a, b = np.concatenate([node[i[few]], node[star]]), np.concatenate([node[j[few]], node[label[star]]])
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(unit=0, fp=0, fp2=0, n=0)
@@ -452,7 +459,7 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
     if lanes.isEmpty():
         return links
     for name, pairs in (("cluster", first), ("group", links)):  # what proposals join, and what similar pairs join so far
-        known = stored(connected_components(pairs, "a", "b").select(F.col("id").alias("node"), F.col("component").alias(name)), "near-known")
+        known = stored(connected_components(contracted(pairs, parts), "a", "b").select(F.col("id").alias("node"), F.col("component").alias(name)), "near-known")
         lanes = lanes.hint("merge").join(known.hint("merge"), "node", "left").withColumn(name, F.coalesce(name, "node"))
     lanes = stored(lanes, "near-lanes")
     open_ = lanes.groupBy("cluster").agg(F.sum("n").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
