@@ -38,7 +38,7 @@ from evgraph.operators.components import connected_components
 from evgraph.session import stored
 
 SHINGLE, SEED, RADIUS, CUTS, UNIT = 4, 42, 4, 6, 4096
-NEAR_SHINGLE, NEAR, SURE, SURE_CUTS, WIDE, BOTH, NEAR_UNIT, BUFFER, CHUNK_BYTES = 5, 0.8, 10, 12, 18, 34, 16384, 1 << 17, 1 << 25
+NEAR_SHINGLE, NEAR, SURE, SURE_CUTS, WIDE, BOTH, NEAR_UNIT, BUFFER, CHUNK_BYTES, DENSE = 5, 0.8, 10, 12, 18, 34, 16384, 1 << 17, 1 << 25, 1
 ONE = np.uint64(1)
 
 
@@ -407,7 +407,7 @@ def forest_of(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR, dense: int = 8, unit: int = NEAR_UNIT) -> DataFrame:
+def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR, dense: int = DENSE, unit: int = NEAR_UNIT) -> DataFrame:
     """Links (a, b) between texts of a similarity of `least` or more, whose components are those of all such pairs that the tables propose.
 
     docs has key and text; nodes has node, key (of one of its documents), fp, fp2 and n. Units with more than `dense` pairs a text go through the groups.
@@ -431,10 +431,9 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
             few = ~many[number[i]]
             label = _least_label(len(pdf), i[~few], j[~few])
             star = np.flatnonzero(label != np.arange(len(pdf)))
-            a, b = np.concatenate([node[i[few]], node[star]]), np.concatenate([node[j[few]], node[label[star]]])
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(unit=0, fp=0, fp2=0, n=0)
-            again = pdf[lanes & many[number]]  # b stays null
-            yield pd.DataFrame({"a": again["node"], "b": pd.array([None] * len(again), "Int64"), "unit": again["unit"], "fp": again["fp"], "fp2": again["fp2"], "n": again["n"]})
+            a, b = np.concatenate([node[i[few]], node[label[star]]]), np.concatenate([node[j[few]], node[star]])
+            out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "dense": np.repeat([False, True], [int(few.sum()), len(star)])})
+            yield out.drop_duplicates()
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_units(batches, 1):
@@ -442,9 +441,9 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
                 yield forest_of(part, least)
 
     sorted_units = lambda rows: rows.repartition(parts, "unit").sortWithinPartitions("unit", "node")
-    found = stored(sorted_units(met).mapInPandas(compare, "a long, b long, unit long, fp long, fp2 long, n int"), "near-found")
-    first = stored(found.where("b IS NOT NULL").select("a", "b").distinct(), "near-first")
-    wanted = found.select(F.col("a").alias("node")).unionByName(found.where("b IS NOT NULL").select(F.col("b").alias("node"))).distinct()
+    found = stored(sorted_units(met).mapInPandas(compare, "a long, b long, dense boolean"), "near-found")
+    first = stored(found.select("a", "b").distinct(), "near-first")
+    wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     keys = stored(wanted.hint("merge").join(nodes.select("node", "key").hint("merge"), "node").select("key"), "near-keys")
     sets = stored(_shingle_sets(docs.select("key", "text").hint("merge").join(keys.hint("merge"), "key", "left_semi"), shingle).dropDuplicates(["node"]), "near-sets")
 
@@ -455,9 +454,11 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
         return both.where(common / (F.size("sa") + F.size("sb") - common) >= least).select("a", "b")
 
     links = stored(verified(first), "near-links")
-    lanes = found.where("b IS NULL").select(F.col("a").alias("node"), "fp", "fp2", "n").dropDuplicates(["node"])
+    packed = found.where("dense")
+    lanes = packed.select(F.col("a").alias("node")).unionByName(packed.select(F.col("b").alias("node"))).distinct()
     if lanes.isEmpty():
         return links
+    lanes = stored(lanes.hint("merge").join(nodes.select("node", "fp", "fp2", "n").hint("merge"), "node"), "near-lanes")
     for name, pairs in (("cluster", first), ("group", links)):  # what proposals join, and what similar pairs join so far
         known = stored(connected_components(contracted(pairs, parts), "a", "b").select(F.col("id").alias("node"), F.col("component").alias(name)), "near-known")
         lanes = lanes.hint("merge").join(known.hint("merge"), "node", "left").withColumn(name, F.coalesce(name, "node"))
