@@ -16,6 +16,7 @@ from evgraph.llm.quality_rules import score_documents
 from evgraph.llm.repetition import repetition_rules
 from evgraph.llm.secrets import scan_digests
 from evgraph.llm.simhash import near_groups
+from evgraph.llm.spelling import spelling_variants
 from evgraph.llm.token_files import read_files, token_files
 from evgraph.session import importable_by_workers, shared_dir
 
@@ -75,6 +76,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(spark, out, ranks)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "pipeline": pipeline,
         "op10_token_files": op10_token_files,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
     def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
