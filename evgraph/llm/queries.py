@@ -18,6 +18,7 @@ from evgraph.llm.secrets import scan_digests
 from evgraph.llm.simhash import near_groups
 from evgraph.llm.spelling import spelling_variants
 from evgraph.llm.token_files import read_files, token_files
+from evgraph.llm.whitening import whitened_rows
 from evgraph.session import importable_by_workers, shared_dir
 
 
@@ -80,6 +81,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_docs(spark, sf_dir))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": pipeline,
         "op10_token_files": op10_token_files,
         "op11_spelling_variants": op11_spelling_variants,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
     def ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
