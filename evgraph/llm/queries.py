@@ -18,6 +18,7 @@ from evgraph.llm.secrets import scan_digests
 from evgraph.llm.simhash import near_groups
 from evgraph.llm.spelling import spelling_variants
 from evgraph.llm.token_files import read_files, token_files
+from evgraph.llm.url_filter import judge_urls
 from evgraph.llm.whitening import whitened_rows
 from evgraph.session import importable_by_workers, shared_dir
 
@@ -81,6 +82,14 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_docs(spark, sf_dir))
 
 
+#: Fixed values of the contract: verdict, host, path.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
@@ -106,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pipeline": pipeline,
         "op10_token_files": op10_token_files,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_url_filter": op12_url_filter,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
 
