@@ -157,6 +157,18 @@ def s3(t) -> DataFrame:
     return S.csv_rows(files, "file", "text").select("file", "row_number", "cells")
 
 
+@query("s3_csv_quoted", """SELECT o_custkey AS file, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS INT) AS row_number,
+  [CAST(o_orderkey AS VARCHAR), o_orderstatus || ', ' || o_orderpriority, 'said "' || o_orderkey || '"' || chr(10) || 'on ' || strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 2 = 0 THEN '5" wide' ELSE '' END] AS cells FROM orders""")
+def s3q(t) -> DataFrame:
+    key, quoted = F.col("o_orderkey").cast("string"), lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    said = quoted(F.lit('said ""'), key, F.lit('""\non '), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    wide = F.when(F.col("o_orderkey") % 2 == 0, F.lit('5" wide')).otherwise(F.lit('""'))
+    o = t("orders").select("o_custkey", "o_orderkey", F.concat_ws(",", key, quoted("o_orderstatus", F.lit(", "), "o_orderpriority"), said, wide).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))), lambda x: x["line"])
+    files = o.groupBy(F.col("o_custkey").alias("file")).agg(F.concat(F.lit('order,"status, priority",note,size\r\n'), F.array_join(lines, "\r\n")).alias("text"))
+    return S.csv_rows(files, "file", "text").select("file", "row_number", "cells")
+
+
 @query("s4_json_scan", """SELECT event_id AS id, 0 AS position, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS user_name FROM events UNION ALL SELECT event_id, 1, NULL, event_type FROM events WHERE event_id % 2 = 0""")
 def s4(t) -> DataFrame:
     e = t("events")

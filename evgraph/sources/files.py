@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sys
 import uuid
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evgraph.functions.arrays import let, running
-
 BY_SUFFIX = {"pdf": "pdf", "csv": "csv", "json": "json", "txt": "txt"}
 
 
@@ -42,40 +44,37 @@ def scan_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text"))
 
 
-#: Where a quote is open: an odd number of them lies before.
-OUTSIDE = r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-
-
-def split_lines(text: Column) -> Column:
-    """Records of a CSV text that are not blank. A record ends at a line feed outside quotes: where the lines up to there hold an even number of them."""
-
-    def records(lines: Column) -> Column:
-        quotes = F.transform(lines, lambda x: F.length(F.regexp_replace(x, '[^"]', "")) % 2)
+#: What a CSV text holds: its records as cells, or why it cannot be read.
+CSV_TEXT = "struct<error: string, records: array<array<string>>>"
 
-        def joined(odd: Column) -> Column:
-            begins = lambda k: (k == 0) | (F.get(odd, k - 1) % 2 == 0)
-            starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
-            stop = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(lines))
-            return let(starts, lambda at: F.transform(at, lambda i, k: F.array_join(F.slice(lines, i + 1, stop(at, k) - i), "\n")))
 
-        return let(running(quotes, lambda x, y: x + y), joined)
-
-    kept = lambda lines: F.filter(F.when(text.contains('"'), records(lines)).otherwise(lines), lambda x: F.trim(x) != "")
-    return let(F.split(text, r"\r?\n"), kept)
+def csv_records(text: Column) -> Column:
+    """Records of a CSV text, in one pass over it: commas, doubled quotes and line feeds inside quotes are part of a cell, and a quote inside an
+    unquoted cell is a plain character. Cells are trimmed; records whose cells are all blank are left out; a null text gives nulls.
+    """
 
+    def parsed(texts: pd.Series) -> pd.DataFrame:
+        csv.field_size_limit(sys.maxsize)
+        found = []
+        for text in texts:
+            try:
+                records = None if text is None else [[cell.strip() for cell in record] for record in csv.reader(io.StringIO(text, newline=""))]
+                found.append((None, records and [r for r in records if any(r)]))
+            except csv.Error as e:
+                found.append((str(e), []))
+        return pd.DataFrame(found, columns=["error", "records"])
 
-def split_cells(line: Column) -> Column:
-    """Cells of a CSV record: outer quotes go, doubled ones are one."""
-    bare = lambda x: F.replace(F.regexp_replace(F.trim(x), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
-    return F.transform(F.when(line.contains('"'), F.split(line, "," + OUTSIDE, -1)).otherwise(F.split(line, ",", -1)), bare)
+    return F.pandas_udf(parsed, CSV_TEXT)(text)
 
 
 def csv_rows(files: DataFrame, key: str, text: str) -> DataFrame:
-    """key, row_number (from 2, the header being 1), header, cells, n_cells: records of CSV texts, padded or cut to the header's width (S3)."""
-    rows = files.select(key, split_lines(F.col(text)).alias("lines")).where("size(lines) > 0")
-    rows = rows.select(key, split_cells(F.get("lines", F.lit(0))).alias("header"), F.posexplode("lines").alias("pos", "line")).where("pos > 0")
-    body, width = split_cells(F.col("line")), F.size("header")
-    rows = rows.select(key, "pos", "header", body.alias("body"))
+    """key, row_number (from 2, the header being 1), header, cells, n_cells: records of CSV texts, padded or cut to the header's width (S3).
+
+    A text that cannot be read, or has no row below its header, gives no rows (validate_files says why).
+    """
+    rows = files.select(key, csv_records(F.col(text)).alias("csv")).where("size(csv.records) > 1")
+    rows = rows.select(key, F.get("csv.records", F.lit(0)).alias("header"), F.posexplode("csv.records").alias("pos", "body")).where("pos > 0")
+    width = F.size("header")
     padded = F.slice(F.concat("body", F.array_repeat(F.lit(""), F.greatest(width - F.size("body"), F.lit(0)))), 1, width)
     return rows.select(key, (F.col("pos") + 1).alias("row_number"), "header", padded.alias("cells"), F.size("body").alias("n_cells"))
 

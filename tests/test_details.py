@@ -1,5 +1,7 @@
 """Nulls, ties, repeated rows, empty tables and shapes that the given tables do not have."""
 
+import csv
+import io
 import random
 
 from pyspark.sql import functions as F
@@ -120,11 +122,36 @@ def test_running_sums(spark):
 def test_quotes_in_csv_texts(spark):
     f = spark.createDataFrame([(1, 'a,b\n"x,1",2\n"y,2",3\n'), (2, 'a,b\n"one\ntwo ""2""",3\r\n4,5'), (3, 'a,b\n1,2,3\n"open\nend'), (4, "")], "id int, text string")
     got = {(r["id"], r["row_number"]): r["cells"] for r in S.csv_rows(f, "id", "text").collect()}
-    assert got == {(1, 2): ["x,1", "2"], (1, 3): ["y,2", "3"], (2, 2): ['one\ntwo "2"', "3"], (2, 3): ["4", "5"], (3, 2): ["1", "2"], (3, 3): ['"open\nend', ""]}
+    assert got == {(1, 2): ["x,1", "2"], (1, 3): ["y,2", "3"], (2, 2): ['one\ntwo "2"', "3"], (2, 3): ["4", "5"], (3, 2): ["1", "2"], (3, 3): ["open\nend", ""]}  # an open quote runs to the end
     found = {r["id"]: r["warnings"] for r in Q.validate_files(f.withColumn("kind", F.lit("csv"))).collect()}
     assert found[1] == [] and found[2] == [] and found[3] == ["ragged rows"]
 
 
+def test_csv_texts_of_any_shape(spark):
+    """Wide records, large cells, many quotes, quotes inside unquoted cells, blank records and line ends, as the csv module of Python reads them."""
+    wide = ",".join(f'"c{k}, ""{k}"""' for k in range(10_000))
+    large = "x, \n" * 2_000_000
+    texts = [
+        f"{wide}\n{wide}", f'a,b\n"{large}",2', 'a\n"' + '""' * 500_000 + '"', 'a,b\n5" pipe,6" pipe\n"a"b,c"d"', "a,b\n , \n,,\n\n1, 2 \r\n3,4\r\n", "\n\na,b\n1,2", 'a,b\r"x\ry",2\r', "a\n1\x002",
+        "a,b", "", " , \n", 'é,"漢,字"\n🙂,"“q”"', None,
+    ]
+    f = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r["id"], r["row_number"]): (r["cells"], r["n_cells"]) for r in S.csv_rows(f, "id", "text").collect()}
+    csv.field_size_limit(1 << 30)
+    want = {}
+    for k, text in enumerate(texts):
+        try:
+            records = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text or "", newline=""))]
+        except csv.Error:
+            continue
+        records = [r for r in records if any(r)]
+        for n, r in enumerate(records[1:], 2):
+            want[k, n] = ((r + [""] * len(records[0]))[: len(records[0])], len(r))
+    assert got == want and {k for k, _ in got} >= {0, 1, 2, 3, 4, 5, 11}
+    errors = {r["id"]: r["errors"] for r in Q.validate_files(f.withColumn("kind", F.lit("csv"))).collect()}
+    assert errors[0] == [] and errors[8] == ["no rows"] and errors[9] == ["empty", "no rows"] and errors[12] == ["empty", "no rows"] and "binary" in errors[7]
+
+
 def test_mapping_by_name_and_index(spark):
     h = spark.createDataFrame([(1, 0, "Date"), (1, 1, "Amount"), (1, 2, "amount")], "dataset int, ordinal long, cell string")
     m = spark.createDataFrame([(1, "amount", "AMOUNT"), (1, "date", "0"), (1, "time", "3"), (1, "place", "Date"), (1, "phone", "nope"), (2, "date", "0"), (1, "date", None), (1, "time", "99999999999999999999")], "dataset int, field string, cell string")
