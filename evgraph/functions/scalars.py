@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,8 +114,21 @@ def json_text(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """1 equal; same first token .9 (one side a single token, or same second initial) or .8; else 1 - edit distance / longer length."""
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """2 M / (length of a + length of b), M being the characters in matching blocks: the longest common run (the first of equal ones), then the
+    same on both sides of it (C9). 1 for two empty texts, null for a null; a and b may not be exchanged. One call for each row, so meant for pairs that are few."""
+
+    def ratios(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)], dtype="float64")
+
+    return F.pandas_udf(ratios, "double")(a, b)
+
+
+def name_similarity(a: Column, b: Column, exact: bool = False) -> Column:
+    """1 equal; same first token .9 (one side a single token, or same second initial) or .8; else 1 - edit distance / longer length.
+
+    exact takes the ratio of matching blocks instead of the edit distance, of a and b in this order.
+    """
     na, nb = norm_name(a), norm_name(b)
     pa, pb = F.split(na, " "), F.split(nb, " ")
     initial = lambda p: F.substring(F.get(p, F.lit(1)), 1, 1)
@@ -122,7 +138,7 @@ def name_similarity(a: Column, b: Column) -> Column:
         .when(na == nb, 1.0)
         .when((pa[0] == pb[0]) & ((F.size(pa) == 1) | (F.size(pb) == 1) | (initial(pa) == initial(pb))), 0.9)
         .when(pa[0] == pb[0], 0.8)
-        .otherwise(F.round(1 - F.levenshtein(na, nb) / longer, 6))
+        .otherwise(sequence_ratio(na, nb) if exact else F.round(1 - F.levenshtein(na, nb) / longer, 6))
     )
 
 

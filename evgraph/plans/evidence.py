@@ -29,7 +29,7 @@ def r1(t) -> DataFrame:
     return R.first_wins(o, ["case_id", "normalized"], ["o_orderdate", "id"], "text").select("case_id", "normalized", "id")
 
 
-@query("r2_shared_identifier", f"WITH {V.LINKS}, k AS (SELECT person, value FROM links_v WHERE kind = 'account') SELECT a.person AS a, b.person AS b, value FROM k a JOIN k b USING (value) WHERE a.person < b.person")
+@query("r2_shared_identifier", f"WITH {V.LINKS}, k AS MATERIALIZED (SELECT DISTINCT person, value FROM links_v WHERE kind = 'account') SELECT a.person AS a, b.person AS b, a.value AS value FROM k a JOIN k b ON a.value = b.value WHERE a.person < b.person GROUP BY 1, 2, 3")
 def r2(t) -> DataFrame:
     return R.shared_values(V.links(t).where("kind = 'account'"), "person", ["value"])
 
@@ -46,6 +46,24 @@ def r3(t) -> DataFrame:
     return R.candidate_pairs(V.names(t), _named(t))
 
 
+#: Ratio of matching blocks: common runs of each pair, then the longest run of each segment, left and right of which lie the next segments.
+RATIOS = """np AS (SELECT x.name AS a, y.name AS b FROM d x JOIN d y ON x.name < y.name AND split_part(x.name, ' ', 1) <> split_part(y.name, ' ', 1)),
+ai AS (SELECT a, b, unnest(range(1, length(a) + 1)) AS i FROM np), ij AS (SELECT *, unnest(range(1, length(b) + 1)) AS j FROM ai),
+ijk AS (SELECT *, unnest(range(1, least(length(a) - i, length(b) - j) + 2)) AS k FROM ij WHERE substr(a, i, 1) = substr(b, j, 1)),
+run AS MATERIALIZED (SELECT a, b, i, j, max(k) AS size FROM ijk WHERE substr(a, i, k) = substr(b, j, k) GROUP BY ALL),
+seg AS (SELECT a, b, CAST(1 AS BIGINT) AS i0, CAST(length(a) + 1 AS BIGINT) AS i1, CAST(1 AS BIGINT) AS j0, CAST(length(b) + 1 AS BIGINT) AS j1, CAST(0 AS BIGINT) AS got FROM np
+  UNION ALL SELECT a, b, CASE WHEN side = 0 THEN i0 ELSE best.i + best.size END, CASE WHEN side = 0 THEN best.i ELSE i1 END, CASE WHEN side = 0 THEN j0 ELSE best.j + best.size END, CASE WHEN side = 0 THEN best.j ELSE j1 END, CASE WHEN side = 0 THEN best.size ELSE 0 END
+  FROM (SELECT * EXCLUDE top, {'i': -top.ni, 'j': -top.nj, 'size': top.size} AS best FROM (SELECT a, b, i0, i1, j0, j1, max({'size': least(size, i1 - i, j1 - j), 'ni': -i, 'nj': -j}) AS top
+    FROM seg JOIN run USING (a, b) WHERE i >= i0 AND i < i1 AND j >= j0 AND j < j1 GROUP BY a, b, i0, i1, j0, j1)) CROSS JOIN range(2) s(side)),
+rt AS (SELECT a, b, 2.0 * sum(got) / (length(a) + length(b)) AS ratio FROM seg GROUP BY a, b),
+px AS (SELECT pr.a, pr.b, shared, CAST(coalesce(ratio, similarity) AS DOUBLE) AS similarity FROM pr LEFT JOIN rt ON rt.a = pr.a AND rt.b = pr.b)"""
+
+
+@query("r3_exact_ratio", f"WITH RECURSIVE {NAME_PAIRS}, {RATIOS} SELECT a, b, shared, round(similarity, 9) AS similarity, {SIGNALS} AS signals, CASE WHEN shared THEN 'HIGH' WHEN similarity >= 0.9 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM px WHERE shared OR similarity >= 0.8")
+def r3x(t) -> DataFrame:
+    return R.candidate_pairs(V.names(t), _named(t), exact=True).withColumn("similarity", F.round("similarity", 9))
+
+
 CLUSTERS = """e AS (SELECT a, b FROM pr WHERE {0} UNION ALL SELECT b, a FROM pr WHERE {0}),
 rc AS (SELECT name, name AS low FROM d UNION SELECT e.b, rc.low FROM rc JOIN e ON rc.name = e.a), cl AS (SELECT name, min(low) AS cluster FROM rc GROUP BY name)"""
 

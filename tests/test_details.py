@@ -3,9 +3,11 @@
 import csv
 import io
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from evgraph.functions import scalars as C
 from evgraph.functions.arrays import running
 from evgraph.operators import extract as X
 from evgraph.operators import graph as G
@@ -47,6 +49,53 @@ def test_no_pair_within_a_fifth_of_edits_is_missed(spark):
     assert len(want) > 40 and set(got) == want and len(got) == len(want)
 
 
+def varied(rng, base, most, letters):
+    name = list(base)
+    for _ in range(rng.randint(1, most)):
+        at = rng.randrange(len(name) + 1)
+        name[at : at + rng.randint(0, 1)] = rng.choice(["", *letters])
+    return "".join(name) or "x"
+
+
+def test_long_names_meet(spark):
+    """Lengths around SHORT, and long names that share most of their words, against all pairs."""
+    rng = random.Random(5)
+    words = ["private", "limited", "trading", "company", "holding", "estates"]
+    names = {varied(rng, "".join(rng.choice("abcdefgh ") for _ in range(n)), n // 4, "ae") for n in (18, 20, 23, 24, 25, 26, 29, 30, 31, 40) for _ in range(6)}
+    for base in list(names):
+        names |= {varied(rng, base, max(1, len(base) // 5), "aex") for _ in range(3)}
+    for _ in range(5):
+        base = " ".join(rng.choice(words) for _ in range(12))
+        names |= {base, varied(rng, base, 9, "qz"), varied(rng, base, 30, "qz"), base[: len(base) * 5 // 6], base[len(base) // 5 :]}
+    names = sorted(names)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if abs(len(a) - len(b)) <= max(len(a), len(b)) // 5 and edits(a, b) <= max(len(a), len(b)) // 5}
+    got = [tuple(r) for r in R.edit_pairs(spark.createDataFrame([(n,) for n in names] + [(None,), ("",)], "name string")).collect()]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
+
+
+def test_many_very_long_names(spark):
+    rng = random.Random(6)
+    bases = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)) for _ in range(2000)]
+    names = bases + [varied(rng, b, 35, "xyz") for b in bases[:50]]
+    got = {tuple(r) for r in R.edit_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {tuple(sorted((a, b))) for a, b in zip(bases, names[2000:])}
+
+
+def test_no_pair_of_similar_ratio_is_missed(spark):
+    rng = random.Random(7)
+    names = set()
+    for n in (*range(1, 14), 16, 20, 25, 33):
+        for _ in range(4):
+            base = "".join(rng.choice("abcdeno ") for _ in range(n))
+            names |= {base, *(varied(rng, base, max(1, n // 3), "aex") for _ in range(3)), base[n // 3 :] or "x", base[: n - n // 4]}
+    names = sorted(names)
+    want = {(a, b): r for i, a in enumerate(names) for b in names[i + 1 :] if (r := SequenceMatcher(None, a, b).ratio()) >= 0.8}
+    got = R.ratio_pairs(spark.createDataFrame([(n,) for n in names] + [(None,), ("",)], "name string")).collect()
+    assert len(want) > 100 and {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(want)
+    one = spark.createDataFrame([(None, "a"), ("", ""), ("abcd", "bcda"), ("tide", "diet"), ("diet", "tide")], "a string, b string")
+    assert [r[0] for r in one.select(C.sequence_ratio(F.col("a"), F.col("b"))).collect()] == [None, 1.0, 0.75, 0.25, 0.5]
+
+
 def test_names_that_differ_in_their_first_letter_meet(spark):
     rows = spark.createDataFrame([("Rawi Kumar",), ("Ravi Kumar",), (None,), ("  ",), ("Ravi Kumar",)], "name string")
     got = R.candidate_pairs(rows).collect()
