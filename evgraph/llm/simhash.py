@@ -12,8 +12,10 @@
 Equal fingerprints are one row throughout, so exact copies never meet each other.
 
 keep_one goes further: its fingerprints only propose pairs of texts, and a pair counts if the exact Jaccard similarity of the two sets of
-5-word shingles reaches 0.8. Tables find every pair within SURE bits and most of those up to WIDE bits (at 0.8 the mean is 10 bits); a second
-fingerprint and the sizes of the sets drop most others inside the unit. Where a unit holds many pairs (a large group of near copies), each text
+5-word shingles reaches 0.8. Two fingerprints of 64 bits each give TABLES keys of KEY_BITS bits; a key also holds the power of two that the size of the
+set lies in (or nearly reaches). A bit differs with p = acos(2 J / (1 + J)) / pi, so a pair meets in one table with (1 - p) ** KEY_BITS: at J = 0.8 in one
+of 23. By chance N texts meet in TABLES * N^2 / 2^(KEY_BITS + 1) pairs (N^2 / 2^13.6) of one band of sizes, and in about a fifth of that over all bands.
+The bits and the sizes drop most others inside the unit. Where a unit holds many pairs (a large group of near copies), each text
 is first verified against the least one. What this leaves in different groups is compared in chunks of texts of at most CHUNK_BYTES: a
 task holds the shingles of two chunks, measures the proposed pairs that are not joined yet, and returns a forest of links, never pairs.
 
@@ -25,7 +27,7 @@ are null; an empty table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,8 @@ from evgraph.operators.components import connected_components
 from evgraph.session import stored
 
 SHINGLE, SEED, RADIUS, CUTS, UNIT = 4, 42, 4, 6, 4096
-NEAR_SHINGLE, NEAR, SURE, SURE_CUTS, WIDE, BOTH, NEAR_UNIT, BUFFER, CHUNK_BYTES, DENSE = 5, 0.8, 10, 12, 18, 34, 16384, 1 << 17, 1 << 25, 1
+NEAR_SHINGLE, NEAR, KEY_BITS, TABLES, WIDE, BOTH, NEAR_UNIT, BUFFER, CHUNK_BYTES, DENSE = 5, 0.8, 19, 84, 18, 34, 16384, 1 << 17, 1 << 25, 1
+TASK_ROWS, FOREST_ROWS, BROADCAST_ROWS = 1 << 20, 1 << 22, 100_000
 ONE = np.uint64(1)
 
 
@@ -342,16 +345,21 @@ def _proposed(pdf: pd.DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(pairs: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) -> fewer pairs with the same components: each task joins up the pairs that it has, those of one b together, and returns a forest."""
+    """Pairs (a, b) -> fewer pairs with the same components: each task joins up FOREST_ROWS pairs at a time, those of one b together, and returns forests."""
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [pdf for pdf in batches if len(pdf)]
-        if held:
-            ends = pd.concat(held)
-            node, place = np.unique(np.concatenate([ends["a"], ends["b"]]), return_inverse=True)
-            label = _least_label(len(node), place[: len(ends)], place[len(ends) :])
-            tied = np.flatnonzero(label != np.arange(len(node)))
-            yield pd.DataFrame({"a": node[label[tied]], "b": node[tied]})
+        held, rows = [], 0
+        for pdf in chain(batches, [None]):
+            if pdf is not None and len(pdf):
+                held.append(pdf)
+                rows += len(pdf)
+            if held and (pdf is None or rows >= FOREST_ROWS):
+                ends = pd.concat(held)
+                held, rows = [], 0
+                node, place = np.unique(np.concatenate([ends["a"], ends["b"]]), return_inverse=True)
+                label = _least_label(len(node), place[: len(ends)], place[len(ends) :])
+                tied = np.flatnonzero(label != np.arange(len(node)))
+                yield pd.DataFrame({"a": node[label[tied]], "b": node[tied]})
 
     return pairs.repartition(parts, "b").mapInPandas(forest, "a long, b long").distinct()
 
@@ -407,18 +415,42 @@ def forest_of(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def _masks(tables: int = TABLES, bits: int = KEY_BITS) -> list[tuple[int, int]]:
+    """The bits of the two fingerprints that each table looks at: disjoint ones of one shuffle of all 128, then of the next."""
+    rng, out = np.random.default_rng(42), []
+    while len(out) < tables:
+        order = rng.permutation(128)
+        for k in range(128 // bits):
+            chosen = order[k * bits : (k + 1) * bits].tolist()
+            signed = [sum(1 << (x % 64) for x in chosen if x // 64 == half) for half in (0, 1)]
+            out.append(tuple(m - (1 << 64) if m >> 63 else m for m in signed))
+    return out[:tables]
+
+
+def _tables(nodes: DataFrame, least: float) -> DataFrame:
+    """node, fp, fp2, n of each text with the name of its bucket in every table: one of its band of sizes, another where n / least lies in the next."""
+    band = lambda n: F.length(F.bin(n))
+    n = F.greatest("n", F.lit(1)).cast("long")
+    bands = F.array_distinct(F.array(band(n), band(F.floor(n / least + 1e-9))))
+    rows = nodes.select("node", "fp", "fp2", "n", F.explode(bands).alias("band"))
+    keys = [F.xxhash64(F.lit(t), "band", F.col("fp").bitwiseAND(F.lit(one)), F.col("fp2").bitwiseAND(F.lit(two))) for t, (one, two) in enumerate(_masks())]
+    return rows.select("node", "fp", "fp2", "n", F.explode(F.array(*keys)).alias("key"))
+
+
 def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR, dense: int = DENSE, unit: int = NEAR_UNIT) -> DataFrame:
     """Links (a, b) between texts of a similarity of `least` or more, whose components are those of all such pairs that the tables propose.
 
     docs has key and text; nodes has node, key (of one of its documents), fp, fp2 and n. Units with more than `dense` pairs a text go through the groups.
+    Only buckets of more than `unit` texts are divided, into chunks that meet in pairs.
     """
-    keyed = _keyed(nodes.select("node", "fp", "fp2", "n"), SURE, SURE_CUTS)
-    sizes = stored(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
-    met = keyed.join(F.broadcast(sizes), ["t", "key"]).withColumn("chunks", F.ceil(F.col("m") / unit).cast("int"))  # at most 66 x 2048 buckets
-    mine = F.pmod(F.xxhash64("node", "t"), F.col("chunks")).cast("int")
+    keyed = _tables(nodes, least)
+    hot = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > unit), "near-hot")
+    met = keyed.join(F.broadcast(hot), "key", "left") if hot.count() <= BROADCAST_ROWS else keyed.hint("merge").join(hot.hint("merge"), "key", "left")
+    met = met.withColumn("chunks", F.ceil(F.coalesce("m", F.lit(1)) / unit).cast("int"))
+    mine = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("node", "fp", "fp2", "n", F.xxhash64("t", "key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.select("node", "fp", "fp2", "n", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("unit"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TABLES // TASK_ROWS)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_units(batches):
@@ -441,7 +473,10 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
                 yield forest_of(part, least)
 
     sorted_units = lambda rows: rows.repartition(parts, "unit").sortWithinPartitions("unit", "node")
-    found = stored(sorted_units(met).mapInPandas(compare, "a long, b long, dense boolean"), "near-found")
+    beside = Window.partitionBy("unit").orderBy("node")
+    met = met.repartition(parts, "unit").withColumns({"before": F.lag("node").over(beside), "after": F.lead("node").over(beside)})
+    met = met.where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after")  # most texts are alone; still in order of unit and node
+    found = stored(met.mapInPandas(compare, "a long, b long, dense boolean"), "near-found")
     first = stored(found.select("a", "b").distinct(), "near-first")
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     keys = stored(wanted.hint("merge").join(nodes.select("node", "key").hint("merge"), "node").select("key"), "near-keys")
