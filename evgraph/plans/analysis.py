@@ -10,7 +10,7 @@ from evgraph.operators import relate as E
 from evgraph.operators import report as T
 from evgraph.plans import views as V
 from evgraph.plans.evidence import EV, PAIR_REL, events_once, evidence, relationships
-from evgraph.plans.registry import QUERIES, query
+from evgraph.plans.registry import QUERIES, SQL, query
 from evgraph.session import as_pattern, shared_dir, stored
 from evgraph.streaming import flows as W
 
@@ -379,14 +379,38 @@ def w2(spark, sf_dir: str) -> DataFrame:
     return W.run_to_table(rows.select("user_id", "event_type"), "stream-dedup")
 
 
-@query("w3_failure_windows", """WITH f AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_type = 'signup' AS ok, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id ROWS UNBOUNDED PRECEDING) AS since
-  FROM events WHERE event_type IN ('error', 'signup')), n AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, since ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS failures FROM f)
+@query("w3_failure_windows", """WITH f AS (SELECT event_id, user_id, epoch_us(ts) AS tick, event_type = 'signup' AS ok, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since
+  FROM events WHERE event_type IN ('error', 'signup')), n AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, since ORDER BY tick RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS failures FROM f)
 SELECT event_id, user_id, failures FROM n WHERE NOT ok AND failures >= 2""")
 def w3(t) -> DataFrame:
     log = t("events").where("event_type IN ('error', 'signup')").withColumn("ok", F.col("event_type") == "signup")
     return W.failure_windows(log, seconds=86400, least=2, success="ok").select("event_id", "user_id", "failures")
 
 
+def _in_order(spark, rows: DataFrame, time: str, name: str, parts: int = 3) -> DataFrame:
+    """rows as a stream of a few files, one a batch, in order of time."""
+    path, at = shared_dir(spark, name), F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(parts - 1), F.floor((at - F.lit(low)) * parts / F.lit(max(1, (high or 0) - (low or 0))))).cast("int")
+    rows = stored(rows.withColumn("__part", part), name)
+    for k in range(parts):
+        rows.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+ATTEMPTS = "tried AS (SELECT event_id, ts, event_type = 'signup' AS ok, unnest(['user:' || user_id, 'address:' || json_extract_string(props, '$.k')]) AS key FROM events WHERE event_type IN ('error', 'signup'))"
+
+
+@_streamed("w3_failure_stream", f"""WITH {ATTEMPTS}, s AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM tried WHERE key IS NOT NULL),
+n AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY key, since ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS failures FROM s) SELECT key, event_id, failures FROM n WHERE NOT ok AND failures >= 2""")
+def w3s(spark, sf_dir: str) -> DataFrame:
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type IN ('error', 'signup')")
+    log = log.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.get_json_object("props", "$.k").alias("k"), (F.col("event_type") == "signup").alias("ok"))
+    keys = W.attempt_keys(_in_order(spark, log, "ts", "attempts"), user="user_id", address="k")
+    return W.run_to_table(W.limited_attempts(keys, 86400, 2).select("key", "event_id", "failures"), "limited")
+
+
 @_streamed("w4_rolling_activity", "SELECT user_id, event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def w4(spark, sf_dir: str) -> DataFrame:
     # complete mode: every window is there without waiting for the watermark to pass it
@@ -412,3 +436,22 @@ def w5(t) -> DataFrame:
     e = t("events")
     k = F.col("event_id") % 4
     return W.sync_state(e.where("event_type <> 'view'"), e.where("event_type = 'view'").withColumn("ok", F.when(k != 1, k != 0)), "user_id")
+
+
+@_streamed("w4_pair_view", f"""WITH {V.EVENTS} SELECT least(person_a, person_b) AS a, greatest(person_a, person_b) AS b, count(*) FILTER (event_type = 'CALL') AS calls, count(*) FILTER (event_type = 'TRANSACTION') AS transactions,
+  count(*) FILTER (event_type = 'LOCATION_OBSERVATION') AS locations FROM events_v WHERE person_a <> person_b GROUP BY 1, 2""")
+def w4v(spark, sf_dir: str) -> DataFrame:
+    events = V.events(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    events = events.select("person_a", "person_b", "event_type", F.col("date").cast("timestamp").alias("ts"))
+    work = shared_dir(spark, "pair-view")
+    W.maintain_pairs(_in_order(spark, events, "ts", "pair-events"), work).awaitTermination()
+    return W.pair_totals(spark, work)
+
+
+@_streamed("w5_sync_stream", SQL["w5_sync_state"])
+def w5s(spark, sf_dir: str) -> DataFrame:
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id") % 4
+    e = e.select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "view").alias("view"), F.when(k != 1, k != 0).alias("ok"))
+    changes, projections = (_in_order(spark, e.where(F.col("view") == seen), "ts", "sync-events").drop("view") for seen in (False, True))
+    steps = W.run_to_table(W.sync_transitions(changes.drop("ok"), projections, "user_id"), "sync-steps")
+    return steps.groupBy("user_id").agg(F.max_by("after", "n").alias("state")).where("state IS NOT NULL")

@@ -331,7 +331,7 @@ def test_failures_are_cleared_by_a_success(spark):
         if not ok:
             # rows of the same second count whatever their order, as long as no success lies between
             later = min([(x[2], x[0]) for x in log if x[1] == user and x[3] and (x[2], x[0]) > (at, k)], default=(10**9, 0))
-            want[k] = sum(x[1] == user and not x[3] and at - 60 <= x[2] <= at and cleared < (x[2], x[0]) < later for x in log)
+            want[k] = sum(x[1] == user and not x[3] and at - 60 < x[2] <= at and cleared < (x[2], x[0]) < later for x in log)
     rows = spark.createDataFrame([(k, u, at, ok) for k, u, at, ok in log] + [(999, 1, None, False)], "event_id int, user_id int, at int, ok boolean").withColumn("ts", F.timestamp_seconds("at"))
     got = {r["event_id"]: r["failures"] for r in W.failure_windows(rows, seconds=60, least=1, success="ok").collect()}
     assert got == want
@@ -350,3 +350,68 @@ def test_import_reports(spark):
     assert tuple(Q.discovery_counts(e, "doc", "a", "b").first()) == ("d", 3, 1)
     g = Q.growth(e.limit(0), e, "doc").collect()
     assert [(r["n_before"], r["n_after"], r["n_new"]) for r in g] == [(0, 3, 3)]
+
+
+def in_files(spark, rows, path):
+    """rows as a stream whose files come one a batch, in the given order."""
+    for part in rows:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_attempts_by_user_and_address_as_a_stream(spark, tmp_path):
+    """The stream gives the batch form's rows; a failure exactly as old as the window is over; a success clears both keys."""
+    rng = random.Random(12)
+    log = [(k, rng.choice(["Bob", " bob ", "eve", None]), rng.choice(["1.1", "2.2"]), rng.randrange(900), rng.choice([False, False, False, None, True])) for k in range(200)]
+    log += [(1000, "old", "9.9", 2000, False), (1001, "old", "9.9", 2060, False), (1002, "new", "9.8", 2000, False), (1003, "new", "9.8", 2059, False), (1004, "x", "9.7", None, False)]
+    log.sort(key=lambda r: (r[3] is None, r[3], r[0]))
+    df = spark.createDataFrame(log, "event_id long, who string, ip string, at int, ok boolean").withColumn("ts", F.timestamp_seconds("at"))
+    parts = [df.where("at < 300 OR at IS NULL"), df.where("at >= 300 AND at < 2001"), df.where("at >= 2001")]
+    keys = lambda rows: W.attempt_keys(rows, user="who", address="ip")
+    stream = in_files(spark, parts, f"file://{tmp_path}/log")
+    got = {(r["key"], r["event_id"]): r["failures"] for r in W.run_to_table(W.limited_attempts(keys(stream), 60, 2).drop("ts"), "limited").collect()}
+    want = {(r["key"], r["event_id"]): r["failures"] for r in W.failure_windows(keys(df), "key", 60, 2, "ok").collect()}
+    assert got == want and len(want) > 50
+    assert ("user:new", 1003) in got and ("user:old", 1001) not in got and {k for k, _ in got} >= {"user:bob", "address:1.1"}
+
+
+def test_steps_of_cases_in_any_order(spark, tmp_path):
+    rng = random.Random(13)
+    changes = [(rng.randrange(9), rng.randrange(50)) for _ in range(40)] + [(None, 3), (1, None)]
+    projections = [(rng.randrange(11), rng.randrange(50), rng.choice([None, True, False])) for _ in range(60)]
+    c = spark.createDataFrame(changes, "case_id int, s int").select("case_id", F.timestamp_seconds("s").alias("ts"))
+    p = spark.createDataFrame(projections, "case_id int, s int, ok boolean").select("case_id", F.timestamp_seconds("s").alias("ts"), "ok")
+    cut = F.pmod(F.hash("case_id", "ts"), F.lit(3))
+    one, two = (in_files(spark, [df.where(cut == k) for k in range(3)], f"file://{tmp_path}/{name}") for name, df in (("c", c), ("p", p)))
+    steps = W.run_to_table(W.sync_transitions(one, two), "steps").collect()
+    last = {}
+    for r in sorted(steps, key=lambda r: (r["case_id"], r["n"])):
+        before = last.get(r["case_id"], (0, None))
+        assert (r["n"] - 1, r["before"]) == before and r["before"] != r["after"]
+        last[r["case_id"]] = (r["n"], r["after"])
+    assert {k: v for k, (_, v) in last.items() if v} == {r["case_id"]: r["state"] for r in W.sync_state(c.where("case_id IS NOT NULL AND ts IS NOT NULL"), p).collect()}
+    plain = [(1, 10, None), (1, 20, True), (1, 30, None), (1, 40, False)]
+    p = spark.createDataFrame(plain, "case_id int, s int, ok boolean").select("case_id", F.timestamp_seconds("s").alias("ts"), "ok")
+    c = spark.createDataFrame([(1, 5), (1, 25)], "case_id int, s int").select("case_id", F.timestamp_seconds("s").alias("ts"))
+    one, two = (in_files(spark, [df], f"file://{tmp_path}/{name}") for name, df in (("c2", c), ("p2", p)))
+    got = W.run_to_table(W.sync_transitions(one, two), "steps").orderBy("n").collect()
+    assert [r["after"] for r in got] == ["PENDING", "SYNCING", "SYNCED", "PENDING", "SYNCING", "FAILED"]
+
+
+def test_pair_view_after_each_batch(spark, tmp_path):
+    rows = [("A", "B", "CALL", 0), ("B", "A", "CALL", 5), ("A", "C", "TRANSACTION", 5), ("A", "B", "CCTV", 90_000), (None, "B", "CALL", 5), ("A", "A", "CALL", 5), ("A", "B", "CALL", 200_000), ("B", "C", "CALL", 3)]
+    df = spark.createDataFrame(rows, "person_a string, person_b string, event_type string, s int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    path, work = f"file://{tmp_path}/events", f"file://{tmp_path}/work"
+    seen = None
+    for part in ("s < 4 OR ts IS NULL", "s = 5", "s > 5"):
+        part = df.withColumn("s", F.unix_timestamp("ts")).where(part).drop("s")
+        stream = in_files(spark, [part], path)
+        W.maintain_pairs(stream, work).awaitTermination()
+        seen = part if seen is None else seen.unionByName(part)
+        got = {(r["a"], r["b"]): (r["calls"], r["transactions"], r["locations"]) for r in W.pair_totals(spark, work).collect()}
+        want = {}
+        for r in seen.where("person_a <> person_b").collect():
+            k, n = tuple(sorted((r["person_a"], r["person_b"]))), ["CALL", "TRANSACTION", "CCTV"].index(r["event_type"])
+            want[k] = tuple(x + (m == n) for m, x in enumerate(want.get(k, (0, 0, 0))))
+        assert got == want
+    assert sum(1 for _ in (tmp_path / "work" / "pairs").glob("batch=*")) >= 3
