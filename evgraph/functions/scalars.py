@@ -167,7 +167,8 @@ def precision_tag(date: Column, time: Column) -> Column:
 
 
 def event_label(kind: Column, a: Column, b: Column, amount: Column) -> Column:
-    arrow = F.concat(F.coalesce(a, F.lit("?")), F.lit(" → "), F.coalesce(b, F.lit("?")))
+    """What an event says in words (C15); an absent party leaves its place empty."""
+    arrow = F.concat(_text(a), F.lit(" → "), _text(b))
     return (
         F.when(kind == "CALL", F.concat(F.lit("Call "), arrow))
         .when(kind == "TRANSACTION", F.concat(F.lit("Transaction "), arrow, F.coalesce(F.concat(F.lit(" ₹"), amount), F.lit(""))))

@@ -6,12 +6,16 @@ names its source. Blank cells are null and never get a default; records without
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions import scalars as C
+from evgraph.session import stored
 
 #: Patterns and the group that holds the value.
 PATTERNS = {
@@ -23,6 +27,8 @@ PATTERNS = {
     "TRANSACTION": (r"(?i)(?:₹|Rs\.?|INR)\s?([\d,]+(?:\.\d+)?)", 1),
 }
 CONFIDENCE = 0.95
+#: Characters of names that one automaton holds.
+AUTOMATON_CHARS = 1 << 24
 
 
 def values_of(kind: str, text: Column) -> Column:
@@ -57,20 +63,23 @@ def text_events(docs: DataFrame, key: str = "id", text: str = "text") -> DataFra
     return rows.select(key, F.when(F.col("amount").isNotNull(), "TRANSACTION").otherwise("CASE_EVENT").alias("type"), "date", "time", C.precision_tag(F.col("date"), F.col("time")).alias("precision"), "amount")
 
 
-def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", name: str = "name", words: int = 3, longest: bool = False) -> DataFrame:
-    """key, name, position, original: dictionary entries of up to `words` words that occur in the text as words (X2), by an equi-join on its n-grams.
+def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", name: str = "name", words: int | None = None, longest: bool = False) -> DataFrame:
+    """key, name, position, original: dictionary entries that occur in the text as words (X2), by an equi-join on its n-grams of up to `words` words.
 
-    position is the word where the first occurrence starts (from 0), original its spelling there. longest: of the entries that start at one word only the longest stays.
-    Null texts and names, and names without letters or digits, match nothing.
+    words is that of the longest entry unless it is given; longer entries than that are left out. position is the word where the first occurrence
+    starts (from 0), original its words there with a blank between. longest: of the entries that start at one word only the longest stays.
+    Null texts and names, and names without letters or digits, match nothing. name_substrings finds names anywhere, as they stand in the text.
     """
     cut = r"[^\p{L}\p{N}]+"
     parts = F.filter(F.split(text, cut), lambda x: x != "")
     rows = docs.select(key, parts.alias("w")).where("size(w) > 0")
+    form = F.filter(F.split(F.lower(F.col(name)), cut), lambda x: x != "")
+    if words is None:
+        words = dictionary.agg(F.max(F.size(form))).first()[0] or 1
     grams = F.flatten(F.array(*[F.transform(_grams(n), lambda g, i: F.struct(i.alias("position"), g.alias("original"))) for n in range(1, words + 1)]))
     held = rows.select(key, F.explode(grams).alias("g")).select(key, F.lower("g.original").alias("gram"), "g.position", "g.original")
     held = held.groupBy(key, "gram").agg(F.min(F.struct("position", "original")).alias("g"))
-    form = F.array_join(F.filter(F.split(F.lower(F.col(name)), cut), lambda x: x != ""), " ")
-    known = dictionary.select(form.alias("gram"), F.col(name).alias("name")).where("gram <> ''").distinct()
+    known = dictionary.select(F.array_join(form, " ").alias("gram"), F.col(name).alias("name")).where("gram <> ''").distinct()
     found = held.hint("merge").join(known.hint("merge"), "gram").select(key, "name", "g.position", "g.original")
     if not longest:
         return found
@@ -78,6 +87,49 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id",
     return found.groupBy(key, "position").agg(best).select(key, "b.name", "position", "b.original")
 
 
+def name_substrings(docs: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "text", name: str = "name", most: int = AUTOMATON_CHARS) -> DataFrame:
+    """key, name, position, original: dictionary entries of any length that occur anywhere in the text, whatever their case.
+
+    position is the character where the first occurrence starts (from 0), original what stands there. One pass over each text with an Aho-Corasick
+    automaton of all names; a dictionary of more than `most` characters is dealt out to several automata, each with its pass over the texts.
+    Null texts, null names and empty names match nothing; names that differ in case alone are found both.
+    """
+    names = dictionary.select(F.col(name).alias("name")).where("name IS NOT NULL AND name <> ''").distinct()
+    names = stored(names, "dictionary")
+    shards = -(-(names.agg(F.sum(F.length("name"))).first()[0] or 0) // most)
+    rows = docs.select(key, F.col(text).alias("text")).where("text IS NOT NULL")
+    kind = rows.schema[key].dataType.simpleString()
+    spec, spark = f"`{key}` {kind}, name string, position int, original string", docs.sparkSession
+
+    def finder(shared):
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            forms: dict[str, list[str]] = {}
+            for x in shared.value:
+                forms.setdefault(x.lower(), []).append(x)
+            known = ahocorasick.Automaton()
+            for form in forms:
+                known.add_word(form, form)
+            known.make_automaton()
+            for pdf in batches:
+                found = []
+                for k, t in zip(pdf[key], pdf["text"]):
+                    first: dict[str, int] = {}
+                    for end, form in known.iter(t.lower()):
+                        first.setdefault(form, end + 1 - len(form))
+                    found += [(k, x, at, t[at : at + len(form)]) for form, at in first.items() for x in forms[form]]
+                yield pd.DataFrame(found, columns=[key, "name", "position", "original"])
+
+        return find
+
+    parts = [rows.select(key, F.lit("").alias("name"), F.lit(0).alias("position"), F.lit("").alias("original")).limit(0)]
+    for k in range(shards):
+        held = names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k).toPandas()["name"].tolist()  # about `most` characters
+        parts.append(rows.mapInPandas(finder(spark.sparkContext.broadcast(held)), spec))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _grams(n: int) -> Column:
     at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))
@@ -196,10 +248,12 @@ def json_bundle(records: DataFrame, key: str, position: str = "position", record
     """JSON records (key, position, map of strings with keys in lower case and _) -> events, entities, mentions.
 
     Observations of two persons are LOCATION_OBSERVATIONs; of one, they give entities and a mention. Records without a type are transactions; other
-    known types are transactions, calls or CASE_EVENTs; unknown types give entities and mentions only. positions count from 1.
+    known types are transactions, calls or CASE_EVENTs; unknown types, a null type among them, give entities and mentions only. positions count from 1.
     """
     value = lambda n: F.nullif(F.try_element_at(F.col(record), F.lit(n)), F.lit(""))
-    said = F.lower(F.coalesce(F.try_element_at(F.col(record), F.lit("type")), F.try_element_at(F.col(record), F.lit("record_type")), F.lit("transaction")))
+    given = lambda n: F.lower(F.coalesce(F.try_element_at(F.col(record), F.lit(n)), F.lit("none")))
+    has = lambda n: F.map_contains_key(F.col(record), n)
+    said = F.when(has("type"), given("type")).when(has("record_type"), given("record_type")).otherwise("transaction")
     cells = [F.coalesce(*map(value, names)).alias(c) for c, names in KEYS.items()]
     rows = records.select(key, (F.col(position) + 1).cast("long").alias("position"), said.alias("said"), *cells)
     date, time = split_datetime(F.col("moment"))

@@ -354,6 +354,12 @@ def x2l(t) -> DataFrame:
     return X.dictionary_matches(t("documents"), _names(t), "doc_id", longest=True)
 
 
+@query("x2_substrings", """WITH d AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT unnest(['The', 'que', 'der', 'Les', 'of the', 'de la']))
+SELECT doc_id, name, CAST(strpos(lower(text), lower(name)) - 1 AS INT) AS position, substr(text, strpos(lower(text), lower(name)), length(name)) AS original FROM documents JOIN d ON contains(lower(text), lower(name))""")
+def x2s(t) -> DataFrame:
+    return X.name_substrings(t("documents"), _names(t), "doc_id")
+
+
 @query("x3_text_events", f"""WITH {V.TEXTS} SELECT id, 'TRANSACTION' AS type, strftime(strptime(regexp_extract(text, '\\d{{2}}-[A-Za-z]{{3}}-\\d{{4}}'), '%d-%b-%Y'), '%Y-%m-%d') AS date, regexp_extract(text, '\\d{{2}}:\\d{{2}}') AS time, 'exact' AS precision,
   '₹' || regexp_extract(text, 'Rs ([\\d.]+)', 1) AS amount FROM texts_v""")
 def x3(t) -> DataFrame:
@@ -443,7 +449,7 @@ def _json_bundle(t) -> X.Bundle:
 
 
 @query("x7_x8_events", f"""WITH {RECORDS} SELECT id, 1::BIGINT AS position, CASE WHEN said = 'co_location' THEN 'LOCATION_OBSERVATION' WHEN said = 'call' THEN 'CALL' WHEN said = 'incident' THEN 'CASE_EVENT' ELSE 'TRANSACTION' END AS type, p AS a_name, q AS b_name, date, time, 'exact' AS precision,
-  CASE WHEN said = 'co_location' THEN p || ' and ' || q || ' observed together at ' || k WHEN said = 'call' THEN 'Call ' || p || ' → ' || coalesce(q, '?') WHEN said = 'incident' THEN 'Dataset record 1' ELSE 'Transaction ' || p || ' → ' || coalesce(q, '?') || ' ₹' || k END AS description,
+  CASE WHEN said = 'co_location' THEN p || ' and ' || q || ' observed together at ' || k WHEN said = 'call' THEN 'Call ' || p || ' → ' || coalesce(q, '') WHEN said = 'incident' THEN 'Dataset record 1' ELSE 'Transaction ' || p || ' → ' || coalesce(q, '') || ' ₹' || k END AS description,
   CASE WHEN said = 'co_location' THEN NULL ELSE k END AS amount, CASE WHEN said = 'co_location' THEN NULL ELSE p END AS transaction_id, CASE WHEN said = 'co_location' THEN k END AS location FROM j WHERE (said IS NULL OR said <> 'rumour') AND (said IS NULL OR said <> 'co_location' OR q IS NOT NULL)""")
 def x78(t) -> DataFrame:
     return _flat(_json_bundle(t).events, "amount", "transaction_id", "location")

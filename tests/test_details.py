@@ -241,7 +241,7 @@ def test_csv_records(spark):
     assert b.entities.count() == 2 and [r["phone"] for r in b.mentions.collect()] == ["1"]
     sums = spark.createDataFrame([(1, None, "Docks"), (2, "7", None)], "id int, amount string, place string")
     b = X.transaction_rows(sums, "id", {"amount": "amount", "location": "place"})
-    assert [(r["id"], r["description"], r["precision"]) for r in b.events.collect()] == [(2, "Transaction ? → ? ₹7", "unknown")] and [r["value"] for r in b.entities.collect()] == ["Docks"]
+    assert [(r["id"], r["description"], r["precision"]) for r in b.events.collect()] == [(2, "Transaction  →  ₹7", "unknown")] and [r["value"] for r in b.entities.collect()] == ["Docks"]
     known = spark.createDataFrame([(1, None, "v1", "2026-08-20"), (2, "Ann", None, None), (3, " ", None, "2026-08-20")], "id int, n string, v string, d string")
     b = X.registry_rows(known, "id", {"person_name": "n", "vehicle": "v", "date": "d"})
     assert [(r["id"], r["description"]) for r in b.events.collect()] == [(1, "Dataset record — v1")] and [r["name"] for r in b.mentions.collect()] == ["Ann"]
@@ -415,3 +415,24 @@ def test_pair_view_after_each_batch(spark, tmp_path):
             want[k] = tuple(x + (m == n) for m, x in enumerate(want.get(k, (0, 0, 0))))
         assert got == want
     assert sum(1 for _ in (tmp_path / "work" / "pairs").glob("batch=*")) >= 3
+
+
+def test_null_and_absent_types(spark):
+    said = [{"type": None, "sender": "A", "amount": "5"}, {"type": None, "record_type": "call", "sender": "A"}, {"record_type": None, "sender": "A"}, {"record_type": "call", "sender": "A"}, {"receiver": "B"}]
+    rows = spark.createDataFrame([(1, k, r) for k, r in enumerate(said)], "id int, position int, record map<string,string>")
+    b = X.json_bundle(rows, "id")
+    assert {r["position"]: (r["type"], r["description"]) for r in b.events.collect()} == {4: ("CALL", "Call A → "), 5: ("TRANSACTION", "Transaction  → B")}
+    assert [r["name"] for r in b.mentions.orderBy("position").collect()] == ["A", "A", "A", "A", "B"]
+
+
+def test_names_of_any_length(spark):
+    long = "the Grand Old Duke of York"
+    d = spark.createDataFrame([(x,) for x in ("ravi k.", "RAVI", "vi", long, None, "", "É", "ann lee")], "name string")
+    t = spark.createDataFrame([(1, "Then Ravi K. met THE grand old  duke"), (2, f"x{long.upper()}x and École"), (3, None), (4, ""), (5, "Ann  Lee, ann lee")], "id int, text string")
+    want = {(1, "ravi k.", 5, "Ravi K."), (1, "RAVI", 5, "Ravi"), (1, "vi", 7, "vi"), (2, long, 1, long.upper()), (2, "É", 33, "É"), (5, "ann lee", 10, "ann lee")}
+    for most in (1 << 24, 8):  # one automaton, or several
+        assert {tuple(r) for r in X.name_substrings(t, d, most=most).collect()} == want
+    assert X.name_substrings(t, d.limit(0)).count() == 0 and X.name_substrings(t.limit(0), d).count() == 0
+    assert {(r["id"], r["name"], r["original"]) for r in X.dictionary_matches(t.where("id = 2"), spark.createDataFrame([("Grand Old Duke of",)], "name string")).collect()} == set()
+    six = spark.createDataFrame([(6, f"See: {long}!")], "id int, text string")
+    assert [r["original"] for r in X.dictionary_matches(six, d).collect()] == [long]
