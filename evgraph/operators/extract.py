@@ -126,7 +126,8 @@ def name_substrings(docs: DataFrame, dictionary: DataFrame, key: str = "id", tex
     parts = [rows.select(key, F.lit("").alias("name"), F.lit(0).alias("position"), F.lit("").alias("original")).limit(0)]
     for k in range(shards):
         held = names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k).toPandas()["name"].tolist()  # about `most` characters
-        parts.append(rows.mapInPandas(finder(spark.sparkContext.broadcast(held)), spec))
+        if held:
+            parts.append(rows.mapInPandas(finder(spark.sparkContext.broadcast(held)), spec))
     return reduce(DataFrame.unionByName, parts)
 
 
