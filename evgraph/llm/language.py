@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evgraph.llm.common import column
+from evgraph.llm.common import column, let
 from evgraph.session import stored
 
 BUCKETS, TEMPER, SMOOTH, GROUP = 1 << 15, 60.0, 0.5, 64
@@ -46,17 +46,23 @@ def _trigrams(text: str) -> np.ndarray:
 
 
 def trigram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, bucket, n) over all documents of known language."""
+    """(lang, bucket, n) over all documents of known language; a task counts GROUP languages at a time."""
+
+    def cells(total: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"]):
+                if lang not in total and len(total) == GROUP:
+                    yield from cells(total)
+                    total.clear()
                 n = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 n += np.bincount(_trigrams(text), minlength=BUCKETS)
-        for lang, n in total.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
+        yield from cells(total)
 
     tag = F.lower(F.regexp_extract(column(lang_col), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
     rows = docs.select(tag.alias("lang"), column(text_col).alias("text")).where("lang <> '' AND text IS NOT NULL")
@@ -89,9 +95,9 @@ def _report(said: Column, langs: list[str], right: float) -> Column:
 
 def _normal(logs: Column) -> Column:
     """Log evidence -> probabilities."""
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = let(F.array_max(logs), lambda most: F.transform(logs, lambda x: F.exp(x - most)))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return let(shifted, lambda values: let(total(values), lambda t: F.transform(values, lambda x: x / t)))
 
 
 def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -83,15 +83,28 @@ def selections(signed: DataFrame, noise_words: int, sure_words: int) -> DataFram
 
 def fingerprints(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
     """key, f, f2 and pos of the selected grams."""
-    grams = F.array_distinct(F.transform("s", lambda x: x["gram"]))
+    grams = let(F.array_sort(F.transform("s", lambda x: x["gram"])), lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1))))
     return selections(signed, noise_words, sure_words).select("key", F.explode(grams).alias("m")).select("key", "m.*")
 
 
+def _of_shared(s: Column, shared: Column) -> Column:
+    """The windows of s whose gram is in `shared`, found by sorting both together: what is shared comes before the windows that have it."""
+    ends = F.concat(
+        F.transform(shared, lambda f: F.struct(f.alias("f"), F.lit(-1).alias("at"))), F.transform(s, lambda x, i: F.struct(x["gram"]["f"].alias("f"), i.cast("int").alias("at"))),
+    )
+
+    def found(a: Column) -> Column:
+        marks = running(F.transform(a, lambda x, i: F.when(x["at"] < 0, i.cast("int")).otherwise(-1)), lambda x, y: F.greatest(x, y), -1)
+        pick = lambda m: F.filter(F.transform(a, lambda x, i: F.when(F.get(a, F.get(m, i))["f"] == x["f"], x["at"])), lambda at: at >= 0)
+        return let(marks, pick)
+
+    return F.transform(let(F.array_sort(ends), found), lambda at: F.get(s, at))
+
+
 def windows(signed: DataFrame, noise_words: int, sure_words: int) -> DataFrame:
     """key, id, f (two hashes of the whole window), pos and before (the place of the same window before it in the document, or null), where the gram is in `shared`."""
     cut = lambda c, x: F.slice(c, x["start"] + 1, x["stop"] - x["start"])
-    held = F.filter("s", lambda x: F.array_contains("shared", x["gram"]["f"]))
-    hashed = F.transform(held, lambda x: F.struct(F.xxhash64(cut("h", x)).alias("f"), F.xxhash64(cut("g", x)).alias("f2"), x["start"].alias("pos")))
+    hashed = F.transform(_of_shared(F.col("s"), F.col("shared")), lambda x: F.struct(F.xxhash64(cut("h", x)).alias("f"), F.xxhash64(cut("g", x)).alias("f2"), x["start"].alias("pos")))
     rows = selections(signed, noise_words, sure_words).select("key", "id", F.array_sort(hashed).alias("s"))  # by hash, then position
     same = lambda x, y: (x["f"] == y["f"]) & (x["f2"] == y["f2"])
     before = lambda x, i: F.when((i > 0) & same(F.get("s", i - 1), x), F.get("s", i - 1)["pos"])

@@ -88,3 +88,13 @@ def test_defined_cases(odd, none):
     same = got.where("doc_id <> 11 OR doc_id IS NULL")
     assert same.exceptAll(odd).count() == 0
     assert dedup_lines(none).count() == 0
+
+
+def test_documents_that_share_thousands_of_lines(spark):
+    """Long texts with the same lines, and long texts of different ones: work in proportion to the lines."""
+    shared = [f"line {k} of a text that two documents share word by word" for k in range(12_000)]
+    own = [f"line {k} of a text that only one document has at all" for k in range(12_000)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(["first"] + shared)), (3, "\n".join(own))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()}
+    assert got == {1: rows[0][1], 2: "first", 3: rows[2][1]}
