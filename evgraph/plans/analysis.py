@@ -368,7 +368,7 @@ def w1(spark, sf_dir: str) -> DataFrame:
     build = lambda df: df.select(F.col("o_orderkey").alias("document"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("case_id"))
     orders = spark.read.parquet(path)
     orders.select("o_orderkey", "o_orderpriority", "o_orderstatus").repartition(3, "o_orderkey").write.parquet(f"{work}/files")  # every file touches every case
-    W.ingest(spark, f"{work}/files", spark.read.parquet(f"{work}/files").schema, work, build, files_per_batch=1).awaitTermination()
+    W.ingest(spark, f"{work}/files", spark.read.parquet(f"{work}/files").schema, work, build, files_per_batch=1, case=F.col("o_orderstatus")).awaitTermination()
     return spark.read.schema("document long, priority string, case_id string").parquet(f"{work}/table")
 
 

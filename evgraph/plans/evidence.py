@@ -340,6 +340,15 @@ def p8(t) -> DataFrame:
     return P.reconcile(o, o.where("o_orderkey % 50 <> 0 OR o_orderstatus <> 'F'"))
 
 
+@query("p8_mismatches", """SELECT o_orderkey AS id, 'missing' AS mismatch, 1 AS n_source, 0 AS n_projected FROM orders WHERE o_orderkey % 50 = 0
+UNION ALL SELECT o_orderkey, 'changed', 1, 1 FROM orders WHERE o_orderkey % 50 <> 0 AND o_orderkey % 77 = 0 UNION ALL SELECT -o_orderkey, 'extra', 0, 1 FROM orders WHERE o_orderkey % 101 = 0 AND o_orderkey % 50 <> 0""")
+def p8r(t) -> DataFrame:
+    o, k = t("orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice", "o_orderdate"), F.col("id")
+    there = o.where(k % 50 != 0)
+    changed = there.withColumn("o_totalprice", F.when(k % 77 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return P.mismatches(o, changed.unionByName(there.where(k % 101 == 0).withColumn("id", -k)), "id")
+
+
 @query("p9_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def p9(t) -> DataFrame:
     return P.repeated_keys(t("lineitem"), "l_orderkey", "l_linenumber")

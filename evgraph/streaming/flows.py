@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,20 +13,43 @@ from evgraph.operators.relate import OBSERVATIONS
 from evgraph.session import as_pattern, shared_dir, stored
 
 
+#: Parts that the cases of an ingest are dealt out to.
+CASE_BUCKETS = 256
+
+
+def held_rows(spark: SparkSession, work: str, schema, buckets: list[int]) -> DataFrame:
+    """The rows of all batches so far in some buckets of cases; no file of another bucket is opened."""
+    chosen = ",".join(map(str, buckets))
+    return spark.read.schema(schema).option("basePath", f"{work}/rows").parquet(f"{work}/rows/batch=*/bucket={{{chosen}}}")
+
+
 def ingest(
-    spark: SparkSession, path: str, schema, work: str, build: Callable[[DataFrame], DataFrame], by: str = "case_id", files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema, work: str, build: Callable[[DataFrame], DataFrame], by: str = "case_id", files_per_batch: int | None = None, case: Column | None = None, buckets: int = CASE_BUCKETS
 ) -> StreamingQuery:
-    """New files -> the cases they touch, rebuilt by build() from all files that lie in path and written over their partitions.
+    """New files -> the cases they touch, rebuilt by build() from all their rows so far and written over their partitions.
 
-    So earlier rows of a touched case stay, and a repeated batch leaves the same table; files stay in path after they have been read.
+    case is a row's case before build(), which keeps it as column `by`. With it, every batch files its rows by bucket of their case, and reads back only the
+    buckets it touches; without it, all files that lie in path are read for each batch. Earlier rows of a touched case stay, and a repeated
+    batch leaves the same table. A null case is a case.
     """
     pattern = as_pattern(path)
     stream = spark.readStream.schema(schema)
     files = (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(pattern)
 
     def write(batch: DataFrame, number: int) -> None:
-        touched = stored(build(batch).select(F.col(by).alias("__touched")).distinct(), "ingest-touched")
-        whole = build(batch.sparkSession.read.schema(schema).parquet(pattern))
+        session = batch.sparkSession
+        if case is None:
+            touched = stored(build(batch).select(F.col(by).alias("__touched")).distinct(), "ingest-touched")
+            rows = session.read.schema(schema).parquet(pattern)
+        else:
+            bucket = F.pmod(F.xxhash64(case), F.lit(buckets)).cast("int")
+            batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{work}/rows/batch={number}")
+            touched = stored(batch.select(case.alias("__touched"), bucket.alias("bucket")).distinct(), "ingest-touched")
+            parts = sorted(r["bucket"] for r in touched.select("bucket").distinct().collect())  # `buckets` numbers at most
+            if not parts:
+                return
+            rows = held_rows(session, work, schema, parts)
+        whole = build(rows)
         whole = whole.join(touched, whole[by].eqNullSafe(touched["__touched"]), "left_semi")
         whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{work}/table")
 

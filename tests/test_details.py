@@ -436,3 +436,13 @@ def test_names_of_any_length(spark):
     assert {(r["id"], r["name"], r["original"]) for r in X.dictionary_matches(t.where("id = 2"), spark.createDataFrame([("Grand Old Duke of",)], "name string")).collect()} == {(2, "Grand Old Duke of", "GRAND OLD DUKE OF")}
     six = spark.createDataFrame([(6, f"See: {long}!")], "id int, text string")
     assert [r["original"] for r in X.dictionary_matches(six, d).collect()] == [long]
+
+
+def test_mismatches_are_named(spark):
+    a = [(1, "x", None), (2, "y", 1), (None, "n", 1), (3, "t", 1), (3, "t", 1), (4, "u", 1), (4, "v", 2), (6, "w", None)]
+    b = [(1, "x", None), (2, "y", 2), (None, "n", 2), (3, "t", 1), (4, "v", 2), (4, "u", 1), (5, "z", 1)]
+    left, right = (spark.createDataFrame(rows, "id int, s string, n int") for rows in (a, b))
+    for buckets in (4096, 1):
+        got = {r["id"]: (r["mismatch"], r["n_source"], r["n_projected"]) for r in P.mismatches(left, right.select("n", "s", "id"), "id", buckets=buckets).collect()}
+        assert got == {2: ("changed", 1, 1), None: ("changed", 1, 1), 3: ("changed", 2, 1), 5: ("extra", 0, 1), 6: ("missing", 1, 0)}
+    assert P.mismatches(left, left, "id").count() == 0 and P.mismatches(left.limit(0), left.limit(0), "id").count() == 0
