@@ -489,15 +489,18 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
         return both.where(common / (F.size("sa") + F.size("sb") - common) >= least).select("a", "b")
 
     links = stored(verified(first), "near-links")
-    packed = found.where("dense")
-    lanes = packed.select(F.col("a").alias("node")).unionByName(packed.select(F.col("b").alias("node"))).distinct()
-    if lanes.isEmpty():
+    crowded = found.where("dense").select(F.col("a").alias("node")).distinct()
+    if crowded.isEmpty():
         return links
-    lanes = stored(lanes.hint("merge").join(nodes.select("node", "fp", "fp2", "n").hint("merge"), "node"), "near-lanes")
-    for name, pairs in (("cluster", first), ("group", links)):  # what proposals join, and what similar pairs join so far
-        known = stored(connected_components(contracted(pairs, parts), "a", "b").select(F.col("id").alias("node"), F.col("component").alias(name)), "near-known")
-        lanes = lanes.hint("merge").join(known.hint("merge"), "node", "left").withColumn(name, F.coalesce(name, "node"))
-    lanes = stored(lanes, "near-lanes")
+
+    def parts_of(pairs: DataFrame, name: str) -> DataFrame:
+        return stored(connected_components(contracted(pairs, parts), "a", "b").select(F.col("id").alias("node"), F.col("component").alias(name)), "near-known")
+
+    cluster, group = parts_of(first, "cluster"), parts_of(links, "group")  # what proposals join, and what similar pairs join so far
+    full = stored(crowded.hint("merge").join(cluster.hint("merge"), "node").select("cluster").distinct(), "near-full")
+    lanes = stored(cluster.hint("merge").join(full.hint("merge"), "cluster", "left_semi"), "near-lanes")  # all texts of a crowded cluster
+    lanes = lanes.hint("merge").join(nodes.select("node", "fp", "fp2", "n").hint("merge"), "node").hint("merge").join(group.hint("merge"), "node", "left")
+    lanes = stored(lanes.withColumn("group", F.coalesce("group", "node")), "near-lanes")
     open_ = lanes.groupBy("cluster").agg(F.sum("n").alias("size"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 < g1")
     open_ = stored(open_.select("cluster", F.ceil(F.col("size") * 8 / CHUNK_BYTES).cast("int").alias("chunks")), "near-open")
     lanes = lanes.hint("merge").join(open_.hint("merge"), "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))

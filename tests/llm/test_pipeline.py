@@ -1,8 +1,8 @@
 import corpus_pipeline as P
 from compare import SMALL
 from evgraph.llm.secrets import scan
-from evgraph.llm.simhash import near_groups
 from evgraph.session import stored
+from test_near_dedup import kept as kept_of_all_pairs
 
 
 def test_stages_in_order_and_their_decisions(spark):
@@ -19,8 +19,9 @@ def test_stages_in_order_and_their_decisions(spark):
     kept = {r["doc_id"] for r in seen["quality_classifier"].collect()}
     assert sum(labels[d] == 1 and d not in kept for d in labels) <= 0.03 * len(labels)
     assert seen["line_dedup"].count() == seen["quality_classifier"].count()
-    groups = near_groups(seen["line_dedup"]).selectExpr("component_id").distinct().collect()
-    assert {r["doc_id"] for r in seen["simhash_near_dedup"].collect()} == {r["component_id"] for r in groups}
+    texts = [(r["doc_id"], r["text"]) for r in seen["line_dedup"].orderBy("doc_id").collect()]
+    want, _ = kept_of_all_pairs([(d, (t or "").lower()) for d, t in texts])
+    assert {r["doc_id"] for r in seen["simhash_near_dedup"].collect()} == want
     assert scan(seen["secret_scan"]).where("size(spans) > 0").count() == 0
     assert seen["secret_scan"].where("n_chars <> char_length(text)").count() == 0
     assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in seen["secret_scan"].collect()}
