@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import scalars as C
@@ -64,6 +64,43 @@ def search(term: str, limit: int | None = None, **parts: tuple[DataFrame, str, s
     return rows.orderBy("kind", "id").limit(limit) if limit else rows
 
 
+def write_search_index(path: str, parts: int = 256, **tables: tuple[DataFrame, str, str]) -> None:
+    """Writes postings for search_index(): every row of the tables under each trigram of its text, so meant for names and other short texts.
+
+    Postings are dealt out to `parts` folders by trigram and lie in order of trigram within a file, so a probe opens one folder and skips what is beside
+    it. Texts of less than three characters have one posting under the text itself; null texts have none. A repeated write replaces the index.
+    """
+    rows = [df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(text).alias("value")) for kind, (df, key, text) in tables.items()]
+    rows = reduce(DataFrame.unionByName, rows).where("value IS NOT NULL").withColumn("form", F.lower("value"))
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length("form") - 2, F.lit(1))), lambda at: F.col("form").substr(at, F.lit(3)))
+    rows = rows.select("kind", "id", "value", F.explode(F.array_distinct(cut)).alias("gram")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int"))
+    rows = rows.hint("rebalance", "part").sortWithinPartitions("part", "gram", "kind", "id")  # a trigram that many rows have is split
+    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    held = rows.sparkSession.read.schema("gram string, part int").parquet(f"{path}/postings")
+    held.groupBy("part", "gram").agg(F.count(F.lit(1)).alias("n")).repartition("part").sortWithinPartitions("part", "gram").write.mode("overwrite").partitionBy("part").parquet(f"{path}/counts")
+
+
+def search_index(spark: SparkSession, path: str, term: str, parts: int = 256) -> DataFrame:
+    """kind, id, value of rows whose text contains term in any case, as search() gives them: the term's rarest trigram is probed, then verified.
+
+    parts is that of the index. A term of less than three characters is looked for in all postings, each row once.
+    """
+    term = term.lower()
+    postings = spark.read.schema("kind string, id string, value string, gram string, part int").parquet(f"{path}/postings")
+    if len(term) < 3:
+        return postings.where(F.lower("value").contains(term) & (F.col("gram") == F.substring(F.lower("value"), 1, 3))).select("kind", "id", "value")
+    grams = sorted({term[k : k + 3] for k in range(len(term) - 2)})
+    place = spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", F.pmod(F.xxhash64("gram"), F.lit(parts)).cast("int").alias("part"))
+    part = {r["gram"]: r["part"] for r in place.collect()}
+    counts = spark.read.schema("gram string, n long, part int").parquet(f"{path}/counts")
+    known = counts.where(F.col("part").isin(sorted(set(part.values()))) & F.col("gram").isin(grams)).collect()  # a row a trigram of the term
+    rarest = min(known, key=lambda r: (r["n"], r["gram"]))["gram"] if len(known) == len(grams) else None
+    if rarest is None:
+        return postings.where(F.lit(False)).select("kind", "id", "value")
+    found = postings.where((F.col("part") == part[rarest]) & (F.col("gram") == rarest))
+    return found.where(F.lower("value").contains(term)).select("kind", "id", "value")
+
+
 def _sides(rows: DataFrame, a: str, b: str, *cells: str) -> DataFrame:
     """One row per person of a pair: person, other, cells."""
     side = lambda x, y: rows.select(F.col(x).alias("person"), F.col(y).alias("other"), *cells)

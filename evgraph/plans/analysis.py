@@ -217,6 +217,28 @@ def t3(t) -> DataFrame:
     return T.search("AL", part=(t("part"), "p_partkey", "p_name"), person=(t("customer"), "c_custkey", "c_name"), case=(t("nation"), "n_nationkey", "n_name"))
 
 
+def _streamed(name: str, sql: str | None):
+    """Registers a query that needs the session itself: streams, and what is written and read again."""
+
+    def wrap(f):
+        QUERIES[name] = f
+        if sql:
+            from evgraph.plans.registry import SQL
+
+            SQL[name] = sql
+        return f
+
+    return wrap
+
+
+@_streamed("t3_search_index", "SELECT 'part' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS value FROM part WHERE contains(lower(p_name), 'r#0000') UNION ALL SELECT 'person', CAST(c_custkey AS VARCHAR), c_name FROM customer WHERE contains(lower(c_name), 'r#0000') UNION ALL SELECT 'case', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), 'r#0000')")
+def t3i(spark, sf_dir: str) -> DataFrame:
+    t = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = shared_dir(spark, "search-index")
+    T.write_search_index(path, part=(t("part"), "p_partkey", "p_name"), person=(t("customer"), "c_custkey", "c_name"), case=(t("nation"), "n_nationkey", "n_name"))
+    return T.search_index(spark, path, "R#0000")
+
+
 @query("t4_profile", f"""WITH {PAIR_REL}, {V.LINKS}, s AS (SELECT person_a AS person, event_type, case_id FROM events_v UNION ALL SELECT person_b, event_type, case_id FROM events_v),
 e AS (SELECT person, count(DISTINCT case_id) AS n_cases, count(*) AS events, count(*) FILTER (event_type = 'CALL') AS calls, count(*) FILTER (event_type = 'TRANSACTION') AS transactions FROM s GROUP BY person),
 i AS (SELECT person, count(*) AS n_identifiers FROM links_v GROUP BY person), k AS (SELECT person, count(*) AS n_relationships, max(score) AS best FROM (SELECT a AS person, score FROM rel UNION ALL SELECT b, score FROM rel) GROUP BY person)
@@ -344,20 +366,6 @@ def t16(t) -> DataFrame:
 # ---- streams
 
 
-def _streamed(name: str, sql: str | None):
-    """Registers a query that reads its table as a stream."""
-
-    def wrap(f):
-        QUERIES[name] = f
-        if sql:
-            from evgraph.plans.registry import SQL
-
-            SQL[name] = sql
-        return f
-
-    return wrap
-
-
 def _stream(spark, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(as_pattern(path))
 

@@ -446,3 +446,19 @@ def test_mismatches_are_named(spark):
         got = {r["id"]: (r["mismatch"], r["n_source"], r["n_projected"]) for r in P.mismatches(left, right.select("n", "s", "id"), "id", buckets=buckets).collect()}
         assert got == {2: ("changed", 1, 1), None: ("changed", 1, 1), 3: ("changed", 2, 1), 5: ("extra", 0, 1), 6: ("missing", 1, 0)}
     assert P.mismatches(left, left, "id").count() == 0 and P.mismatches(left.limit(0), left.limit(0), "id").count() == 0
+
+
+def test_search_index_equals_the_scan(spark, tmp_path):
+    rng = random.Random(14)
+    names = ["".join(rng.choice("abcdeÉ 1") for _ in range(rng.randint(0, 14))) for _ in range(2000)] + ["Ann Lee", "ann LEE", "annlee", "x", "", None, "the same", "the same"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, name string")
+    more = spark.createDataFrame([("z", "ANN"), ("y", "plain")], "id string, text string")
+    path = f"file://{tmp_path}/index"
+    T.write_search_index(path, parts=256, person=(df, "k", "name"), note=(more, "id", "text"))
+    for term in ("ann", "ANN LEE", "abc", "the same", "é 1", "nothing", "a", "de", "x"):
+        want = sorted(tuple(r) for r in T.search(term, person=(df, "k", "name"), note=(more, "id", "text")).collect())
+        assert sorted(tuple(r) for r in T.search_index(spark, path, term).collect()) == want, term
+    size = lambda files: sum(f.stat().st_size for f in files)
+    folders = list((tmp_path / "index" / "postings").glob("part=*"))
+    scan = size(tmp_path.glob("index/postings/part=*/*.parquet"))
+    assert max(size(f.glob("*.parquet")) for f in folders) < scan / 10
