@@ -41,7 +41,7 @@ from evgraph.session import stored
 
 SHINGLE, SEED, RADIUS, CUTS, UNIT = 4, 42, 4, 6, 4096
 NEAR_SHINGLE, NEAR, KEY_BITS, TABLES, WIDE, BOTH, NEAR_UNIT, BUFFER, CHUNK_BYTES, DENSE = 5, 0.8, 19, 84, 18, 34, 16384, 1 << 17, 1 << 25, 1
-TASK_ROWS, FOREST_ROWS, BROADCAST_ROWS = 1 << 20, 1 << 22, 100_000
+TASK_ROWS, FOREST_ROWS, BROADCAST_ROWS = 1 << 20, 1 << 22, 1 << 20
 ONE = np.uint64(1)
 
 
@@ -437,6 +437,11 @@ def _tables(nodes: DataFrame, least: float) -> DataFrame:
     return rows.select("node", "fp", "fp2", "n", F.explode(F.array(*keys)).alias("key"))
 
 
+def _beside(rows: DataFrame) -> DataFrame:
+    """A written table of few columns as the right side of a join: broadcast up to BROADCAST_ROWS (some 60 MB), so that texts stay where they are; merged beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, least: float = NEAR, dense: int = DENSE, unit: int = NEAR_UNIT) -> DataFrame:
     """Links (a, b) between texts of a similarity of `least` or more, whose components are those of all such pairs that the tables propose.
 
@@ -445,7 +450,7 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
     """
     keyed = _tables(nodes, least)
     hot = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > unit), "near-hot")
-    met = keyed.join(F.broadcast(hot), "key", "left") if hot.count() <= BROADCAST_ROWS else keyed.hint("merge").join(hot.hint("merge"), "key", "left")
+    met = keyed.join(_beside(hot), "key", "left")
     met = met.withColumn("chunks", F.ceil(F.coalesce("m", F.lit(1)) / unit).cast("int"))
     mine = F.pmod(F.xxhash64("node", "key"), F.col("chunks")).cast("int")
     met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -480,7 +485,7 @@ def near_pairs(docs: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, l
     first = stored(found.select("a", "b").distinct(), "near-first")
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
     keys = stored(wanted.hint("merge").join(nodes.select("node", "key").hint("merge"), "node").select("key"), "near-keys")
-    sets = stored(_shingle_sets(docs.select("key", "text").hint("merge").join(keys.hint("merge"), "key", "left_semi"), shingle).dropDuplicates(["node"]), "near-sets")
+    sets = stored(_shingle_sets(docs.select("key", "text").join(_beside(keys), "key", "left_semi"), shingle).dropDuplicates(["node"]), "near-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.hint("merge").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
@@ -527,10 +532,18 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: f
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, least: float = NEAR) -> DataFrame:
-    """docs with one row of each component of texts whose shingles are similar: that of the least id, of several such the one with the least key."""
-    found = _similar(docs, id_col, text_col, shingle, least).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stored(found.groupBy("component").agg(F.min("key").alias("key")).select("key"), "simhash-stays")
-    rows = docs.select(whole_row(docs).alias("row"), row_key(column(id_col), column(text_col)).alias("key"))
-    rows = rows.hint("merge").join(stays.hint("merge"), "key", "left_semi")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))  # repeated rows; in order by the join
-    return rows.where("n = 1").select("row.*")
+    """docs with one row of each component of texts whose shingles are similar: that of the least id, of several such the one with the least key.
+
+    Only the keys that go, or of which rows are repeated, meet the rows; all others pass as they are.
+    """
+    found = stored(_similar(docs, id_col, text_col, shingle, least).select("doc_id", "key", "component", "component_id"), "simhash-found")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("key").alias("key"))
+    stays = stored(stays.select("key", F.lit(True).alias("stays")), "simhash-stays")
+    times = stored(found.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "simhash-times")
+    named = times.hint("merge").join(stays.hint("merge"), "key", "left").where("m > 1 OR stays IS NULL")
+    named = stored(named.select("key", F.coalesce("stays", F.lit(False)).alias("stays")), "simhash-named")
+    rows = docs.select(whole_row(docs).alias("row"), row_key(column(id_col), column(text_col)).alias("key")).join(_beside(named), "key", "left")
+    kept = rows.where("stays IS NULL").select("row")
+    if not named.where("stays").isEmpty():  # repeated rows: the first of each in its task, then one of all
+        kept = kept.union(rows.where("stays").dropDuplicates(["key"]).select("row"))
+    return kept.select("row.*")

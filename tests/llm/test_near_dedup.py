@@ -89,3 +89,16 @@ def test_pairs_by_products(monkeypatch):
     i, j = np.triu_indices(90, 1)
     got = simhash._common(i, j, sets, column[order], owner[order], len(times))
     assert len(i) > 2048 and got.tolist() == [len(set(sets[a]) & set(sets[b])) for a, b in zip(i, j)]
+
+
+def test_repeated_rows_and_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    docs = corpus(4, 40, 2, (1, 1))  # similarities of 0.87 and more
+    want = kept(docs)[0]
+    rows = [(k, t, {"a": k}) for k, t in docs] + [(k, t, {"a": k}) for k, t in docs[:50]] + [(None, "", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, stays map<string, long>")
+    for bound in (simhash.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+        result = keep_one(df)
+        got = [r["doc_id"] for r in result.collect()]
+        assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1
+        assert result.columns == df.columns
