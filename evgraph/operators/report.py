@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evgraph.functions import scalars as C
+from evgraph.session import few
 
 
 def timeline(events: DataFrame, person=None, case=None, kind: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -148,8 +149,8 @@ def profile_details(events: DataFrame, identifiers: DataFrame, relationships: Da
 def case_context(events: DataFrame, evidence: DataFrame, relationships: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Per case: people, events, evidence, relationships with evidence in it, sources and days (T5); cases (case_id) limits them."""
     if cases is not None:
-        wanted = cases.select("case_id").distinct()
-        events, evidence = (df.hint("merge").join(wanted.hint("merge"), "case_id", "left_semi") for df in (events, evidence))
+        wanted = few(cases.select("case_id").distinct(), "cases")
+        events, evidence = (df.join(wanted, "case_id", "left_semi") for df in (events, evidence))
     sides = _sides(events, "person_a", "person_b", "case_id")
     people = sides.groupBy("case_id").agg(F.count_distinct("person").alias("people"))
     base = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("source").alias("sources"), F.count_distinct("date").alias("days"))
@@ -206,7 +207,7 @@ def in_scope(rows: DataFrame, assigned: DataFrame, case: str = "case_id", user=N
     if admin:
         return rows
     mine = assigned if user is None else assigned.where(F.col("user_id") == user)
-    return rows.hint("merge").join(mine.select(case).distinct().hint("merge"), case, "left_semi")
+    return rows.join(few(mine.select(case).distinct(), "assigned"), case, "left_semi")
 
 
 def latest_activity(log: DataFrame, user: str = "user_id", action: str = "action", login: str = "login") -> DataFrame:
