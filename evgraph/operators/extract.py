@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evgraph.functions import scalars as C
-from evgraph.session import stored
+from evgraph.session import few, stored
 
 #: Patterns and the group that holds the value.
 PATTERNS = {
@@ -78,8 +78,10 @@ def dictionary_matches(docs: DataFrame, dictionary: DataFrame, key: str = "id",
         words = dictionary.agg(F.max(F.size(form))).first()[0] or 1
     grams = F.flatten(F.array(*[F.transform(_grams(n), lambda g, i: F.struct(i.alias("position"), g.alias("original"))) for n in range(1, words + 1)]))
     held = rows.select(key, F.explode(grams).alias("g")).select(key, F.lower("g.original").alias("gram"), "g.position", "g.original")
-    held = held.groupBy(key, "gram").agg(F.min(F.struct("position", "original")).alias("g"))
     known = dictionary.select(F.array_join(form, " ").alias("gram"), F.col(name).alias("name")).where("gram <> ''").distinct()
+    known = stored(known, "dictionary")
+    held = held.join(few(known.select("gram").distinct(), "dictionary-grams"), "gram", "left_semi")  # before anything is shuffled: most n-grams are no entry
+    held = held.groupBy(key, "gram").agg(F.min(F.struct("position", "original")).alias("g"))
     found = held.hint("merge").join(known.hint("merge"), "gram").select(key, "name", "g.position", "g.original")
     if not longest:
         return found
