@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evgraph.functions import scalars as C
 from evgraph.operators.numbering import numbered
+from evgraph.operators.pairs import pair_signals
 from evgraph.operators.resolve import shared_values
 from evgraph.session import stored
 
@@ -43,14 +44,16 @@ def shared_counts(links: DataFrame, name: str, value: list[str], person: str = "
     return shared_values(links, person, value).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
 
 
+def in_several(members: DataFrame, person: str, case: str) -> DataFrame:
+    """person, value, strong: the distinct members of cases, and whether the person is in more than one."""
+    k = stored(members.select(F.col(person).alias("person"), F.col(case).alias("value")).na.drop().distinct(), "members")
+    several = k.groupBy("person").agg((F.count(F.lit(1)) > 1).alias("strong"))
+    return k.hint("merge").join(several.hint("merge"), "person")
+
+
 def shared_cases(members: DataFrame, person: str = "person", case: str = "case_id") -> DataFrame:
     """Per pair the cases both are in, if one of them is in more than one."""
-    k = members.select(F.col(person).alias("person"), F.col(case).alias("value")).where("person IS NOT NULL AND value IS NOT NULL").distinct()
-    many = stored(k.groupBy("person").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("person", F.lit(True).alias("many")), "several-cases")
-    pairs = shared_counts(k, "cases", ["value"])
-    for c in ("a", "b"):
-        pairs = pairs.hint("merge").join(many.select(F.col("person").alias(c), F.col("many").alias(f"m_{c}")).hint("merge"), c, "left")
-    return pairs.where("m_a OR m_b").select("a", "b", "cases")
+    return pair_signals(in_several(members, person, case), ["value"], strong="strong", cases=F.lit(1))
 
 
 def link_classes(links: DataFrame, value: list[str], person: str = "person", **counts: Column) -> DataFrame:

@@ -26,6 +26,25 @@ def test_shared_locations_has_every_pair(spark):
     assert len(found) == len(want) and set(found) == {(a, b, 1) for a, b in want}
 
 
+def test_shared_cases_has_every_pair(spark, tmp_path):
+    """Persons with the same cases are pairs too, beside pairs of persons with other cases."""
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    for name, df in {"orders": orders.unionByName(orders.withColumns({"o_orderkey": F.col("o_orderkey") + 100000, "o_custkey": F.col("o_custkey") + 10000}))}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("lineitem", "customer"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/orders.parquet").select(F.concat(F.lit("C"), "o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority").distinct().collect()
+    cases, want = {}, {}
+    for person, *_ in rows:
+        cases[person] = cases.get(person, 0) + 1
+    for persons in members(rows).values():
+        for pair in combinations(sorted(persons), 2):
+            if max(map(cases.get, pair)) > 1:
+                want[pair] = want.get(pair, 0) + 1
+    found = [tuple(r) for r in QUERIES["e4_shared_cases"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(want) and {(a, b): n for a, b, n in found} == want
+
+
 @pytest.mark.parametrize("at_once", [1, 40, 1 << 19])
 def test_pairs_with_a_common_value(spark, monkeypatch, at_once):
     """Common values, rows that repeat, nulls, values that look alike when joined, and pairs known otherwise; at_once cuts a task's pairs into slices."""
