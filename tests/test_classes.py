@@ -1,5 +1,7 @@
 """Pairs of the members of a class are told by the class, not by a row each."""
 
+from pyspark.sql import functions as F
+
 from compare import SMALL
 from evgraph.operators import relate as E
 from evgraph.plans import QUERIES
@@ -63,7 +65,12 @@ def test_all_signals_are_told(spark):
     of_kind = lambda kind, name, *by: E.shared_counts(links.where(f"kind = '{kind}'"), name, list(by))
     whole = E.scored(E.union_signals(E.event_signals(V.events(t)), E.shared_cases(links.where("kind = 'case'"), case="value"), of_kind("account", "shared_ids", "kind", "value"), of_kind("location", "locations", "value")))
     want = {(r["a"], r["b"]): r[2:] for r in whole.collect()}
-    found = QUERIES["e5_all_signals"](spark, path).collect()
+    assert {(r["a"], r["b"]): r[2:] for r in QUERIES["e5_all_signals"](spark, path).collect()} == want  # the query has a row for each
+    social, case = links.where("kind <> 'account'"), F.count_if(F.col("kind") == "case")
+    classes = E.link_classes(social, ["kind", "value"], locations=F.count_if(F.col("kind") == "location"), cases=F.when(case > 1, case).otherwise(0)).drop("values")
+    least = E.of_least(social, classes)
+    between = E.union_signals(E.shared_cases(least.where("kind = 'case'"), case="value"), E.shared_counts(least.where("kind = 'location'"), "locations", ["value"]))
+    found = E.scored(E.by_class(E.union_signals(E.event_signals(V.events(t)), of_kind("account", "shared_ids", "kind", "value")), classes, between)).collect()
     of = members(r for r in found if r["level"] == "member")
     told = {}
     for level in ("member", "class", "pair"):
