@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from compare import SMALL
 from evgraph.operators import pairs as P
+from evgraph.operators import relate as E
 from evgraph.plans import QUERIES
 
 
@@ -72,3 +73,12 @@ def test_no_links(spark):
     none = spark.createDataFrame([("p", "x"), ("q", "y")], "person string, value string")
     assert P.pair_signals(none, ["value"], n=F.lit(1)).collect() == []
     assert P.pair_signals(none.where("false"), ["value"], n=F.lit(1)).collect() == []
+
+
+def test_scores_are_rounded_as_round_does(spark):
+    zero = [F.lit(0).cast("long").alias(c) for c in ("calls", "locations", "shared_ids")]
+    signals = spark.range(200000).select(F.col("id").alias("a"), F.col("id").alias("b"), (F.col("id") % 401).alias("transactions"), F.floor(F.col("id") / 401).alias("cases"), (F.col("id") % 5).alias("sources"), *zero)
+    w = F.col("tenths") / 10.0
+    exact = F.round(F.least(F.lit(1.0), w / (w + 4) + F.least("sources", F.lit(3)) * 0.1), 3)
+    rows = E.scored(signals)
+    assert dict(rows.dtypes)["score"] == "double" and rows.where(~exact.eqNullSafe(F.col("score"))).count() == 0
